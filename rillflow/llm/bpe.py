@@ -4,7 +4,8 @@ Encoding, in three steps:
 
 1. Documents are packed into chunks of a few MB.  In each chunk the texts are split
    into pre-tokens; what is kept are the chunk's distinct pre-tokens and, for every
-   position of every document, the number of its pre-token.  This table is written once.
+   position of every document, the number of its pre-token.  These rows are shuffled by
+   chunk once, and both following steps read that one shuffle.
 2. The distinct pre-tokens of all chunks are shuffled by their hash.  A word stands there
    at most once for each chunk, however frequent it is, and is encoded once.
 3. The ids come back to the chunk, and each document is put together by position.
@@ -27,6 +28,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -119,6 +121,13 @@ def _chunks(batches, pattern: str, shards: int, chunk_bytes: int):
         yield emit(ids, counts, parts, words)
 
 
+def _words(batches):
+    """The rows of words.  Not a where(): that would be pushed below the shuffle, which
+    then couldn't be shared."""
+    for b in batches:
+        yield b.filter(pc.greater_equal(b.column("shard"), 0)).select(["chunk", "shard", "a", "b"])
+
+
 def _encode_words(batches, path: str, pattern: str):
     """Step 2 on one task: every distinct word of its shards is encoded once."""
     one = _encoder(path, pattern)._core_bpe.encode_single_piece
@@ -147,9 +156,10 @@ def _reassemble(left: pa.Table, right: pa.Table, id_name: str) -> pa.Table:
     """Step 3 on one chunk."""
     unpack = zstandard.ZstdDecompressor()
     get = lambda x: common.unplanes(unpack.decompress(x.as_py()))
+    left = left.filter(pc.less(left.column("shard"), 0))
     if left.num_rows != 1:
         raise ValueError(f"a chunk has {left.num_rows} position rows")
-    ids = left.column("ids").combine_chunks().flatten() if left.num_rows else None
+    ids = left.column("ids").combine_chunks().flatten()
     pos, of, counts = get(left.column("a")[0]), get(left.column("b")[0]), get(left.column("c")[0]).astype(np.int64)
     start, length = np.zeros(len(of), np.int64), np.full(len(of), -1, np.int64)
     flats, base = [], 0
@@ -177,12 +187,11 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     kind = docs.schema[id_col].dataType
     schema = T.StructType().add("chunk", "long").add("shard", "integer").add("ids", T.ArrayType(kind)).add("a", "binary").add("b", "binary").add("c", "binary")
     slim = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
-    packed = common.written(slim.mapInArrow(lambda it: _chunks(it, pattern, shards, chunk_bytes), schema), "bpe")
-    words = packed.where("shard >= 0").select("chunk", "shard", "a", "b")
+    packed = common.stable(slim).mapInArrow(lambda it: _chunks(it, pattern, shards, chunk_bytes), schema).repartition(shards, "chunk")
+    words = packed.mapInArrow(_words, "chunk long, shard int, a binary, b binary")
     coded = words.repartition(shards, "shard").mapInArrow(lambda it: _encode_words(it, ranks_path, pattern), "chunk long, shard int, n binary, flat binary")
-    places = packed.where("shard < 0").select("chunk", "ids", "a", "b", "c")
     out = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.BinaryType())])
-    return places.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda a, b: _reassemble(a, b, id_col), out)
+    return packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda a, b: _reassemble(a, b, id_col), out)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

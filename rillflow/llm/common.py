@@ -50,6 +50,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df, whose tasks give the same rows in the same order whenever they run: df itself
+    if its plan only reads, projects and filters, else df written and read again."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return written(df, "input") if "Exchange" in plan or "RDD" in plan else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
