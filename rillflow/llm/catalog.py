@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with queries() and, where SQL can express them, oracle_sql().
-MODULES = ("bpe", "simhash", "tokens", "substring", "mixing", "secrets", "toxicity", "quality")
+MODULES = ("media", "simhash", "secrets", "quality", "toxicity", "tokens", "bpe", "substring", "mixing")
 
 
 def queries() -> dict:
