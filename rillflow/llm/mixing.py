@@ -124,7 +124,7 @@ def _node(level: int, seed: int, last: bool):
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 20240229, leaf: int = 4096, fan: int = 64) -> DataFrame:
-    """(id, source, size, source_size, target, copies) of each row."""
+    """(id, source, size, source_size, target, copies, tie) of each row; tie: a hash of the text."""
     slim = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), n_words(common.text_of(docs, text_col)).alias("size"), F.xxhash64(common.text_of(docs, text_col)).alias("tie"))
     slim = common.written(slim.withColumn("rid", F.monotonically_increasing_id()), "mix")
     targets = common.checkpointed(source_targets(slim.select("source", "size"), weights, most))
@@ -149,7 +149,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         slim_tree = done.where(open_).withColumn("node", F.floor(F.col("node") / fan))
     copies = F.col("whole") + F.when(F.col("up").isNotNull(), 1).otherwise(0)
     out = rows.join(settled.select(F.col("rid"), F.lit(True).alias("up")), "rid", "left").withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies")
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", "tie")
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """All columns, each row as often as the mix takes it.  Rows that are equal in id, source
+    and text are taken together, as one of them."""
+    tell = lambda *cs: F.sha2(F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in cs]), 256)
+    mixed = mix(docs, id_col, text_col, source_col, **how).where("copies > 0")
+    copies = mixed.groupBy(tell(F.col(id_col), F.col("source"), F.col("tie")).alias("__rf_key")).agg(F.sum("copies").cast("int").alias("__rf_n"))
+    rows = docs.withColumn("__rf_key", tell(F.col(id_col), F.col(source_col), F.xxhash64(common.text_of(docs, text_col))))
+    rows = rows.dropDuplicates(["__rf_key"]).join(copies, "__rf_key")
+    return rows.withColumn("__rf_n", F.explode(F.array_repeat(F.lit(0), F.col("__rf_n")))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,6 +233,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """All columns of one row of each component: one with the smallest id that isn't null,
+    of several such rows one with the smallest fingerprint (signed)."""
+    found = near_duplicates(docs, id_col, text_col, **how).withColumnRenamed(id_col, "id")
+    named = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("fp").alias("fp"))
+    lows = found.where(F.col("component_id").isNotNull()).groupBy("component_id").agg(F.min(named).alias("low")).select("low.id", "low.fp")
+    rest = found.where(F.col("component_id").isNull())
+    if not rest.isEmpty():
+        nodes = rest.select("fp").distinct()
+        roots = components(links(nodes, how.get("radius", 3), how.get("tile", 4096)))
+        low = nodes.join(roots, nodes["fp"] == roots["u"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("fp").alias("fp"))
+        lows = lows.unionByName(low.select(F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), "fp"))
+    key = lambda i, f: F.concat_ws(":", f.cast("string"), F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")))
+    lows = lows.select(key(F.col("id"), F.col("fp")).alias("__rf_key"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__rf_fp", T.LongType())])
+    shingle, seed = how.get("shingle", 3), how.get("seed", 42)
+
+    def run(batches):
+        for b in common.slices(batches):
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            fps = np.array([fingerprint((t or "").encode(), shingle, seed) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, "__rf_fp"])
+
+    rows = docs.mapInArrow(run, schema).withColumn("__rf_key", key(F.col(id_col), F.col("__rf_fp")))
+    return rows.join(lows, "__rf_key", "left_semi").dropDuplicates(["__rf_key"]).select(*docs.columns)
+
+
 def hex64(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 

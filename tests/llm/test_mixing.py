@@ -93,5 +93,5 @@ def test_query_reruns_agree(spark):
 def test_empty_tables(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     none = spark.createDataFrame([(1, None, None, None, None)], SCHEMA)
-    assert [tuple(r) for r in mixing.mix(none).collect()] == [(1, None, 0, 0, 0.0, 0)]
+    assert [tuple(r)[:6] for r in mixing.mix(none).collect()] == [(1, None, 0, 0, 0.0, 0)]
     assert none.select(mixing.n_words(F.lit(" a\t\nb  c ")).alias("n")).first().n == 3
