@@ -65,10 +65,10 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     base = layout.groupBy("file", "section").agg(F.sum("length").alias("total"))
     base = base.select("file", "section", F.expr("sum(total) OVER (PARTITION BY file ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - total AS base"))
     layout = layout.withColumn("within", F.expr(within)).join(base, ["file", "section"])
-    layout = layout.select("file", "digest", F.col("id").alias("of"), (F.col("base") + F.col("within")).alias("offset"), "copies")
-    placed = rows.select("id", "file", "length", "digest", "data").join(layout, ["file", "digest"]).where(F.col("id").eqNullSafe(F.col("of")))
-    once = placed.groupBy("file", "digest", "id", "offset", "length", "copies").agg(F.first("data").alias("data"))
-    return common.written(once.select("id", "file", "offset", "length", "digest", "copies", "data"), "warc")
+    layout = layout.select("file", "digest", (F.col("base") + F.col("within")).alias("offset"), "copies")
+    # a record names its id, so that its digest does: copies go before the only shuffle of data
+    once = rows.groupBy("file", "digest").agg(F.first("id").alias("id"), F.first("length").alias("length"), F.first("data").alias("data"))
+    return common.written(once.join(layout, ["file", "digest"]).select("id", "file", "offset", "length", "digest", "copies", "data"), "warc")
 
 
 def leaves(replica: DataFrame) -> DataFrame:
