@@ -96,16 +96,16 @@ def interception(rain: Column, share: Column, fveg: Column, lai_sai: Column, sto
     """Rain that leaves hold, mm/s."""
     cap = per_leaf * lai_sai
     room = (cap - stored) / dt * (1.0 - F.exp(-rain * dt / F.when(cap > 0, cap)))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(fveg * rain * share, room)), F.lit(0.0))
+    return F.when(cap > 0, F.greatest(F.lit(0.0), F.least(fveg * rain * share, room))).otherwise(0.0)
 
 
 def wetted_fraction(stored: Column, cap: Column) -> Column:
-    return F.coalesce(F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), stored) / F.when(cap > 0, cap)), 0.667), F.lit(0.0))
+    return F.when(cap > 0, F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), stored) / F.when(cap > 0, cap)), 0.667)).otherwise(0.0)
 
 
 def soil_factor(theta: Column, dry: Column, wet: Column) -> Column:
     """Stress of a root layer, 0 dry to 1 wet."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (theta - dry) / F.when(wet != dry, wet - dry)))
+    return F.when(wet != dry, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (theta - dry) / F.when(wet != dry, wet - dry))))
 
 
 def jarvis(par: Column, t: Column, deficit: Column, rgl: float, hs: float, topt: float, rs_min: float, rs_max: float) -> Column:
@@ -181,7 +181,7 @@ def infiltration(qin: Column, deficit: Column, kdt: Column, dt: float, imperviou
     rate = px * dd / F.when(px + dd > 0, px + dd) / dt
     if impervious is not None:
         rate = rate * impervious
-    return F.coalesce(F.least(F.greatest(rate, F.lit(0.0)), qin), F.lit(0.0))
+    return F.when(px + dd > 0, F.least(F.greatest(rate, F.lit(0.0)), qin)).otherwise(0.0)
 
 
 def thermal_conductivity(theta: Column, liquid: Column, smax: Column, quartz: Column) -> Column:

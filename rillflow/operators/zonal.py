@@ -54,7 +54,7 @@ def zonal_by_layer(df: DataFrame, keys: Sequence[str], layer: str, stats: Mappin
     """Zonal statistics of each layer, as arrays in the order of layers."""
     long = zonal(df, [*keys, layer], stats)
     packed = long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(layer, *stats))).alias("__l"))
-    return packed.select(*keys, F.transform("__l", lambda s: s[layer]).alias("layers"), *[F.transform("__l", lambda s, n=n: s[n]).alias(n) for n in stats])
+    return packed.select(*keys, F.col(f"__l.{layer}").alias("layers"), *[F.col(f"__l.{n}").alias(n) for n in stats])
 
 
 def share(df: DataFrame, keys: Sequence[str], col: str, name: str = "share", percent: float = 100.0) -> DataFrame:

@@ -1,25 +1,758 @@
-"""Queries over the supplied tables, one or more for each operator, with their SQL."""
+"""Queries over the supplied tables, one or more for each operator, with their SQL.
+
+A query is registered with ``@query(sql)``; without SQL where none is practical (iterative
+solvers, clustering, streams), and then tests hold it against plain NumPy.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import physics
+from ..operators import banding, clustering, column, flow, graph, impute, joins, routing, sequence, wateruse, zonal
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r6(c: Column, name: str, digits: int = 6) -> Column:
+    return F.round(c, digits).alias(name)
+
+
+c = F.col
+
+
+def money(name: str) -> Column:
+    """A two-decimal column as an exact decimal: sums don't depend on their order."""
+    return F.col(name).cast("decimal(18,2)")
+
+
+# Zonal statistics
+
+
+@query("""
+WITH z AS (SELECT l_returnflag, avg(l_quantity) AS m, count(*) / sum(1 / l_extendedprice) AS h, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS q FROM lineitem GROUP BY 1),
+d AS (SELECT l_returnflag, l_discount, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_discount) AS k FROM lineitem GROUP BY 1, 2)
+SELECT z.l_returnflag, round(m, 6) AS mean_quantity, round(h, 4) AS harmonic_price, d.l_discount AS mode_discount, round(100 * q / sum(q) OVER (), 6) AS share
+FROM z JOIN d ON d.l_returnflag = z.l_returnflag AND k = 1""")
+def zonal_stats(spark, sf_dir):
+    z = zonal.zonal(
+        table(spark, sf_dir, "lineitem"),
+        ["l_returnflag"],
+        {"m": zonal.skip_mean(c("l_quantity")), "h": zonal.harmonic_mean(c("l_extendedprice")), "mode_discount": zonal.smallest_mode(c("l_discount")), "q": F.sum(money("l_quantity")).cast("double"), "all": F.lit(1)},
+    )
+    z = zonal.share(z, ["all"], "q")
+    return z.select("l_returnflag", r6(c("m"), "mean_quantity"), r6(c("h"), "harmonic_price", 4), "mode_discount", r6(c("share"), "share"))
+
+
+@query("""
+WITH l AS (SELECT l_suppkey, l_linenumber, avg(l_quantity) AS m, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, count(*)::INTEGER AS layers, round(arg_min(m, l_linenumber), 6) AS top, round(arg_max(m, l_linenumber), 6) AS bottom, sum(n)::BIGINT AS n FROM l GROUP BY 1""")
+def zonal_by_layer(spark, sf_dir):
+    z = zonal.zonal_by_layer(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_linenumber", {"m": F.avg("l_quantity"), "n": F.count("*")})
+    return z.select("l_suppkey", F.size("layers").alias("layers"), r6(F.get("m", F.lit(0)), "top"), r6(F.element_at("m", -1), "bottom"), F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
+
+
+@query("SELECT c_custkey, round(100 * (c_acctbal + 1000) / sum(c_acctbal + 1000) OVER (PARTITION BY c_nationkey), 6) AS share FROM customer")
+def area_share(spark, sf_dir):
+    cu = table(spark, sf_dir, "customer").withColumn("area", c("c_acctbal") + 1000)
+    return zonal.share(cu, ["c_nationkey"], "area").select("c_custkey", r6(c("share"), "share"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS discount FROM lineitem GROUP BY 1, 2")
+def band_weighted_mean(spark, sf_dir):
+    return zonal.zonal(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], {"d": zonal.weighted_mean(c("l_discount"), c("l_quantity"))}).select("l_returnflag", "l_linestatus", r6(c("d"), "discount"))
+
+
+@query("""
+SELECT p_brand, CASE WHEN count(*) FILTER (WHERE p_size % 11 = 0) = 0 THEN round(avg(p_retailprice), 6) END AS strict, round(avg(CASE WHEN p_size % 11 <> 0 THEN p_retailprice END), 6) AS skipping FROM part GROUP BY 1""")
+def strict_and_skip_means(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("v", F.when(c("p_size") % 11 != 0, c("p_retailprice")))
+    z = zonal.zonal(p, ["p_brand"], {"a": zonal.strict_mean(c("v")), "b": zonal.skip_mean(c("v"))})
+    return z.select("p_brand", r6(c("a"), "strict"), r6(c("b"), "skipping"))
+
+
+@query("""
+SELECT p_brand, round(0.45 * pow(200 / (0.1 + avg(p_size) / 100), -1 / (3 + avg(p_size) / 20)), 8) AS wltsmc, round(0.45 * pow(3.4 / (0.1 + avg(p_size) / 100), -1 / (3 + avg(p_size) / 20)), 8) AS refsmc FROM part GROUP BY 1""")
+def soil_points(spark, sf_dir):
+    z = table(spark, sf_dir, "part").groupBy("p_brand").agg((F.avg("p_size") / 20 + 3).alias("BB"), (F.avg("p_size") / 100 + 0.1).alias("SATPSI"), F.lit(0.45).alias("MAXSMC"))
+    return zonal.soil_points(z).select("p_brand", r6(c("WLTSMC"), "wltsmc", 8), r6(c("REFSMC"), "refsmc", 8))
+
+
+@query("SELECT p_size AS hand, p_brand, sum(p_retailprice::DECIMAL(18,2))::DOUBLE AS area, arg_max(p_partkey, p_partkey) AS band FROM part GROUP BY 1, 2")
+def nested_area(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(c("p_size").alias("hand"), "p_brand", money("p_retailprice").alias("area"), c("p_partkey").alias("band"))
+    return zonal.nested_area(p, "hand", "p_brand", "area", "band", c("band")).withColumn("area", c("area").cast("double"))
+
+
+@query("SELECT c_custkey, round(avg(c_acctbal) OVER (PARTITION BY c_nationkey), 6) AS c_acctbal FROM customer")
+def member_mean(spark, sf_dir):
+    return zonal.member_mean(table(spark, sf_dir, "customer"), ["c_nationkey"], ["c_acctbal"]).select("c_custkey", r6(c("c_acctbal"), "c_acctbal"))
+
+
+@query("SELECT p_brand, p_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY p_brand), 8) AS fraction FROM part GROUP BY 1, 2")
+def areal_weights(spark, sf_dir):
+    z = zonal.fractions(table(spark, sf_dir, "part"), ["p_brand"], ["p_type"])
+    return z.select("p_brand", "p_type", "n", r6(c("fraction"), "fraction", 8))
+
+
+@query("SELECT l_returnflag, sum(CASE WHEN l_quantity < 10 THEN l_quantity ELSE 0 END) AS low, sum(CASE WHEN l_quantity >= 10 THEN l_quantity ELSE 0 END) AS high FROM lineitem GROUP BY 1")
+def conditional_totals(spark, sf_dir):
+    return zonal.conditional_totals(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", {"low": c("l_quantity") < 10, "high": c("l_quantity") >= 10})
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_totals(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def top_outlets(spark, sf_dir):
+    return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::DOUBLE AS balance, (o_totalprice::DECIMAL(18,2) - lag(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::DOUBLE AS change FROM orders")
+def running_balance(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("p", money("o_totalprice"))
+    o = zonal.running_total(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], c("p"), "balance")
+    o = sequence.difference(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "p", "change")
+    return o.select("o_orderkey", c("balance").cast("double").alias("balance"), c("change").cast("double").alias("change"))
+
+
+# Cleaning
+
+EVENTS_SQL = "(SELECT *, CASE WHEN event_id % 10 = 0 THEN -9999 ELSE value END AS raw, CASE WHEN event_id % 10 <> 0 THEN floor(value)::BIGINT % 7 END AS class FROM events)"
+
+
+def raw_events(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.withColumns({"raw": F.when(c("event_id") % 10 == 0, -9999.0).otherwise(c("value")), "class": F.when(c("event_id") % 10 != 0, F.floor("value") % 7)})
+
+
+@query(f"SELECT event_id, nullif(raw, -9999) AS raw FROM {EVENTS_SQL}")
+def sentinel_to_null(spark, sf_dir):
+    return impute.sentinel_to_null(raw_events(spark, sf_dir), ["raw"]).select("event_id", "raw")
+
+
+@query(f"SELECT event_type, round(avg(CASE WHEN raw = -9999 THEN 1.0 ELSE 0.0 END), 8) AS raw_missing FROM {EVENTS_SQL} GROUP BY 1")
+def missing_ratio(spark, sf_dir):
+    e = impute.sentinel_to_null(raw_events(spark, sf_dir), ["raw"])
+    return impute.require_present(e, ["event_type"], ["raw"], ["raw"]).select("event_type", r6(c("raw_missing"), "raw_missing", 8))
+
+
+@query(f"SELECT event_id, round(coalesce(nullif(raw, -9999), avg(nullif(raw, -9999)) OVER (PARTITION BY event_type)), 6) AS raw FROM {EVENTS_SQL}")
+def mean_impute(spark, sf_dir):
+    e = impute.sentinel_to_null(raw_events(spark, sf_dir), ["raw"])
+    return impute.mean_impute(e, ["event_type"], ["raw"]).select("event_id", r6(c("raw"), "raw"))
+
+
+@query(f"""
+WITH e AS {EVENTS_SQL}, m AS (SELECT event_type, class, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, class) AS k FROM e WHERE class IS NOT NULL GROUP BY 1, 2)
+SELECT event_id, coalesce(e.class, m.class) AS class FROM e LEFT JOIN m ON m.event_type = e.event_type AND k = 1""")
+def mode_impute(spark, sf_dir):
+    return impute.mode_impute(raw_events(spark, sf_dir), ["event_type"], ["class"]).select("event_id", "class")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 17 = 0 THEN 1.0 WHEN p_size % 13 = 0 THEN 0.66 WHEN p_size % 4 = 0 THEN 0.33 WHEN p_size % 5 = 0 THEN 0.01 END::DOUBLE AS weight,
+  CASE WHEN p_size > 25 THEN p_retailprice END AS inside FROM part""")
+def recode_mask(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    rules = [(c("p_size") % 5 == 0, 0.01), (c("p_size") % 4 == 0, 0.33), (c("p_size") % 13 == 0, 0.66), (c("p_size") % 17 == 0, 1.0)]
+    return impute.mask_outside(p.withColumn("inside", c("p_retailprice")), c("p_size") > 25, ["inside"]).select("p_partkey", impute.recode(c("p_size"), rules).alias("weight"), "inside")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size IN (4, 5) THEN 1.0 WHEN p_size IN (10, 11) THEN 0.66 WHEN p_size IN (13) THEN 0.33 WHEN p_size IN (17) THEN 0.01 END::DOUBLE AS grade,
+  (p_size = 10)::INTEGER::DOUBLE AS lc_10, round(sin(p_size), 8) AS x_aspect, round(cos(p_size), 8) AS y_aspect, round(log10(p_retailprice), 8) AS carea_log10, p_retailprice > 1500 AS channel FROM part""")
+def terrain_columns(spark, sf_dir):
+    p = impute.one_hot(impute.derive_terrain(table(spark, sf_dir, "part"), "p_size", "p_retailprice"), "p_size", [10])
+    return p.select("p_partkey", impute.graded_mask(c("p_size"), [4, 5], [10, 11], [13], [17]).alias("grade"), "lc_10", r6(c("x_aspect"), "x_aspect", 8), r6(c("y_aspect"), "y_aspect", 8), r6(c("carea_log10"), "carea_log10", 8), impute.initiate(c("p_retailprice"), 1500).alias("channel"))
+
+
+@query("""
+WITH n AS (SELECT *, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size END AS a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_retailprice END AS b FROM part)
+SELECT p_partkey, CASE WHEN a IS NULL AND b IS NOT NULL THEN 0 ELSE a END AS filled, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a END AS both_a, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN b END AS both_b,
+  p_partkey - min(p_partkey) OVER (PARTITION BY p_brand) AS based, least(greatest(p_size, 10), 40) AS clamped, greatest(p_size / 100, 0.2) AS rough, coalesce(b, 1.5) AS backfilled FROM n""")
+def clean_columns(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumns({"a": F.when(c("p_size") % 7 != 0, c("p_size")), "b": F.when(c("p_size") % 5 != 0, c("p_retailprice"))})
+    x, y = impute.both_present(c("a"), c("b"))
+    p = p.withColumns({"filled": impute.fill_inside(c("a"), c("b"), 0), "both_a": x, "both_b": y, "clamped": impute.clamp(c("p_size"), 10, 40), "rough": impute.rough_floodplain(c("p_size") / 100, F.lit(0.2)), "backfilled": c("b"), "based": c("p_partkey")})
+    p = impute.rebase(impute.backfill(p, {"backfilled": 1.5}), "based", ["p_brand"])
+    return p.select("p_partkey", "filled", "both_a", "both_b", "based", "clamped", "rough", "backfilled")
+
+
+@query("SELECT o_orderkey, round(o_totalprice / 1000 * 1000.0 / 3600, 8) AS rate, round(o_totalprice * 3600.0 / 1000, 4) AS depth FROM orders")
+def unit_conversions(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", r6(impute.depth_to_rate(c("o_totalprice") / 1000, 3600), "rate", 8), r6(impute.rate_to_depth(c("o_totalprice"), 3600), "depth", 4))
+
+
+# Bands and histograms
+
+
+@query("""
+WITH e AS (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1), n AS (SELECT *, least(100, greatest(1, ceil((hi - lo) / 1000)))::INTEGER AS n FROM e)
+SELECT l_orderkey, l_linenumber, least(floor((l_extendedprice - lo) / ((hi - lo) / n)), n - 1)::INTEGER AS band FROM lineitem JOIN n USING (l_returnflag)""")
+def height_bands(spark, sf_dir):
+    return banding.height_bands(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 1000.0).select("l_orderkey", "l_linenumber", "band")
+
+
+@query("""
+WITH b AS (SELECT event_type, least(floor(value / (100.0 / 50)), 49)::INTEGER AS bin FROM events WHERE value BETWEEN 0 AND 100)
+SELECT event_type, bin, round(count(*) / (sum(count(*)) OVER (PARTITION BY event_type) * 2.0), 8) AS density FROM b GROUP BY 1, 2""")
+def hist_density(spark, sf_dir):
+    return banding.hist_density(table(spark, sf_dir, "events"), ["event_type"], "value", 0.0, 100.0, 50).select("event_type", "bin", r6(c("density"), "density", 8))
+
+
+# Sequences
+
+KERNEL = ((0, 0.5), (1, 0.3), (2, 0.2))
+DAILY_SQL = "(SELECT date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::BIGINT AS step, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS v FROM orders GROUP BY 1)"
+
+
+def daily(spark, sf_dir) -> DataFrame:
+    day = F.datediff(c("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
+    return table(spark, sf_dir, "orders").groupBy(day.alias("step")).agg(F.sum(money("o_totalprice")).cast("double").alias("v"))
+
+
+@query(f"WITH k(lag, w) AS (VALUES (0, 0.5::DOUBLE), (1, 0.3::DOUBLE), (2, 0.2::DOUBLE)) SELECT step + lag AS step, round(sum(v * w), 4) AS routed FROM {DAILY_SQL} d, k GROUP BY 1")
+def uh_convolve(spark, sf_dir):
+    kernel = spark.createDataFrame(KERNEL, "lag long, w double")
+    return sequence.convolve(daily(spark, sf_dir), kernel, [], "step", "v", "lag", "w").select("step", r6(c("routed"), "routed", 4))
+
+
+@query("SELECT p_brand, p_partkey, round(p_size / sum(p_size) OVER (PARTITION BY p_brand), 8) AS w FROM part")
+def uh_normalise(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("w", c("p_size").cast("double"))
+    return sequence.normalise(p, ["p_brand"], "w").select("p_brand", "p_partkey", r6(c("w"), "w", 8))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) AS step FROM events),
+f AS (SELECT user_id, floor(date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) / 12)::BIGINT AS i, max(value) AS forcing FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+SELECT event_id, forcing FROM e LEFT JOIN f ON f.user_id = e.user_id AND f.i = floor(e.step / 6)::BIGINT""")
+def step_hold_join(spark, sf_dir):
+    hours = F.timestamp_diff("HOUR", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("hour", "ts"))
+    e = table(spark, sf_dir, "events").withColumn("step", hours)
+    f = e.where("event_type = 'click'").groupBy("user_id", F.floor(c("step") / 12).cast("long").alias("i")).agg(F.max("value").alias("forcing"))
+    return sequence.step_hold(e, f, ["user_id"], "step", 6, "i").select("event_id", "forcing")
+
+
+@query("SELECT event_id, least(value, coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), value)) AS value FROM events")
+def lead_min(spark, sf_dir):
+    return sequence.lead_min(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "value")
+
+
+@query("SELECT l_orderkey, round(sum(l_discount * l_quantity), 6) AS storage FROM lineitem GROUP BY 1")
+def vertical_integral(spark, sf_dir):
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_discount", "l_quantity"))).alias("s"))
+    return o.select("l_orderkey", r6(sequence.vertical_integral(c("s.l_discount"), c("s.l_quantity")), "storage"))
+
+
+@query("""
+WITH t AS (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bottom FROM lineitem), p AS (SELECT *, greatest(0, least(l_quantity, 40 - (bottom - l_quantity))) AS part FROM t)
+SELECT l_orderkey, round(sum(l_discount * part) / sum(part), 8) AS mean, max(bottom) AS depth FROM p GROUP BY 1""")
+def root_zone_mean(spark, sf_dir):
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_discount", "l_quantity"))).alias("s"))
+    return o.select("l_orderkey", r6(sequence.root_zone_mean(c("s.l_discount"), c("s.l_quantity"), 40.0), "mean", 8), F.element_at(sequence.cumulative(c("s.l_quantity")), -1).alias("depth"))
+
+
+@query("""
+WITH k AS (SELECT p_brand, p_size::DOUBLE AS x, avg(p_retailprice) AS y FROM part GROUP BY 1, 2), q(x) AS (VALUES (0.5::DOUBLE), (7.5), (20.0), (33.3), (99.0)),
+a AS (SELECT b.p_brand, q.x AS q, (SELECT max(x) FROM k WHERE k.p_brand = b.p_brand AND k.x <= q.x) AS x0, (SELECT min(x) FROM k WHERE k.p_brand = b.p_brand AND k.x > q.x) AS x1 FROM (SELECT DISTINCT p_brand FROM k) b, q)
+SELECT a.p_brand, q AS x, round(CASE WHEN x0 IS NULL THEN 0 WHEN x1 IS NULL THEN k0.y ELSE k0.y + (k1.y - k0.y) * (q - x0) / (x1 - x0) END, 6) AS y
+FROM a LEFT JOIN k k0 ON k0.p_brand = a.p_brand AND k0.x = x0 LEFT JOIN k k1 ON k1.p_brand = a.p_brand AND k1.x = x1""")
+def depth_interp(spark, sf_dir):
+    k = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("y"))
+    k = sequence.knots_of(k, ["p_brand"], "p_size", "y").withColumn("x", F.explode(F.array(*[F.lit(x) for x in (0.5, 7.5, 20.0, 33.3, 99.0)])))
+    return k.select("p_brand", "x", r6(sequence.interpolate(c("x"), c("knots")), "y"))
+
+
+@query("SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS block, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
+def block_mean(spark, sf_dir):
+    return sequence.block_mean(table(spark, sf_dir, "events"), ["user_id"], "ts", "1 day", ["value"]).select("user_id", "block", r6(c("value"), "value"))
+
+
+@query("SELECT o_orderkey, month(o_orderdate) BETWEEN 4 AND 9 AS summer, (month(o_orderdate) >= 11 OR month(o_orderdate) <= 2) AS winter, dayofyear(o_orderdate)::INTEGER AS doy FROM orders")
+def growing_season(spark, sf_dir):
+    m = F.month("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", sequence.in_season(m, 4, 9).alias("summer"), sequence.in_season(m, 11, 2).alias("winter"), F.dayofyear("o_orderdate").alias("doy"))
+
+
+LAI = (0.4, 0.5, 0.9, 1.6, 2.8, 4.1, 4.6, 4.4, 3.1, 1.7, 0.8, 0.5)
+
+
+@query(f"""
+WITH m AS (SELECT [{', '.join(map(str, LAI))}]::DOUBLE[] AS a), t AS (SELECT o_orderkey, 12.0::DOUBLE * dayofyear(o_orderdate) / 365.0 AS t FROM orders), i AS (SELECT *, trunc(t + 0.5)::INTEGER AS i1 FROM t)
+SELECT o_orderkey, round((i1 + 0.5 - t) * a[CASE WHEN i1 < 1 THEN 12 WHEN i1 > 12 THEN 1 ELSE i1 END] + (1 - (i1 + 0.5 - t)) * a[CASE WHEN i1 + 1 < 1 THEN 12 WHEN i1 + 1 > 12 THEN 1 ELSE i1 + 1 END], 8) AS lai FROM i, m""")
+def lai_interp(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("lai", F.array(*[F.lit(x) for x in LAI]))
+    return o.select("o_orderkey", r6(sequence.monthly(F.dayofyear("o_orderdate"), c("lai")), "lai", 8))
+
+
+@query("""
+WITH a AS (SELECT o_custkey, o_totalprice / 1000 AS hand, 100.0 + o_orderkey % 7 * 100 AS area, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) - 1 AS stage FROM orders),
+b AS (SELECT *, max(CASE WHEN stage = 0 THEN hand END) OVER w AS h0, max(CASE WHEN stage = 1 THEN hand END) OVER w AS h1, area / 50.0 AS w0, max(CASE WHEN stage = 0 THEN area / 50.0 END) OVER w AS a0, max(CASE WHEN stage = 1 THEN area / 50.0 END) OVER w AS a1 FROM a WINDOW w AS (PARTITION BY o_custkey)),
+d AS (SELECT *, CASE WHEN stage = 0 THEN hand ELSE hand - (h1 - h0) + 2.0 END AS z, least(9.0 - a0, 0.9 * a1) AS moved FROM b),
+e AS (SELECT *, CASE stage WHEN 0 THEN w0 + CASE WHEN a1 IS NULL THEN 9.0 - a0 ELSE moved END WHEN 1 THEN w0 - moved ELSE w0 END AS width FROM d),
+f AS (SELECT *, lead(z) OVER w - z AS rise, coalesce(sum(width) OVER (PARTITION BY o_custkey ORDER BY hand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM e WINDOW w AS (PARTITION BY o_custkey ORDER BY hand)),
+g AS (SELECT *, CASE WHEN stage > 0 THEN rise / (width / 2) END AS s FROM f)
+SELECT o_custkey, stage::INTEGER AS stage, round(z, 6) AS hand, round(width, 6) AS width, round(coalesce(s, CASE WHEN stage > 0 THEN lag(s) OVER w END), 8) AS slope,
+  round(coalesce(sum(CASE WHEN stage = 0 THEN width + 2 * rise ELSE 2 * rise END) OVER p, 0), 6) AS Pc, round(coalesce(sum(CASE WHEN stage > 0 THEN 2 * sqrt(width * width / 4 + rise * rise) ELSE 0 END) OVER p, 0), 6) AS Pf,
+  round(coalesce(sum(below * rise + CASE WHEN stage = 0 THEN width * rise ELSE 0 END) OVER p, 0), 7) AS Ac, round(coalesce(sum(CASE WHEN stage > 0 THEN width * rise / 2 ELSE 0 END) OVER p, 0), 7) AS Af
+FROM g WINDOW w AS (PARTITION BY o_custkey ORDER BY hand), p AS (PARTITION BY o_custkey ORDER BY hand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def stage_table(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", (c("o_totalprice") / 1000).alias("hand"), (100.0 + c("o_orderkey") % 7 * 100).alias("area"), F.lit(50.0).alias("length"), F.lit(2.0).alias("bankfull"), F.lit(9.0).alias("channel_width"))
+    s = sequence.stage_table(o, ["o_custkey"], "hand", "area", "length", "bankfull", "channel_width")
+    return s.select("o_custkey", "stage", *[r6(c(x), x) for x in ("hand", "width", "Pc", "Pf")], r6(c("slope"), "slope", 8), r6(c("Ac"), "Ac", 7), r6(c("Af"), "Af", 7))
+
+
+# Joins
+
+
+@query("SELECT c_custkey, CASE WHEN floor((c_acctbal + 1000) / 250.0) BETWEEN 0 AND 39 THEN floor((c_acctbal + 1000) / 250.0)::INTEGER END AS cell, greatest(0, least(39, floor((c_acctbal + 1000) / 250.0)))::INTEGER AS clamped FROM customer")
+def cell_range_join(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", joins.cell_of(c("c_acctbal"), -1000.0, 250.0, 40).alias("cell"), joins.cell_of(c("c_acctbal"), -1000.0, 250.0, 40, True).alias("clamped"))
+
+
+@query("""
+WITH g AS (SELECT p_partkey AS gid, p_retailprice - 1 AS lo, p_retailprice + p_size / 10.0 AS hi FROM part WHERE p_partkey % 4 = 0)
+SELECT gid, count(*) AS n, min(p_partkey) AS first FROM g JOIN part ON p_retailprice >= lo AND p_retailprice < hi GROUP BY 1""")
+def interval_join(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    g = p.where("p_partkey % 4 = 0").select(c("p_partkey").alias("gid"), (c("p_retailprice") - 1).alias("lo"), (c("p_retailprice") + c("p_size") / 10.0).alias("hi"))
+    return joins.range_join(p, g, "p_retailprice", "lo", "hi", 4.0).groupBy("gid").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+
+
+MAP_SQL = "(SELECT c_nationkey, floor((c_acctbal + 1000) / 500.0)::INTEGER AS cell, count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey) AS pct FROM customer GROUP BY 1, 2)"
+
+
+@query(f"""
+WITH v AS (SELECT floor((s_acctbal + 1000) / 500.0)::INTEGER AS cell, s_nationkey % 5 AS ts, avg(s_acctbal) AS v FROM supplier GROUP BY 1, 2)
+SELECT c_nationkey, ts, round(sum(v * pct), 6) AS v, round(sum(v * pct) / sum(pct), 8) AS renormalised FROM v JOIN {MAP_SQL} m USING (cell) GROUP BY 1, 2""")
+def regrid_sum(spark, sf_dir):
+    cell = lambda x: joins.cell_of(c(x), -1000.0, 500.0)
+    m = zonal.fractions(table(spark, sf_dir, "customer").withColumn("cell", cell("c_acctbal")), ["c_nationkey"], ["cell"], "pct")
+    v = table(spark, sf_dir, "supplier").groupBy(cell("s_acctbal").alias("cell"), (c("s_nationkey") % 5).alias("ts")).agg(F.avg("s_acctbal").alias("v"))
+    plain = joins.regrid(v, m, ["cell"], ["c_nationkey"], ["ts"], "v", "pct")
+    renorm = joins.regrid(v, m, ["cell"], ["c_nationkey"], ["ts"], "v", "pct", True).withColumnRenamed("v", "n")
+    return plain.join(renorm, ["c_nationkey", "ts"]).select("c_nationkey", "ts", r6(c("v"), "v"), r6(c("n"), "renormalised", 8))
+
+
+@query("""
+WITH p AS (SELECT s_suppkey, c_custkey, abs(s_acctbal - c_acctbal) AS d, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - c_acctbal), c_custkey) AS k FROM supplier JOIN customer ON c_nationkey = s_nationkey)
+SELECT s_suppkey, c_custkey, round(d, 6) AS distance FROM p WHERE k = 1 AND d <= 5000""")
+def nearest_match(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n")
+    cu = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n")
+    m = joins.nearest_match(s, cu, ["n"], "s_suppkey", "c_custkey", F.abs(c("s_acctbal") - c("c_acctbal")), 5000.0)
+    return m.select("s_suppkey", "c_custkey", r6(c("distance"), "distance"))
+
+
+@query("""
+WITH b AS (SELECT c_acctbal AS v, min(c_custkey) AS k FROM customer GROUP BY 1),
+lo AS (SELECT s_suppkey, s_acctbal, b.v, b.k FROM supplier ASOF LEFT JOIN b ON s_acctbal >= b.v), hi AS (SELECT s_suppkey, s_acctbal, b.v, b.k FROM supplier ASOF LEFT JOIN b ON s_acctbal <= b.v),
+u AS (SELECT *, abs(s_acctbal - v) AS d FROM lo WHERE v IS NOT NULL UNION ALL SELECT *, abs(s_acctbal - v) AS d FROM hi WHERE v IS NOT NULL)
+SELECT s_suppkey, arg_min(k, (d, k)) AS c_custkey, round(min(d), 6) AS distance FROM u GROUP BY 1""")
+def nearest_value(spark, sf_dir):
+    m = joins.nearest_value(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer"), "s_suppkey", "c_custkey", "s_acctbal", "c_acctbal")
+    return m.select("s_suppkey", "c_custkey", r6(c("distance"), "distance"))
+
+
+@query("""
+WITH n AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), i AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1 AS idx FROM n)
+SELECT l_orderkey, l_linenumber, idx::INTEGER AS idx FROM lineitem JOIN i USING (l_partkey, l_suppkey)""")
+def composite_link(spark, sf_dir):
+    from pyspark.sql import Window
+
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy("l_returnflag").agg(F.avg("l_quantity").alias("mean_q"))
+    n = li.select("l_suppkey", "l_partkey").distinct().withColumn("idx", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_partkey")) - 1)
+    return joins.composite_link(li, n, "l_suppkey", "l_partkey", "l_suppkey", "l_partkey", "idx").select("l_orderkey", "l_linenumber", "idx")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"zonal_stats": zonal_stats}
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def semi_headwaters(spark, sf_dir):
+    return joins.members(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey").select("c_custkey")
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"zonal_stats": "SELECT l_returnflag, avg(l_quantity) AS mean_q FROM lineitem GROUP BY 1"}
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_visited(spark, sf_dir):
+    return joins.strangers(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+
+
+@query("SELECT c_nationkey AS id FROM customer UNION SELECT s_nationkey FROM supplier")
+def id_union(spark, sf_dir):
+    return joins.id_union(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), "c_nationkey", "s_nationkey", "id")
+
+
+@query("SELECT c_nationkey AS id FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+def id_except(spark, sf_dir):
+    return joins.id_except(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), "c_nationkey", "s_nationkey", "id")
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
+def class_lookup(spark, sf_dir):
+    cu = joins.lookup(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), "c_nationkey", "n_nationkey")
+    return joins.lookup(cu, table(spark, sf_dir, "region"), "n_regionkey", "r_regionkey").select("c_custkey", "n_name", "r_name")
+
+
+LL = "n_nationkey, n_regionkey, n_nationkey * 3.0 - 30 AS lat, n_nationkey * 7.0 - 90 AS lon"
+HAV = "2.0 * 6371.0 * asin(sqrt(least(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2), 1.0)))"
+
+
+@query(f"WITH n AS (SELECT {LL} FROM nation) SELECT a.n_regionkey, a.n_nationkey AS a, b.n_nationkey AS b, round({HAV}, 6) AS km FROM n a JOIN n b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def pair_distance(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_regionkey", "n_nationkey * 3.0D - 30 AS lat", "n_nationkey * 7.0D - 90 AS lon")
+    return joins.near_pairs(n, "n_nationkey", "lat", "lon", ["n_regionkey"]).select("n_regionkey", "a", "b", r6(c("km"), "km"))
+
+
+@query(f"WITH n AS (SELECT {LL} FROM nation), b AS (SELECT n_nationkey, lat + k / 10.0 AS lat, lon - k / 20.0 AS lon FROM n, range(1, 5) t(k)) SELECT a.n_nationkey, round(min({HAV.replace('6371.0', '6367.0')}), 6) AS km FROM b a JOIN n b USING (n_nationkey) GROUP BY 1")
+def boundary_distance(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_nationkey * 3.0D - 30 AS lat", "n_nationkey * 7.0D - 90 AS lon")
+    b = n.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4)))).selectExpr("n_nationkey", "lat + k / 10.0D AS lat", "lon - k / 20.0D AS lon")
+    return joins.boundary_distance(b, n, "n_nationkey", "lat", "lon").select("n_nationkey", r6(c("km"), "km"))
+
+
+# Grids and networks
+
+GRID_SQL = "(SELECT (p_partkey - 1) // 16 AS i, (p_partkey - 1) % 16 AS j, p_size % 5 AS h, p_size % 3 AS b, p_size % 4 AS t, p_retailprice AS z FROM part)"
+
+
+def grid(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr("1 AS g", "(p_partkey - 1) div 16 AS i", "(p_partkey - 1) % 16 AS j", "p_size % 5 AS h", "p_size % 3 AS b", "p_size % 4 AS t", "p_retailprice AS z")
+
+
+@query(f"WITH g AS {GRID_SQL} SELECT a.h AS src, b.h AS dst, count(*) * 90.0::DOUBLE AS w FROM g a JOIN g b ON abs(a.i - b.i) + abs(a.j - b.j) = 1 WHERE a.h <> b.h GROUP BY 1, 2")
+def grid_adjacency(spark, sf_dir):
+    return graph.adjacency(grid(spark, sf_dir), ["g"], "h", edge_length=90.0).select("src", "dst", "w")
+
+
+@query(f"""
+WITH g AS {GRID_SQL} SELECT a.h AS src, b.h AS dst, count(*)::DOUBLE AS w FROM g a JOIN g b ON abs(a.i - b.i) + abs(a.j - b.j) = 1
+WHERE NOT (b.i < a.i AND b.i = 0) AND NOT (b.j < a.j AND b.j = 0) AND (a.h = b.h OR (a.t = 0 AND b.t = 0 AND a.b <> b.b) OR (a.b = b.b AND abs(a.t - b.t) = 1)) GROUP BY 1, 2""")
+def hmc_adjacency(spark, sf_dir):
+    when = graph.connected(c("a_h"), c("b_h"), c("a_b"), c("b_b"), c("a_t"), c("b_t"))
+    a = graph.adjacency(grid(spark, sf_dir), ["g"], "h", when, ["b", "t"], diagonal=True, legacy_edges=True)
+    return graph.sum_duplicates(graph.transpose(graph.transpose(a)), ["g"]).select("src", "dst", "w")
+
+
+@query(f"""
+WITH g AS {GRID_SQL}, d AS (SELECT a.i, a.j, sum((b.z - a.z) * (3 - abs(a.i - b.i) - abs(a.j - b.j)) * (b.j - a.j)) / 720.0 AS gx, sum((b.z - a.z) * (3 - abs(a.i - b.i) - abs(a.j - b.j)) * (b.i - a.i)) / 720.0 AS gy
+  FROM g a JOIN g b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND (a.i <> b.i OR a.j <> b.j) GROUP BY 1, 2)
+SELECT i, j, round(sqrt(gx * gx + gy * gy), 6) AS slope FROM d""")
+def slope_stencil(spark, sf_dir):
+    return graph.slope_aspect(grid(spark, sf_dir), ["g"], "z", 90.0).select("i", "j", r6(c("slope"), "slope"))
+
+
+def tree(spark, sf_dir) -> DataFrame:
+    """Customers as reaches: each drains to half its key; key 1 nowhere."""
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS r", "CASE WHEN c_custkey > 1 THEN c_custkey div 2 END AS down", "c_nationkey AS n", "c_acctbal + 1000 AS len", "CASE WHEN c_custkey % 50 > 1 THEN c_custkey div 2 END AS cut")
+
+
+TREE_SQL = "(SELECT c_custkey AS r, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS down, c_nationkey AS n, c_acctbal + 1000 AS len, CASE WHEN c_custkey % 50 > 1 THEN c_custkey // 2 END AS cut FROM customer)"
+
+
+@query(f"""
+WITH RECURSIVE t AS {TREE_SQL}, u AS (SELECT r AS root, r, 0 AS level FROM t WHERE down IS NULL UNION ALL SELECT u.root, t.r, u.level + 1 FROM u JOIN t ON t.down = u.r)
+SELECT r AS node, level FROM u""")
+def upstream_levels(spark, sf_dir):
+    return graph.upstream(tree(spark, sf_dir), "r", "down").select("node", "level")
+
+
+@query(f"""
+WITH RECURSIVE t AS {TREE_SQL}, u AS (SELECT r AS root, r FROM t WHERE cut IS NULL UNION ALL SELECT u.root, t.r FROM u JOIN t ON t.cut = u.r)
+SELECT root, count(*) AS n, sum(len::DECIMAL(18,2))::DOUBLE AS area FROM u JOIN t USING (r) GROUP BY 1""")
+def upstream_area(spark, sf_dir):
+    t = tree(spark, sf_dir)
+    found = graph.terminals(t, "r", "cut")
+    return found.join(t, "r").groupBy(c("terminal").alias("root")).agg(F.count("*").alias("n"), F.sum(money("len")).cast("double").alias("area"))
+
+
+@query(f"""
+WITH RECURSIVE t AS {TREE_SQL}, u AS (SELECT r AS terminal, r, 0.0::DOUBLE AS length FROM t WHERE cut IS NULL UNION ALL SELECT u.terminal, t.r, u.length + t.len FROM u JOIN t ON t.cut = u.r)
+SELECT u.r, terminal, round(length, 4) AS length, round(t.len - b.len, 4) AS hand FROM u JOIN t ON t.r = u.r JOIN t b ON b.r = terminal""")
+def pointer_basins(spark, sf_dir):
+    t = tree(spark, sf_dir)
+    found = graph.height_above(t, graph.terminals(t, "r", "cut", "len"), "r", "len")
+    return found.select("r", "terminal", r6(c("length"), "length", 4), r6(c("hand"), "hand", 4))
+
+
+@query(f"""
+WITH t AS {TREE_SQL}, g AS (SELECT down AS r, min(r) AS a, CASE WHEN count(*) > 1 THEN max(r) ELSE -9999 END AS b FROM t WHERE down IS NOT NULL GROUP BY 1)
+SELECT t.r, coalesce(a, -9999) AS up1, coalesce(b, -9999) AS up2, -9999::BIGINT AS up3 FROM t LEFT JOIN g USING (r)""")
+def upstream_ids(spark, sf_dir):
+    u = graph.upstream_ids(tree(spark, sf_dir), "r", "down")
+    return u.select("r", *[F.get("upstream", F.lit(i)).alias(f"up{i + 1}") for i in range(3)])
+
+
+@query(f"""
+WITH t AS {TREE_SQL}, e AS (SELECT DISTINCT a.n AS a, b.n AS b FROM t a JOIN t b ON a.down = b.r WHERE a.n <> b.n)
+SELECT coalesce(x.a, y.b) AS cid, s AS sends, v AS receives FROM (SELECT a, count(*) AS s FROM e GROUP BY 1) x FULL JOIN (SELECT b, count(*) AS v FROM e GROUP BY 1) y ON x.a = y.b""")
+def exchanges(spark, sf_dir):
+    t = tree(spark, sf_dir)
+    links = t.join(t.select(c("r").alias("down"), c("n").alias("to")), "down")
+    return graph.exchanges(links, "n", "to").select("cid", F.size("sends_to").cast("long").alias("sends"), F.size("receives_from").cast("long").alias("receives"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT s_suppkey AS u, s_suppkey // 3 * 3 + s_nationkey % 2 AS v FROM supplier), s AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e), w AS (SELECT a, a AS b FROM s UNION SELECT w.a, s.b FROM w JOIN s ON w.b = s.a)
+SELECT a AS node, min(b) AS component FROM w GROUP BY 1""")
+def river_components(spark, sf_dir):
+    e = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS u", "s_suppkey div 3 * 3 + s_nationkey % 2 AS v")
+    return graph.river_components(e, "u", "v")
+
+
+@query(f"""
+WITH t AS {TREE_SQL}, x AS (SELECT * FROM t WHERE len > 4000), u AS (SELECT down, count(*) AS k FROM x WHERE down IS NOT NULL GROUP BY 1)
+SELECT r, coalesce(k, 0) <> 1 AS starts, round(0.26 * pow(len / 1e6, 0.4), 8) AS bankfull, round(2.7 * pow(len / 1e6, 0.52), 8) AS channel_width FROM x LEFT JOIN u ON u.down = r""")
+def channel_heads(spark, sf_dir):
+    ch = graph.channels(tree(spark, sf_dir).withColumn("g", F.lit(1)), ["g"], "r", "down", "len", 4000.0)
+    return graph.channel_properties(ch, "len").select("r", "starts", r6(c("bankfull"), "bankfull", 8), r6(c("channel_width"), "channel_width", 8))
+
+
+@query(f"WITH t AS {TREE_SQL} SELECT t.r, coalesce(sum(u.len::DECIMAL(18,2)), 0)::DOUBLE AS q_in FROM t LEFT JOIN t u ON u.down = t.r GROUP BY 1")
+def reach_inflow(spark, sf_dir):
+    t = tree(spark, sf_dir).withColumns({"g": F.lit(1), "q": money("len")})
+    return routing.upstream_inflow(t, ["g"], "r", "down", "q").select("r", c("q_in").cast("double").alias("q_in"))
+
+
+@query("""
+WITH q AS (SELECT l_suppkey AS reach, sum(l_quantity * p_size / 1000.0) AS q FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT s_suppkey AS reach, round(coalesce(q, 0) / (s_acctbal + 2000), 8) AS qss FROM supplier LEFT JOIN q ON reach = s_suppkey""")
+def reach_qss(spark, sf_dir):
+    g = F.lit(1).alias("g")
+    rb = table(spark, sf_dir, "lineitem").select(g, c("l_suppkey").alias("reach"), c("l_partkey").alias("band"), c("l_quantity").alias("area"))
+    ro = table(spark, sf_dir, "part").select(g, c("p_partkey").alias("band"), c("p_size").cast("double").alias("q"))
+    le = table(spark, sf_dir, "supplier").select(g, c("s_suppkey").alias("reach"), (c("s_acctbal") + 2000).alias("length"))
+    return routing.lateral_inflow(ro, rb, le, ["g"], "reach", "band", "q", "area", "length").select("reach", r6(c("qss"), "qss", 8))
+
+
+# Lateral flow
+
+NODE_SQL = "(SELECT n_nationkey AS u, n_regionkey AS g, 0.2 + n_nationkey / 100.0 AS th, 0.05 AS thr, 0.5 AS ths, 3.0 + n_nationkey % 5 AS b, 0.1 AS sp, 1e-3 AS ks, 50.0 + n_nationkey * 2 AS hand, 900.0 + n_nationkey * 10 AS area, 2.0 AS m FROM nation)"
+
+
+def nodes(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "nation").selectExpr("n_nationkey AS u", "n_regionkey AS g", "array(0.2D + n_nationkey / 100.0D, 0.3D) AS theta", "array(0.1D, 0.4D) AS dz", "0.05D AS thetar", "0.5D AS thetas", "3.0D + n_nationkey % 5 AS b", "0.1D AS satpsi", "1e-3D AS ksat", "50.0D + n_nationkey * 2 AS hand", "900.0D + n_nationkey * 10 AS area", "2.0D AS m")
+
+
+def edges_of(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    a, b = n.select(c("n_regionkey").alias("g"), c("n_nationkey").alias("src")), n.select(c("n_regionkey").alias("g"), c("n_nationkey").alias("dst"))
+    return a.join(b, "g").where("src != dst").withColumn("w", (30.0 + (c("src") + c("dst")) % 7).cast("double"))
+
+
+@query(f"""
+WITH n AS {NODE_SQL}, l AS (SELECT *, 0 AS layer, 0.0 AS zt, 0.1 AS zb, greatest(th, 1.01 * thr) AS t FROM n UNION ALL SELECT *, 1, 0.1, 0.5, 0.3 FROM n),
+s AS (SELECT *, sp * pow((t - thr) / (ths - thr), -b) AS psi FROM l), k AS (SELECT *, hand - zt - psi AS h, m * ks * pow(psi / sp, -2.0 - 3.0 / b) * (exp(-zt / m) - exp(-zb / m)) AS tr FROM s),
+e AS (SELECT a.g, a.u AS src, b.u AS dst, 30.0 + (a.u + b.u) % 7 AS w, (b.area + a.area) / (30.0 + (a.u + b.u) % 7) / 2 AS dx FROM n a JOIN n b ON a.g = b.g AND a.u <> b.u)
+SELECT d.u, d.layer, round(sum(-1000 * (2 * s.tr * d.tr / (s.tr + d.tr)) * (s.h - d.h) / dx * w / d.area), 8) AS hdiv FROM e JOIN k s ON s.u = src JOIN k d ON d.u = dst AND d.layer = s.layer GROUP BY 1, 2""")
+def darcy_divergence(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    layers = flow.unit_layers(n, ["g", "u"], "theta", "dz", ["thetar", "thetas", "b", "satpsi", "ksat"], ["hand", "area", "m"])
+    e = flow.interface_width(edges_of(spark, sf_dir), n, ["g"], "u", "area")
+    return flow.divergence(flow.node_state(layers, "hand", "m"), e, ["g"], "u", "layer", "head", "trans", "area").select("u", "layer", r6(c("hdiv"), "hdiv", 8))
+
+
+@query("SELECT c_custkey, round(sum(c_acctbal * (1 + c_custkey % 3)) OVER w / sum(1 + c_custkey % 3) OVER w, 6) AS band_value FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
+def band_to_units(spark, sf_dir):
+    u = table(spark, sf_dir, "customer").withColumns({"g": F.lit(1), "a": (1 + c("c_custkey") % 3).cast("double")})
+    bands = flow.band_state(u, ["g"], "c_nationkey", "a", ["c_acctbal"]).withColumnRenamed("c_acctbal", "band_value")
+    return flow.to_units(u, bands, ["g"], "c_nationkey", ["band_value"]).select("c_custkey", r6(c("band_value"), "band_value"))
+
+
+@query("""
+SELECT c_custkey, greatest(0, greatest(c_acctbal, 0) - c_nationkey / 100.0 * 1000.0 / 3.6)::DOUBLE AS runoff, round(CASE WHEN c_acctbal > 0 THEN greatest(0, c_acctbal - c_nationkey / 100.0 * 1000.0 / 3.6) / c_acctbal ELSE 1 END, 8) AS ratio,
+  round(least(greatest(pow((c_acctbal + 2000) / (100.0 + c_nationkey), 2.0 / 3.0) * sqrt(greatest(c_nationkey / 1000.0, 1e-3)) / 0.04, 0.1), 10.0), 8) AS u FROM customer""")
+def runoff_and_velocity(spark, sf_dir):
+    new, ratio = routing.runoff_feedback(c("c_acctbal"), c("c_nationkey") / 100.0, 3.6)
+    u = routing.manning_velocity(routing.hydraulic_radius(c("c_acctbal") + 2000, 100.0 + c("c_nationkey")), c("c_nationkey") / 1000.0, F.lit(0.04))
+    return table(spark, sf_dir, "customer").select("c_custkey", new.alias("runoff"), r6(ratio, "ratio", 8), r6(u, "u", 8))
+
+
+# Physics
+
+
+@query("""
+SELECT c_custkey, round(0.6112 * exp(17.67 * (c_acctbal / 500) / (c_acctbal / 500 + 243.5)), 8) AS es, round(280 - 0.006 * c_acctbal / 10, 8) AS tair, round(101325 * exp(-(c_acctbal / 10) / 7200.0), 6) AS psurf,
+  round(5.67e-8 * pow(pow(300 / 5.67e-8, 0.25) - 0.006 * (c_acctbal / 10), 4), 6) AS lwdown FROM customer""")
+def magnus_downscale(spark, sf_dir):
+    d = physics.downscale(F.lit(280.0), F.lit(300.0), F.lit(101325.0), F.lit(0.005), c("c_acctbal") / 10)
+    return table(spark, sf_dir, "customer").select("c_custkey", r6(physics.magnus(c("c_acctbal") / 500), "es", 8), r6(d["tair"], "tair", 8), r6(d["psurf"], "psurf"), r6(d["lwdown"], "lwdown"))
+
+
+@query("""
+WITH e AS (SELECT event_id, dayofyear(ts) AS d, hour(ts) AS h, user_id * 3.0 - 20 AS lat, user_id * 10.0 - 100 AS lon FROM events),
+a AS (SELECT *, asin(sin(radians(23.5)) * sin(radians((CASE WHEN d >= 80 THEN d - 80 ELSE d + 285 END) * (360.0 / 365.0)))) AS decl, 6.2831853071796 * ((d - 1) / 365.0) AS da FROM e),
+b AS (SELECT *, radians(15.0 * (h + ((0.000075 + 0.001868 * cos(da) - 0.032077 * sin(da) - 0.014615 * cos(2 * da) - 0.04089 * sin(2 * da)) * 229.18) / 60.0 + lon / 15.0 - 12.0)) AS ha FROM a)
+SELECT event_id, round(decl, 8) AS declination, round(sin(radians(lat)) * sin(decl) + cos(radians(lat)) * cos(decl) * cos(ha), 8) AS cosz FROM b""")
+def solar_zenith(spark, sf_dir):
+    s = physics.solar(F.dayofyear("ts"), F.hour("ts"), c("user_id") * 3.0 - 20, c("user_id") * 10.0 - 100)
+    return table(spark, sf_dir, "events").select("event_id", r6(s["declination"], "declination", 8), r6(s["cosz"], "cosz", 8))
+
+
+@query("""
+WITH e AS (SELECT event_id, 270 + value / 10 AS t FROM events)
+SELECT event_id, round(CASE WHEN t > 275.66 THEN 0.0 WHEN t <= 273.66 THEN 1.0 WHEN t <= 275.16 THEN 1 - (-54.632 + 0.2 * t) ELSE 0.6 END, 8) AS f1, (CASE WHEN t < 275.36 THEN 1.0 ELSE 0.0 END)::DOUBLE AS f2, (CASE WHEN t < 273.16 THEN 1.0 ELSE 0.0 END)::DOUBLE AS f3,
+  round(least(120, 67.92 + 51.25 * exp((t - 273.16) / 2.59)), 6) AS density FROM e""")
+def rain_snow(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("t", 270 + c("value") / 10)
+    return e.select("event_id", r6(physics.snow_fraction(c("t"), 1), "f1", 8), physics.snow_fraction(c("t"), 2).alias("f2"), physics.snow_fraction(c("t"), 3).alias("f3"), r6(physics.fresh_density(c("t")), "density"))
+
+
+@query("""
+WITH e AS (SELECT event_id, 0.6 + (event_id % 20) / 100.0 AS old, value / 1e5 AS q, 0.55 + (0.6 + (event_id % 20) / 100.0 - 0.55) * exp(-0.01) AS faded FROM events)
+SELECT event_id, round(CASE WHEN q > 0 THEN faded + least(q, 1 / 3600.0) * (0.84 - faded) / (1 / 3600.0) ELSE faded END, 8) AS albedo FROM e""")
+def snow_albedo(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", r6(physics.snow_albedo_class(0.6 + c("event_id") % 20 / 100.0, c("value") / 1e5, 3600.0), "albedo", 8))
+
+
+@query("""
+WITH e AS (SELECT event_id, (event_id % 7) / 10.0 AS tau, 250 + value / 10 AS t, (event_id % 5)::DOUBLE AS swe FROM events), g AS (SELECT *, exp(5000 * (1 / 273.16 - 1 / t)) AS grow FROM e)
+SELECT event_id, round(CASE WHEN swe <= 0 THEN 0 ELSE greatest(0, (tau + 3600 / 1e6 * (grow + exp(least(0, 10 * ln(grow))) + 0.3)) * greatest(0, 1 - greatest(0, swe - 2.5))) END, 8) AS age FROM g""")
+def snow_age(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", r6(physics.snow_age(c("event_id") % 7 / 10.0, 250 + c("value") / 10, (c("event_id") % 5).cast("double"), F.lit(2.5), 3600.0), "age", 8))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size / 100.0 AS th, 3.0 + p_size % 9 AS b, p_size % 10 / 10.0 AS ice FROM part), f AS (SELECT *, greatest(0.01, th / 0.5) AS f, greatest(0, exp(-4 * (1 - least(1, ice / 0.5))) - exp(-4.0)) / (1 - exp(-4.0)) AS fcr FROM p)
+SELECT p_partkey, round(1e-4 * pow(f, b + 2) * (1 - fcr) * 1e6, 8) AS diffusivity, round(1e-5 * pow(f, 2 * b + 3) * (1 - fcr) * 1e6, 8) AS conductivity, round(fcr, 8) AS fcr,
+  round(2.0 * ((1 - fcr) * 0.38 * exp(-0.5 * 2.0 * (th * 10)) + fcr), 8) AS surface, round((1 - fcr) * 4.0 * exp(-10.5) * exp(-2.0 * (th * 10)) * 1e6, 8) AS base FROM f""")
+def soil_hydraulics(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumns({"th": c("p_size") / 100.0, "b": 3.0 + c("p_size") % 9, "ice": c("p_size") % 10 / 10.0})
+    fcr = physics.impermeable(c("ice"), F.lit(0.5))
+    h = physics.soil_hydraulics(c("th"), F.lit(0.5), c("b"), F.lit(1e-4), F.lit(1e-5), fcr)
+    return p.select("p_partkey", r6(h["diffusivity"] * 1e6, "diffusivity", 8), r6(h["conductivity"] * 1e6, "conductivity", 8), r6(fcr, "fcr", 8), r6(physics.surface_runoff(F.lit(2.0), c("th") * 10, fcr), "surface", 8), r6(physics.base_runoff(c("th") * 10, fcr) * 1e6, "base", 8))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_retailprice / 1e4 AS q, p_size / 50.0 AS d FROM part), x AS (SELECT *, q * 3600 AS px, d * (1 - exp(-2.0 * 3600 / 86400.0)) AS dd FROM p)
+SELECT p_partkey, round(least(px * dd / (px + dd) / 3600, q), 10) AS infiltration FROM x""")
+def infiltration(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", r6(physics.infiltration(c("p_retailprice") / 1e4, c("p_size") / 50.0, F.lit(2.0), 3600.0), "infiltration", 10))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size % 8 / 2.0 AS lai, p_size % 3 / 3.0 AS sai, p_retailprice / 1e6 AS rain, p_size / 1000.0 AS held FROM part)
+SELECT p_partkey, CASE WHEN lai + sai <= 0 THEN 0 ELSE round(greatest(1 - exp(-0.52 * (lai + sai)), 0.05), 8) END AS fveg,
+  CASE WHEN lai + sai <= 0 THEN 0 ELSE round(greatest(0, least(0.8 * rain * 0.5, (0.1 * (lai + sai) - held) / 3600 * (1 - exp(-rain * 3600 / (0.1 * (lai + sai)))))), 10) END AS caught,
+  CASE WHEN lai + sai <= 0 THEN 0 ELSE round(pow(least(1, held / (0.1 * (lai + sai))), 0.667), 8) END AS wet FROM p""")
+def canopy(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumns({"lai": c("p_size") % 8 / 2.0, "sai": c("p_size") % 3 / 3.0, "rain": c("p_retailprice") / 1e6, "held": c("p_size") / 1000.0})
+    la = c("lai") + c("sai")
+    return p.select("p_partkey", r6(physics.vegetation_fraction(F.lit(0.5), c("lai"), c("sai"), F.lit(0.9), 3), "fveg", 8), r6(physics.interception(c("rain"), F.lit(0.5), F.lit(0.8), la, c("held"), 3600.0, 0.1), "caught", 10), r6(physics.wetted_fraction(c("held"), 0.1 * la), "wet", 8))
+
+
+@query("SELECT o_orderkey, round(o_totalprice - 100 - (o_totalprice * 0.5 - 3.0 - 4.0 - 2.0 - 1.0 - 0.5 - 0.25) * 3600, 4) AS water, round(o_totalprice - (o_totalprice * 0.6 + o_totalprice * 0.4), 4) + 0.0 AS light FROM orders")
+def balances(spark, sf_dir):
+    p = c("o_totalprice")
+    w = physics.water_error(p, F.lit(100.0), p * 0.5, F.lit(3.0), F.lit(4.0), F.lit(2.0), F.lit(1.0), F.lit(0.5), F.lit(0.25), 3600.0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", r6(w, "water", 4), (F.round(physics.shortwave_error(p, p * 0.6, p * 0.4), 4) + 0.0).alias("light"))
+
+
+# Solvers, clusters, water use: held against plain NumPy in the tests
+
+
+@query()
+def kmeans_units(spark, sf_dir):
+    p = impute.mean_impute(table(spark, sf_dir, "part"), ["p_brand"], ["p_retailprice"])
+    return clustering.kmeans(clustering.min_max(p, ["p_retailprice", "p_size"]), ["scaled_p_retailprice", "scaled_p_size"], 5).select("p_partkey", "cluster")
+
+
+@query()
+def band_clusters(spark, sf_dir):
+    return clustering.grouped_kmeans(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size"), ["p_brand"], ["p_retailprice", "p_size"], 3).select("p_partkey", "p_brand", "cluster")
+
+
+def reaches(spark, sf_dir) -> DataFrame:
+    return tree(spark, sf_dir).selectExpr("1 AS comp", "r", "down", "500.0D + n * 20 AS length", "0.001D + n / 5000.0D AS slope", "5.0D + n / 5.0D AS width", "0.035D AS manning", "1.0D + n / 10.0D AS area", "1e-5D * (1 + n) AS q_lat", "0.0D AS boundary")
+
+
+STEP_SQL = """
+s{j} AS (SELECT t.*, t.a{i} * u{i} AS q{i} FROM (SELECT *, least(greatest(pow(a{i} / (width + 2 * a{i} / width), 2.0 / 3.0) * sqrt(greatest(slope, 1e-3)) / 0.035, 0.1), 10.0) AS u{i} FROM r{i}) t),
+r{j} AS (SELECT s.r, s.down, s.length, s.slope, s.width, s.ql, greatest(0, s.a{i} + 100 * (s.ql + (coalesce(u.q, 0) - s.q{i}) / s.length)) AS a{j}, s.u{i} AS ulast FROM s{j} s LEFT JOIN (SELECT down, sum(q{i}) AS q FROM s{j} GROUP BY 1) u ON u.down = s.r)"""
+
+
+@query(f"""
+WITH t AS {TREE_SQL}, r0 AS (SELECT r, down, 500.0 + n * 20 AS length, 0.001 + n / 5000.0 AS slope, 5.0 + n / 5.0 AS width, 1e-5 * (1 + n) AS ql, 1.0 + n / 10.0 AS a0 FROM t),
+{STEP_SQL.format(i=0, j=1)}, {STEP_SQL.format(i=1, j=2)} SELECT r, round(a2, 8) AS area FROM r2""")
+def kinematic_step(spark, sf_dir):
+    return routing.route(reaches(spark, sf_dir), "comp", "r", "down", 100.0, 2).select("r", r6(c("area"), "area", 8))
+
+
+@query(_SQL["kinematic_step"])
+def kinematic_by_joins(spark, sf_dir):
+    return routing.route_by_joins(reaches(spark, sf_dir), "r", "down", 100.0, 2).select("r", r6(c("area"), "area", 8))
+
+
+@query()
+def kinematic_implicit(spark, sf_dir):
+    return routing.route(reaches(spark, sf_dir), "comp", "r", "down", 100.0, 36, implicit=True).select("r", r6(c("area"), "area"), r6(c("q"), "q"))
+
+
+@query("""
+SELECT p_partkey, round(CASE WHEN a < 10 THEN a / 10 ELSE 1 + (2 * (a - 10)) / (10 + sqrt(100 + 4 * 0.5 * (a - 10))) END, 8) AS depth FROM (SELECT p_partkey, p_retailprice / 50 AS a FROM part)""")
+def conveyance_stage(spark, sf_dir):
+    """Depth at the lowest level of a section of two levels: the channel, and a bank that
+    rises by 2 for each metre."""
+    arr = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    d = routing.inundation_of(arr(0, 1), c("p_retailprice") / 50, arr(0, 10), arr(10, 20), arr(1, 2))
+    return table(spark, sf_dir, "part").select("p_partkey", r6(F.get(d, F.lit(0)), "depth", 8))
+
+
+@query("SELECT l_returnflag AS g, l_linenumber AS band, round(sum(l_discount * l_quantity) / sum(l_quantity), 8) AS depth FROM lineitem GROUP BY 1, 2")
+def band_inundation(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(c("l_returnflag").alias("g"), c("l_linenumber").alias("band"), c("l_discount").alias("depth"), c("l_quantity").alias("a"))
+    return routing.band_inundation(li, ["g"], "band", "depth", "a").select("g", "band", r6(c("depth"), "depth", 8))
+
+
+@query()
+def column_step(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    a = lambda f: F.array(*[f(i) for i in range(10)])
+    rows = p.select("p_partkey", a(lambda i: F.lit(0.15) + (c("p_size") % 20) / 100.0 + 0.005 * i).alias("theta"), a(lambda i: F.lit(0.05 * (i + 1))).alias("dz"), a(lambda i: F.lit(0.45)).alias("smax"), a(lambda i: F.lit(1e-9)).alias("transp"), a(lambda i: F.lit(0.0)).alias("hdiv"), (4.0 + c("p_size") % 5).alias("b"), F.lit(1e-5).alias("dsat"), F.lit(3e-6).alias("ksat"), (c("p_retailprice") * 1e-9).alias("infil"), F.lit(1e-8).alias("evap"))
+    out = column.step_columns(rows, ["p_partkey"], 3600.0)
+    return out.select("p_partkey", r6(F.get("theta", F.lit(0)), "top"), r6(F.element_at("theta", -1), "bottom"), r6(c("drainage") * 1e6, "drainage"), r6(c("excess") * 1e6, "excess"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, greatest(0, l_quantity - 20) * 0.1 AS over, greatest(0, 30 - l_quantity) * 0.1 AS gap FROM lineitem)
+SELECT l_orderkey, round(0.8 * sum(over), 6) AS groundwater, round(sum(gap) / 0.85, 6) AS demand FROM l GROUP BY 1""")
+def water_supply_demand(spark, sf_dir):
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("theta"))
+    rep = lambda v: F.transform("theta", lambda _: F.lit(v))
+    n = F.size("theta")
+    return o.select("l_orderkey", r6(wateruse.groundwater_supply(c("theta"), rep(20.0), rep(0.1), n - 1), "groundwater"), r6(wateruse.irrigation_demand(c("theta"), rep(30.0), rep(50.0), rep(0.1), n, F.lit(False)), "demand"))
+
+
+@query()
+def water_allocation(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS cid", "s_suppkey AS supply", "s_acctbal + 1000 AS amount")
+    d = table(spark, sf_dir, "customer").where("c_acctbal > 9000").selectExpr("c_nationkey AS cid", "c_custkey AS demand", "c_acctbal / 10 AS need")
+    links = s.join(d, "cid").withColumn("cost", F.pmod(F.xxhash64("supply", "demand"), F.lit(1000)).cast("double"))
+    return wateruse.allocate(links, "cid", "supply", "demand", "amount", "need", "cost").groupBy("demand").agg(r6(F.sum("flow"), "flow", 4))
