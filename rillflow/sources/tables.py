@@ -30,7 +30,7 @@ def text_of(spark: SparkSession, path: str) -> str:
 
 def read_class_table(spark: SparkSession, path: str, section: str | None = None) -> DataFrame:
     """A table of classes: comma-separated numbers with the class first and a name in quotes
-    last; column names stand in quotes in the line above.  section: the line that a table
+    last; the first line has the column names in quotes.  section: the line that a table
     follows in a file of several."""
     lines = [line.split("!")[0].strip() for line in text_of(spark, path).splitlines()]
     if section is not None:
@@ -40,12 +40,12 @@ def read_class_table(spark: SparkSession, path: str, section: str | None = None)
     for line in lines:
         quoted = re.findall(r"'([^']*)'", line)
         parts = [p.strip() for p in re.sub(r"'[^']*'", "", line).split(",") if p.strip()]
-        if rows and not re.match(r"\s*\d+\s*,", line):
-            break
-        if re.match(r"\s*\d+\s*,", line):
-            rows.append((int(parts[0]), *map(float, parts[1:]), quoted[-1].strip() if quoted else None))
-        elif quoted:
+        if not names and quoted:  # the line of column names stands first
             names = quoted[0].split()
+        elif re.match(r"\s*\d+\s*,", line):
+            rows.append((int(parts[0]), *map(float, parts[1:]), quoted[-1].strip() if quoted else None))
+        elif rows:
+            break
     width = max(map(len, rows), default=2) - 2
     names = [n.lower() for n in names][:width] if len(names) >= width else [f"p{i}" for i in range(width)]
     schema = T.StructType([T.StructField("class", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("name", T.StringType())])
