@@ -107,8 +107,9 @@ def pivot(p: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def _level(t: pa.Table, level: int, seed: int, last: bool) -> pa.Table:
-    """One node of the tree: rows sorted by size, then by what else tells them apart."""
-    t = t.sort_by([("size", "ascending"), ("tie", "ascending"), ("rid", "ascending")])
+    """One node of the tree: rows from the largest down, so that what is left is small; of
+    one size by what else tells them apart."""
+    t = t.sort_by([("size", "descending"), ("tie", "ascending"), ("rid", "ascending")])
     n = t.num_rows
     key = [np.full(n, t.column(c)[0].as_py(), np.int64) for c in ("place", "node")]
     u = draws(seed, *key, np.full(n, level), np.arange(n))
