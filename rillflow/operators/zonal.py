@@ -82,6 +82,12 @@ def member_mean(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Data
     return _back(df, means, keys, {c: F.col(f"__m_{c}") for c in cols})
 
 
+def adjusted_area(pixels: DataFrame, bands: DataFrame, keys: Sequence[str], area: str, name: str = "pixel_area") -> DataFrame:
+    """Each pixel's part of its band's area."""
+    n = pixels.groupBy(*keys).agg(F.count("*").alias("__n")).join(bands.select(*keys, F.col(area).alias("__a")), list(keys))
+    return _back(pixels.withColumn(name, F.lit(None).cast("double")), n, keys, {name: F.col("__a") / F.col("__n")})
+
+
 def fractions(df: DataFrame, zone: Sequence[str], part: Sequence[str], name: str = "fraction") -> DataFrame:
     """Shares of a zone's rows that its parts have; they add up to 1."""
     counts = df.groupBy(*zone, *part).agg(F.count("*").alias("n"))

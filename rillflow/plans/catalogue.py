@@ -438,6 +438,13 @@ def boundary_distance(spark, sf_dir):
     return joins.boundary_distance(b, n, "n_nationkey", "lat", "lon").select("n_nationkey", r6(c("km"), "km"))
 
 
+@query("SELECT p_partkey, round(s / count(*) OVER (PARTITION BY p_brand), 6) AS pixel_area FROM part JOIN (SELECT p_brand, sum(p_retailprice::DECIMAL(18,2))::DOUBLE AS s FROM part GROUP BY 1) USING (p_brand)")
+def adjusted_area(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    bands = p.groupBy("p_brand").agg(F.sum(money("p_retailprice")).cast("double").alias("s"))
+    return zonal.adjusted_area(p, bands, ["p_brand"], "s").select("p_partkey", r6(c("pixel_area"), "pixel_area"))
+
+
 # Grids and networks
 
 GRID_SQL = "(SELECT (p_partkey - 1) // 16 AS i, (p_partkey - 1) % 16 AS j, p_size % 5 AS h, p_size % 3 AS b, p_size % 4 AS t, p_retailprice AS z FROM part)"
@@ -756,3 +763,41 @@ def water_allocation(spark, sf_dir):
     d = table(spark, sf_dir, "customer").where("c_acctbal > 9000").selectExpr("c_nationkey AS cid", "c_custkey AS demand", "c_acctbal / 10 AS need")
     links = s.join(d, "cid").withColumn("cost", F.pmod(F.xxhash64("supply", "demand"), F.lit(1000)).cast("double"))
     return wateruse.allocate(links, "cid", "supply", "demand", "amount", "need", "cost").groupBy("demand").agg(r6(F.sum("flow"), "flow", 4))
+
+
+@query("""
+SELECT p_partkey, p_size IN (12, 14) AS irrigated, p_size IN (13) AS urban, round(-990 + p_size / 5.0, 6) AS cost, p_size <= 25 AND p_retailprice >= 1000 AS feasible,
+  round(p_retailprice / 1e6 + p_size / 1000.0 * 1000.0 / 3600, 10) AS rain, round(2.0 * p_size / 50.0, 8) AS channel_q, round(2.0 * (1 - p_size / 50.0), 8) AS floodplain_q FROM part""")
+def water_use_columns(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    m = wateruse.sector_masks(c("p_size"), {"irrigated": [12, 14], "urban": [13]})
+    ok = wateruse.feasible_links(p.select("p_partkey", "p_size", "p_retailprice"), "p_size", "p_retailprice", 25.0, 1000.0).select(c("p_partkey").alias("k"), F.lit(True).alias("ok"))
+    a, b = routing.split_flow(F.lit(2.0), c("p_size") / 50.0, F.lit(1.0))
+    return p.join(ok, c("k") == c("p_partkey"), "left").select("p_partkey", m["irrigated"].alias("irrigated"), m["urban"].alias("urban"), r6(wateruse.link_cost(F.lit(-990.0), c("p_size"), 5.0), "cost"), F.coalesce("ok", F.lit(False)).alias("feasible"), r6(wateruse.with_irrigation(c("p_retailprice") / 1e6, c("p_size") / 1000.0, 3600.0), "rain", 10), r6(a, "channel_q", 8), r6(b, "floodplain_q", 8))
+
+
+@query("""
+WITH g AS (SELECT (p_partkey - 1) // 16 AS i, (p_partkey - 1) % 16 AS j, p_size % 3 AS cid FROM part)
+SELECT a.i AS from_i, a.j AS from_j, a.cid AS from_cid, b.i AS to_i, b.j AS to_j, b.cid AS to_cid FROM g a JOIN g b ON b.i = a.i AND b.j = a.j - 1 WHERE a.cid <> b.cid""")
+def inlets_outlets(spark, sf_dir):
+    g = grid(spark, sf_dir).withColumns({"cid": c("b"), "fdir": F.lit(16)})
+    return graph.inlets_outlets(g, ["g"], "cid", "fdir").select("from_i", "from_j", "from_cid", "to_i", "to_j", "to_cid")
+
+
+@query()
+def catchment_run(spark, sf_dir):
+    """Parts as the pixels of two catchments that drain along rows into a channel: prepared,
+    run for a day with a storm, and balanced."""
+    from . import catchment
+
+    px = table(spark, sf_dir, "part").selectExpr(
+        "CASE WHEN p_partkey <= 96 THEN 1L ELSE 2L END AS cid", "(p_partkey - 1) div 16 AS i", "(p_partkey - 1) % 16 AS j", "40.0D + ((p_partkey - 1) div 16) / 100 AS lat", "-100.0D + ((p_partkey - 1) % 16) / 100 AS lon",
+        "100.0D + (p_partkey - 1) % 16 * 3 + (p_partkey - 1) div 16 + p_size / 10.0D AS dem", "CASE WHEN (p_partkey - 1) % 16 > 0 THEN 16 ELSE 64 END AS fdir", "8100.0D * (16 - (p_partkey - 1) % 16) AS acc", "cast(p_size % 20 AS long) AS lc",
+        "4.0D + p_size % 5 AS BB", "0.1D AS SATPSI", "1e-5D AS SATDW", "3e-6D + p_size * 1e-7D AS SATDK", "0.43D AS MAXSMC", "0.05D AS DRYSMC",
+    )
+    t = catchment.prepare(px, band_height=15.0, threshold=8100.0 * 15)
+    s = c("step")
+    f = t["units"].select("cid", "hru").join(t["components"], "cid").join(F.broadcast(spark.range(24).withColumnRenamed("id", "step")), F.lit(True))
+    f = f.select("component", "cid", "hru", "step", F.lit(300.0).alias("lwdown"), F.greatest(F.lit(0.0), F.sin((s - 6) * 0.2618) * 600).alias("swdown"), F.lit(288.0).alias("tair"), F.when(s.between(4, 9), 4.0 / 3600).otherwise(0.0).alias("precip"), F.lit(95000.0).alias("psurf"), F.lit(2.0).alias("wind"), F.lit(0.002).alias("spfh"))
+    out = catchment.simulate(f, catchment.structure(t, [0.05 * (k + 1) for k in range(10)]))
+    return catchment.balances(out, t["units"]).select("cid", "step", "name", r6(c("value"), "value"), r6(c("running"), "running"))

@@ -27,6 +27,29 @@ def test_grids(spark, tmp_path):
     assert tables.in_box(px, (50.5, 51), (10, 11)).count() == 2
 
 
+def test_geotiff_round_trip(spark, tmp_path):
+    import struct
+
+    from rillflow.sources import geotiff
+
+    v = np.arange(12, dtype=float).reshape(3, 4)
+    v[1, 2] = np.nan
+    (tmp_path / "a_latlon_5cm.tif").write_bytes(geotiff.build(v, 10.0, 50.0, 0.5))
+    px = geotiff.read_geotiff(spark, str(tmp_path / "*.tif"))
+    rows = {(r.i, r.j): r for r in px.collect()}
+    assert len(rows) == 11 and rows[2, 3].value == 11.0 and rows[0, 0].lat == 49.75 and rows[0, 3].lon == 11.75
+    m = geotiff.raster_metadata(spark, str(tmp_path)).first()
+    assert (m.minx, m.maxx, m.miny, m.maxy, m.nx, m.ny, m.nodata) == (10.0, 12.0, 48.5, 50.0, 4, 3, -9999.0)
+    back, meta = geotiff.parse(bytes(geotiff.to_geotiff(px, ["path"], "value", 0.5).first().content))
+    assert np.array_equal(back, v, equal_nan=True) and meta["maxy"] == 50.0
+    # a big-endian file of uncompressed 16-bit strips of two rows
+    body = np.arange(12, dtype=">i2").tobytes()
+    tags = [(256, 3, 1, 4 << 16), (257, 3, 1, 3 << 16), (258, 3, 1, 16 << 16), (259, 3, 1, 1 << 16), (273, 4, 2, 200), (278, 3, 1, 2 << 16), (279, 4, 2, 208), (339, 3, 1, 2 << 16)]
+    ifd = struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHII", *t) for t in tags) + bytes(4)
+    data = (b"MM\0*" + struct.pack(">I", 8) + ifd).ljust(200, b"\0") + struct.pack(">IIII", 216, 232, 16, 8) + body
+    assert np.array_equal(geotiff.parse(data)[0], np.arange(12.0).reshape(3, 4))
+
+
 def test_outputs_and_restart(spark, tmp_path):
     df = spark.createDataFrame([(1, "2018-01-01", 1.23456), (1, "2018-01-02", None)], "cid long, date string, q double")
     tables.write_outputs(df, str(tmp_path / "o"), ["date"], ["q"], {"q": 2})
