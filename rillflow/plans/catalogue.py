@@ -341,11 +341,11 @@ def cell_range_join(spark, sf_dir):
 
 
 @query("""
-WITH g AS (SELECT p_partkey AS gid, p_retailprice - 1 AS lo, p_retailprice + p_size / 10.0 AS hi FROM part WHERE p_partkey % 4 = 0)
+WITH g AS (SELECT p_partkey AS gid, p_retailprice - 1 AS lo, p_retailprice + p_size / 10.0 AS hi FROM part)
 SELECT gid, count(*) AS n, min(p_partkey) AS first FROM g JOIN part ON p_retailprice >= lo AND p_retailprice < hi GROUP BY 1""")
 def interval_join(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    g = p.where("p_partkey % 4 = 0").select(c("p_partkey").alias("gid"), (c("p_retailprice") - 1).alias("lo"), (c("p_retailprice") + c("p_size") / 10.0).alias("hi"))
+    g = p.select(c("p_partkey").alias("gid"), (c("p_retailprice") - 1).alias("lo"), (c("p_retailprice") + c("p_size") / 10.0).alias("hi"))
     return joins.range_join(p, g, "p_retailprice", "lo", "hi", 4.0).groupBy("gid").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
@@ -760,8 +760,10 @@ def water_supply_demand(spark, sf_dir):
 @query()
 def water_allocation(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS cid", "s_suppkey AS supply", "s_acctbal + 1000 AS amount")
-    d = table(spark, sf_dir, "customer").where("c_acctbal > 9000").selectExpr("c_nationkey AS cid", "c_custkey AS demand", "c_acctbal / 10 AS need")
-    links = s.join(d, "cid").withColumn("cost", F.pmod(F.xxhash64("supply", "demand"), F.lit(1000)).cast("double"))
+    d = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS cid", "c_custkey AS demand", "greatest(c_acctbal, 0) / 10 AS need", "c_acctbal")
+    # a supply reaches demands of about its own level
+    links = wateruse.feasible_links(s.join(d, "cid").withColumn("off", F.abs(c("amount") - 1000 - c("c_acctbal"))).withColumn("slope", F.lit(0.0)), "off", "slope", 300.0)
+    links = links.withColumn("cost", F.pmod(F.xxhash64("supply", "demand"), F.lit(1000)).cast("double"))
     return wateruse.allocate(links, "cid", "supply", "demand", "amount", "need", "cost").groupBy("demand").agg(r6(F.sum("flow"), "flow", 4))
 
 
