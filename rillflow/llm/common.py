@@ -57,6 +57,16 @@ def stable(df: DataFrame) -> DataFrame:
     return written(df, "input") if "Exchange" in plan or "RDD" in plan else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that takes much time a row: a table with fewer row groups than there are
+    cores is dealt out over them first."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if plan.execute().getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))

@@ -53,7 +53,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", data_col: str = "text")
             files = jpeg.encode(blocks, [NOTE + str(64 * len(x)).encode() for x in blocks])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, data)), pa.int64()), pa.array(files, pa.binary())], [id_col, "n_bytes", "media"])
 
-    return slim.mapInArrow(run, T.StructType([common.field(docs, id_col)]).add("n_bytes", "long").add("media", "binary"))
+    return common.spread(slim).mapInArrow(run, T.StructType([common.field(docs, id_col)]).add("n_bytes", "long").add("media", "binary"))
 
 
 def read_media(stored: DataFrame, media_col: str = "media") -> DataFrame:

@@ -69,7 +69,7 @@ def buckets_of(buckets: int) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, fit_rows: int, smooth: float) -> np.ndarray:
     """The log-ratio of each bucket: an array of fixed size."""
     ids = trusted.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(fit_rows).select("id", F.lit(1).alias("in"))
-    rows = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text")).join(F.broadcast(ids), "id", "left")
+    rows = common.spread(docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))).join(F.broadcast(ids), "id", "left")
     # a bucket's counts are summed in each task before they are shuffled
     grams = rows.select("in", words_of(F.col("text")).alias("words")).select("in", F.explode(buckets_of(buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("in").alias("target")).collect()
@@ -85,7 +85,7 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio,
     kept) of each row; trusted: ids of trusted documents."""
     ratios = log_ratios(docs, trusted, id_col, text_col, buckets, fit_rows, smooth)
-    df = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
+    df = common.spread(docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text")))
     df = df.withColumn("words", words_of(F.col("text")))
     df = repeat_words(with_windows(df))
     df = df.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != ""))

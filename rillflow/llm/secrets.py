@@ -192,7 +192,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], [id_col, "spans"])
 
     spans = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("guesses", "double"))
-    return slim.mapInArrow(run, T.StructType([common.field(docs, id_col), T.StructField("spans", spans)]))
+    return common.spread(slim).mapInArrow(run, T.StructType([common.field(docs, id_col), T.StructField("spans", spans)]))
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", least: float = 12.0) -> DataFrame:
@@ -204,7 +204,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", least: float = 12.0)
             texts = [t if t is None else redacted(t, spans_of(t, least)) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.spread(docs).mapInArrow(run, docs.schema)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

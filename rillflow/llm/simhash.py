@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(x, shingle, seed) for x in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return slim.mapInArrow(run, T.StructType([common.field(docs, id_col, "id"), T.StructField("fp", T.LongType())]))
+    return common.spread(slim).mapInArrow(run, T.StructType([common.field(docs, id_col, "id"), T.StructField("fp", T.LongType())]))
 
 
 def _signed(mask: int) -> int:

@@ -242,12 +242,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n or toxic in (0, n):
         base = toxic / n if n else 0.0
         return Index(Chosen([]), np.zeros(0), [], np.zeros(0), [], k, shrink, base, base)
-    both = sample.mapInArrow(_term_rows, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").cast("double").alias("t"), F.sum("clean").cast("double").alias("c"))
+    both = common.spread(sample).mapInArrow(_term_rows, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").cast("double").alias("t"), F.sum("clean").cast("double").alias("c"))
     t, c, clean = F.col("t"), F.col("c"), float(n - toxic)
     chi2 = n * (t * (clean - c) - c * (toxic - t)) ** 2 / (float(toxic) * clean * (t + c) * (n - t - c + 1e-9))
     chosen = both.where((t >= least_rows) & (t * clean > 2 * c * toxic)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
     chosen = Chosen([r.term for r in chosen.orderBy(F.desc("chi2"), "term").limit(terms).collect()])
-    rows = {r.term: r.rows for r in slim.mapInArrow(lambda it: _frequency_rows(it, chosen), "term long, rows long").groupBy("term").agg(F.sum("rows").alias("rows")).collect()}
+    rows = {r.term: r.rows for r in common.spread(slim).mapInArrow(lambda it: _frequency_rows(it, chosen), "term long, rows long").groupBy("term").agg(F.sum("rows").alias("rows")).collect()}
     idf = np.array([math.log((1 + rows.get(-1, 0)) / (1 + rows.get(i, 0))) + 1 for i in range(len(chosen))])
     schema = T.StructType([T.StructField("id", kind)]).add("label", "long").add("terms", T.ArrayType(T.LongType()))
     found = sample.mapInArrow(lambda it: _vector_rows(it, chosen), schema)
@@ -282,7 +282,7 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
                 [id_col, "score", "neighbours", "cosines"],
             )
 
-    return slim.mapInArrow(run, schema)
+    return common.spread(slim).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, index: Index, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -296,7 +296,7 @@ def keep_clean(docs: DataFrame, index: Index, text_col: str = "text", threshold:
             found = _scores(b.column(b.schema.get_field_index(text_col)).to_pylist(), index, memory)
             yield b.filter(pa.array([s < threshold for s, _, _ in found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.spread(docs).mapInArrow(run, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
