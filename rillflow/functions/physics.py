@@ -206,6 +206,68 @@ def evaporation_resistance(sat: Column, option: int = 1, t: Column | None = None
     return F.lit(0.0)
 
 
+def supercooled(t: Column, smax: Column, satpsi: Column, b: Column) -> Column:
+    """Water that stays liquid below freezing, by the freezing-point depression of the
+    retention curve."""
+    head = 3.34e5 * (FREEZE - t) / (9.80616 * t * satpsi)
+    return F.when(t < FREEZE, F.least(smax, smax * F.pow(F.greatest(head, F.lit(1.0)), -1.0 / b))).otherwise(smax)
+
+
+def freeze_melt(t: Column, ice: Column, liquid: Column, hold: Column, capacity: Column, dz: Column) -> dict[str, Column]:
+    """Ice and liquid of a layer (kg/m2) after freezing or melting as its heat allows, and the
+    temperature that is left.  capacity: J/m3/K; hold: liquid that doesn't freeze."""
+    heat = capacity * dz * (t - FREEZE)
+    melt = F.when(t > FREEZE, F.least(ice, heat / 3.34e5)).when(t < FREEZE, -F.least(F.greatest(liquid - hold, F.lit(0.0)), -heat / 3.34e5)).otherwise(0.0)
+    return {"ice": ice - melt, "liquid": liquid + melt, "t": t - melt * 3.34e5 / (capacity * dz)}
+
+
+def compaction(ice: Column, liquid: Column, depth: Column, t: Column, burden: Column, melted: Column, dt: float) -> Column:
+    """Depth of a snow layer after a step: by metamorphism, by what lies on it and by melt, at
+    most half."""
+    density = ice / F.when(depth > 0, depth)
+    cold = FREEZE - t
+    grain = -2.777e-6 * F.exp(-0.04 * cold) * F.when(density > 100.0, F.exp(-0.046 * (density - 100.0))).otherwise(1.0) * F.when(liquid > 0.01 * depth, 2.0).otherwise(1.0)
+    load = -(burden + 0.5 * (ice + liquid)) * F.exp(-0.08 * cold - 0.021 * density) / 0.8e6
+    rate = (grain + load) * dt - melted
+    return F.when(depth > 0, depth * (1.0 + F.greatest(F.lit(-0.5), rate))).otherwise(depth)
+
+
+def merge_layers(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Two snow layers (depth, ice, liquid, t) as one, of the same enthalpy."""
+    heat = lambda x: (2094.0 * x["ice"] + 4188.0 * x["liquid"]) * (x["t"] - FREEZE) + 3.34e5 * x["liquid"]
+    ice, liquid = a["ice"] + b["ice"], a["liquid"] + b["liquid"]
+    h, cap = heat(a) + heat(b), 2094.0 * ice + 4188.0 * liquid
+    t = F.when(h < 0, FREEZE + h / cap).when(h <= 3.34e5 * liquid, F.lit(FREEZE)).otherwise(FREEZE + (h - 3.34e5 * liquid) / cap)
+    return {"depth": a["depth"] + b["depth"], "ice": ice, "liquid": liquid, "t": t}
+
+
+def aquifer(zwt: Column, fcr_max: Column, timean: float = 10.5) -> Column:
+    """Discharge of an aquifer below the soil, mm/s, by the depth of its table."""
+    return (1.0 - fcr_max) * 5.0 * math.exp(-timean) * F.exp(-6.0 * (zwt - 2.0))
+
+
+def aquifer_store(store: Column, recharge: Column, discharge: Column, dt: float, most: float = 5000.0) -> dict[str, Column]:
+    """Storage (mm) after a step of recharge (at most 10 mm either way), and what is above."""
+    r = F.least(F.lit(10.0 / dt), F.greatest(F.lit(-10.0 / dt), recharge))
+    new = store + (r - discharge) * dt
+    return {"store": F.least(new, F.lit(most)), "excess": F.greatest(new - most, F.lit(0.0))}
+
+
+def ground_albedo(theta: Column, saturated: Column, dry: Column, snow: Column, cover: Column) -> Column:
+    """Of soil by its wetness, mixed with snow by its cover."""
+    soil = F.least(saturated + F.greatest(F.lit(0.0), 0.11 - 0.40 * theta), dry)
+    return soil * (1.0 - cover) + snow * cover
+
+
+def canopy_water(liquid: Column, ice: Column, evaporation: Column, t: Column, dt: float) -> dict[str, Column]:
+    """Stores of the leaves (mm) after evaporation or dew (mm/s, of ice below freezing); no
+    more goes than is there."""
+    cold = t <= FREEZE
+    take = lambda x, on: F.when(on, F.greatest(F.lit(0.0), x - evaporation * dt)).otherwise(x)
+    new_l, new_i = take(liquid, ~cold), take(ice, cold)
+    return {"liquid": new_l, "ice": new_i, "evaporated": (liquid + ice - new_l - new_i) / dt}
+
+
 # Balances
 
 def shortwave_error(sw: Column, absorbed: Column, reflected: Column) -> Column:

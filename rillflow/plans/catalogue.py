@@ -675,6 +675,41 @@ def canopy(spark, sf_dir):
     return p.select("p_partkey", r6(physics.vegetation_fraction(F.lit(0.5), c("lai"), c("sai"), F.lit(0.9), 3), "fveg", 8), r6(physics.interception(c("rain"), F.lit(0.5), F.lit(0.8), la, c("held"), 3600.0, 0.1), "caught", 10), r6(physics.wetted_fraction(c("held"), 0.1 * la), "wet", 8))
 
 
+@query("""
+WITH e AS (SELECT event_id, 255 + value / 5 AS t, (event_id % 9)::DOUBLE AS ice, (event_id % 5)::DOUBLE AS liq FROM events),
+m AS (SELECT *, 2e6 * 0.1 * (t - 273.16) AS heat, CASE WHEN t > 273.16 THEN least(ice, 2e6 * 0.1 * (t - 273.16) / 3.34e5) WHEN t < 273.16 THEN -least(greatest(liq - 0.5, 0), -(2e6 * 0.1 * (t - 273.16)) / 3.34e5) ELSE 0 END AS melt FROM e)
+SELECT event_id, round(CASE WHEN t < 273.16 THEN least(0.45, 0.45 * pow(greatest(3.34e5 * (273.16 - t) / (9.80616 * t * 0.1), 1), -1 / 5.0)) ELSE 0.45 END, 8) AS cool,
+  round(ice - melt, 8) AS ice, round(liq + melt, 8) AS liquid, round(t - melt * 3.34e5 / (2e6 * 0.1), 8) AS t FROM m""")
+def freezing(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumns({"tk": 255 + c("value") / 5, "i": (c("event_id") % 9).cast("double"), "l": (c("event_id") % 5).cast("double")})
+    f = physics.freeze_melt(c("tk"), c("i"), c("l"), F.lit(0.5), F.lit(2e6), F.lit(0.1))
+    return e.select("event_id", r6(physics.supercooled(c("tk"), F.lit(0.45), F.lit(0.1), F.lit(5.0)), "cool", 8), r6(f["ice"], "ice", 8), r6(f["liquid"], "liquid", 8), r6(f["t"], "t", 8))
+
+
+@query("""
+WITH e AS (SELECT event_id, 260 + value / 8 AS t, (5 + event_id % 40)::DOUBLE AS ice, (event_id % 3)::DOUBLE AS liq, 0.1 + event_id % 7 / 10.0 AS d FROM events),
+r AS (SELECT *, (-2.777e-6 * exp(-0.04 * (273.16 - t)) * CASE WHEN ice / d > 100 THEN exp(-0.046 * (ice / d - 100)) ELSE 1 END * CASE WHEN liq > 0.01 * d THEN 2 ELSE 1 END - (20 + 0.5 * (ice + liq)) * exp(-0.08 * (273.16 - t) - 0.021 * (ice / d)) / 0.8e6) * 3600 - 0.01 AS rate,
+  (2094 * ice + 4188 * liq) * (t - 273.16) + 3.34e5 * liq + 2094 * 10 * (265 - 273.16) AS h, 2094 * (ice + 10) + 4188 * liq AS cap FROM e)
+SELECT event_id, round(d * (1 + greatest(-0.5, rate)), 8) AS depth, ice + 10 AS ice, round(CASE WHEN h < 0 THEN 273.16 + h / cap WHEN h <= 3.34e5 * liq THEN 273.16 ELSE 273.16 + (h - 3.34e5 * liq) / cap END, 10) AS t FROM r""")
+def snow_layers(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumns({"tk": 260 + c("value") / 8, "i": 5.0 + c("event_id") % 40, "l": (c("event_id") % 3).cast("double"), "d": 0.1 + c("event_id") % 7 / 10.0})
+    one = {"depth": c("d"), "ice": c("i"), "liquid": c("l"), "t": c("tk")}
+    m = physics.merge_layers(one, {"depth": F.lit(0.1), "ice": F.lit(10.0), "liquid": F.lit(0.0), "t": F.lit(265.0)})
+    return e.select("event_id", r6(physics.compaction(c("i"), c("l"), c("d"), c("tk"), F.lit(20.0), F.lit(0.01), 3600.0), "depth", 8), m["ice"].alias("ice"), r6(m["t"], "t", 10))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, 1.5 + p_size / 20.0 AS z, 4990.0 + p_size AS w, p_size / 100.0 AS th FROM part), n AS (SELECT *, w + (least(10 / 3600.0, greatest(-10 / 3600.0, (p_partkey % 9 - 4) / 1000.0)) - 5 * exp(-10.5) * exp(-6.0 * (z - 2))) * 3600 AS s FROM p)
+SELECT p_partkey, round(5 * exp(-10.5) * exp(-6.0 * (z - 2)) * 1e6, 8) AS discharge, round(least(s, 5000), 8) AS store, round(greatest(s - 5000, 0), 8) AS excess, round(least(0.1 + greatest(0, 0.11 - 0.4 * th), 0.2) * 0.7 + 0.8 * 0.3, 8) AS albedo,
+  round(greatest(0, 0.2 - th / 3600 * 3600), 8) AS leaf, round((0.2 - greatest(0, 0.2 - th)) / 3600 * 1e6, 8) AS evaporated FROM n""")
+def aquifer_and_ground(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumns({"z": 1.5 + c("p_size") / 20.0, "w": 4990.0 + c("p_size"), "th": c("p_size") / 100.0})
+    q = physics.aquifer(c("z"), F.lit(0.0))
+    s = physics.aquifer_store(c("w"), (c("p_partkey") % 9 - 4) / 1000.0, q, 3600.0)
+    w = physics.canopy_water(F.lit(0.2), F.lit(0.0), c("th") / 3600, F.lit(280.0), 3600.0)
+    return p.select("p_partkey", r6(q * 1e6, "discharge", 8), r6(s["store"], "store", 8), r6(s["excess"], "excess", 8), r6(physics.ground_albedo(c("th"), F.lit(0.1), F.lit(0.2), F.lit(0.8), F.lit(0.3)), "albedo", 8), r6(w["liquid"], "leaf", 8), r6(w["evaporated"] * 1e6, "evaporated", 8))
+
+
 @query("SELECT o_orderkey, round(o_totalprice - 100 - (o_totalprice * 0.5 - 3.0 - 4.0 - 2.0 - 1.0 - 0.5 - 0.25) * 3600, 4) AS water, round(o_totalprice - (o_totalprice * 0.6 + o_totalprice * 0.4), 4) + 0.0 AS light FROM orders")
 def balances(spark, sf_dir):
     p = c("o_totalprice")
