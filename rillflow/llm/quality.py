@@ -42,10 +42,9 @@ def with_windows(df: DataFrame) -> DataFrame:
 
 
 def repeat_words(df: DataFrame) -> DataFrame:
-    """windows -> n_repeat_words.  Rows without equal neighbours among the sorted hashes
-    (most) are done then; the others sort (hash, place) and add up what places cover."""
-    df = df.withColumn("sorted", F.sort_array("windows"))
-    df = df.withColumn("has", F.expr("exists(transform(sorted, (h, i) -> h = get(sorted, i + 1)), x -> coalesce(x, false))"))
+    """windows -> n_repeat_words.  Rows whose windows all differ (most) are done then; the
+    others sort (hash, place) and add up what places cover."""
+    df = df.withColumn("has", F.size(F.array_distinct("windows")) < F.size("windows"))
     pairs = "sort_array(transform(windows, (h, i) -> named_struct('h', h, 'i', i)))"
     df = df.withColumn("pairs", F.expr(f"CASE WHEN has THEN {pairs} END"))
     places = "sort_array(filter(transform(pairs, (p, i) -> CASE WHEN p.h = get(pairs, i + 1).h OR p.h = get(pairs, i - 1).h THEN p.i END), x -> x IS NOT NULL))"
