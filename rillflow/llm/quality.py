@@ -2,10 +2,10 @@
 target and the raw corpus.  DataFrame functions only.
 
 Words and pairs of neighbouring words are hashed to ``buckets`` numbers.  The raw
-multinomial counts them over all documents, the target multinomial over a bounded sample of
-trusted documents (``fit_rows`` ids, by a hash), smoothed by the raw one.  A document's verdict is
-its mean log-ratio over all its words and pairs against a threshold: the same document
-always gets the same verdict, none is drawn at random.
+multinomial counts them over all documents, the target multinomial over all trusted
+documents, smoothed by the raw one.  A document's verdict is its mean log-ratio over all its
+words and pairs against a threshold: the same document always gets the same verdict, none is
+drawn at random.
 
 Base counts are made within the row: repeated three-word windows are found by sorting the
 windows' hashes, so that texts are never shuffled.
@@ -65,10 +65,14 @@ def buckets_of(buckets: int) -> Column:
     return F.expr(f"concat({one}, {two})")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, fit_rows: int, smooth: float) -> np.ndarray:
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, smooth: float) -> np.ndarray:
     """The log-ratio of each bucket: an array of fixed size."""
-    ids = trusted.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(fit_rows).select("id", F.lit(1).alias("in"))
-    rows = common.spread(docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))).join(F.broadcast(ids), "id", "left")
+    rows = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
+    ids = trusted.select(trusted[id_col].cast(docs.schema[id_col].dataType).alias("id")).where("id IS NOT NULL").distinct().withColumn("in", F.lit(1))
+    # ids grow with the corpus: both sides are shuffled at any size, ids are hashed and texts not sorted.
+    # Rows without an id are dealt by their text, not all to one task
+    rows = rows.withColumn("key", F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")))
+    rows = rows.join(ids.withColumn("key", F.xxhash64("id")).hint("shuffle_hash"), ["key", "id"], "left")
     # a bucket's counts are summed in each task before they are shuffled
     grams = rows.select("in", words_of(F.col("text")).alias("words")).select("in", F.explode(buckets_of(buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("in").alias("target")).collect()
@@ -80,10 +84,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str,
     return np.log((target + smooth * buckets * raw) / (target.sum() + smooth * buckets)) - np.log(raw)
 
 
-def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.05, buckets: int = 1 << 14, fit_rows: int = 10_000, smooth: float = 1.0) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.05, buckets: int = 1 << 14, smooth: float = 1.0) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio,
     kept) of each row; trusted: ids of trusted documents."""
-    ratios = log_ratios(docs, trusted, id_col, text_col, buckets, fit_rows, smooth)
+    ratios = log_ratios(docs, trusted, id_col, text_col, buckets, smooth)
     df = common.spread(docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text")))
     df = df.withColumn("words", words_of(F.col("text")))
     df = repeat_words(with_windows(df))

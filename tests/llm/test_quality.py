@@ -59,6 +59,19 @@ def test_ratio_is_the_mean_log_ratio(spark):
         assert got[d].kept == (not got[d].base_failed and got[d].ratio >= -0.05)
 
 
+def test_target_counts_all_trusted_documents(spark):
+    from pyspark.sql import functions as F
+
+    n = 10_050  # the target was once counted over the first 10,000 ids by this hash
+    ids = [r.id for r in spark.range(n).orderBy(F.xxhash64(F.col("id").cast("string")), "id").collect()]
+    late = set(ids[10_000:])
+    rows = [(i, "rare text" if i in late else "plain words", "en", "a", 1) for i in ids] + [(n + i, "plain words", "en", "a", 1) for i in range(n)]
+    got = quality.quality(frame(spark, rows), spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()
+    assert len(got) == len(rows)
+    ratios = {r.ratio for r in got if r.doc_id in late}
+    assert len(ratios) == 1 and ratios.pop() > 0
+
+
 def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = quality.op4_quality(spark, SF).collect()
