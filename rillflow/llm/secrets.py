@@ -13,6 +13,10 @@ Costs are log10 of guesses and add up; each segment also pays for the choice of
 Words, dates and walks are of bounded or maximal length at each place, and a repeat is one
 run as far as it goes, so that the time is linear in the length of the value.
 
+A value may be the name of the next credential, or hold it: the search goes on after each
+name, and a scheme (``Bearer``, ``Basic``) between name and value is passed over.  What lies in a
+value that is found isn't listed again.
+
 Cases: a null text counts as empty and has no spans; whole texts and whole values are
 looked at, however long; repeated rows and null ids are kept, one result for each input
 row; other columns are ignored by ``find_secrets`` and kept by ``redact_secrets``, whatever
@@ -38,9 +42,11 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Where the value of a credential stands: after its name, or before the host of an address.
+#: A match ends with the name, so that names inside or instead of a value are looked at too.
 CONTEXT = re.compile(
-    r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth)[_-]?key|bearer|authorization)["']?(?:\x20*(?::|=>?)\x20*|\x20+(?:is\x20+)?)["']?(?P<value>[^\s"'<>,;]{6,})"""
-    r"""|://[^\s:/@]+:(?P<login>[^\s/@]{6,})@"""
+    r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth)[_-]?key|bearer|authorization)"""
+    r"""(?=["']?(?:\x20*(?::|=>?)\x20*|\x20+(?ai:is\x20+)?)["']?(?ai:(?:bearer|basic|token|digest|negotiate)\x20+(?![:=]))?(?P<value>[^\s"'<>,;]{6,}))"""
+    r"""|://(?=[^\s:/@]+:(?P<login>[^\s/@]{6,})@)"""
 )
 
 #: The most common words of passwords, most common first.
@@ -158,11 +164,24 @@ def spans_of(text: str, least: float = 12.0, words: dict[str, int] | None = None
     found = [("assign", m.start(), m.end(), None) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
     found += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
+    covered, login, cheap, repeats = 0, -1, -1, []
     for m in CONTEXT.finditer(text):
         name = "value" if m.group("value") is not None else "login"
-        value = m.group(name).rstrip(".:!?)]}")
-        if len(value) >= 6 and (cost := guess_cost(value, words)[0]) >= least:
-            found.append(("guess", m.start(name), m.start(name) + len(value), cost))
+        start = m.start(name)
+        end = start + len(m.group(name).rstrip(".:!?)]}"))
+        # found already: what a found value holds, or two names lead to; a user's name before a login is no context
+        if end - start < 6 or end <= covered or start == login:
+            continue
+        # the rest of a cheap value that begins in one of its repeats is no dearer
+        if end == cheap and any(a <= start <= b - 8 for a, b in repeats):
+            continue
+        cost, parts = guess_cost(text[start:end], words)
+        if cost >= least:
+            found.append(("guess", start, end, cost))
+            covered = end
+        else:
+            cheap, repeats = end, [(start + i, start + j) for i, j, kind in parts if kind == "repeat"]
+        login = start if name == "login" else login
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
