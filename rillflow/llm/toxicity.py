@@ -2,33 +2,40 @@
 inverted index, distance-weighted votes, calibrated.
 
 Fitting takes a bounded sample of labelled rows (``fit_rows``, by a hash of the id; never
-the held-out fold).  A term is a word or a word's beginning that a text has at least 1, 2,
-3, 5 or 8 times, so that term frequency outlives the normalising of vectors.  Terms are
-chosen by their association with the label (chi-square, at most ``terms``), and the
-sample's rows are the examples.
-Document frequencies are counted over all documents.  The index, bounded by these two
-parameters, is broadcast.
+the held-out fold), all of which are the examples.  The vocabulary is chosen without the
+labels: terms of at least ``least_rows`` examples and at most a share ``common_share`` of
+them, the ``terms`` most frequent of these.  A term is
+a stem (a word or a word's beginning) that a text has at least 1, 2, 3, 5 or 8 times, so that
+term frequency outlives the normalising of vectors, and weighs idf * association.  Document
+frequencies are counted over all documents.
+The association is the absolute phi coefficient of term and label, whichever label the term
+goes with, less what chance gives (chi-square of ``chance``), and ``floor`` at least: each
+term counts, so that each text with a term has neighbours, clean ones too.  The index,
+bounded by these parameters, is broadcast.
 
 A search is exact: examples are laid in blocks of 64, each term keeps its largest weight
 in each block, blocks are gone through in the order of the bound that these give, and the
 search ends when no block left can reach the k-th best cosine.  Ties go to the example that
-stands first in the index (by its terms, then its id).
+stands first in the index, whose order is one of content: by the most frequent term, the
+number of terms, and a digest of the text.
 
 The vote is the share of toxic neighbours weighted by squared cosine, shrunk towards the
 base rate; isotonic regression on leave-one-out votes of the examples makes it a
-probability.  A document that has none of the terms gets the toxic share of such examples.
+probability.  A document that has none of the terms gets the toxic share of such examples
+(the base rate if there are none), and no evidence.
 
 Cases: a null text counts as empty and is scored as a document without terms; labels that
 are null or neither 0 nor 1, or whose id is null, teach nothing; of several labels of an id
-the largest holds; without examples of both labels the score is their base rate (0 if there
-is no label at all); repeated rows and null ids are kept, one result for each input row;
-other columns are ignored by ``score_toxicity`` and kept by ``keep_clean``, whatever their
-names; an empty table gives an empty table.
+the largest holds, of several texts of an id the first in their order; copies of a text are
+one example with the largest of their labels and the smallest of their ids; without examples
+of both labels the score is their base rate (0 if there is no label at all); repeated rows
+and null ids are kept, one result for each input row; other columns are ignored by
+``score_toxicity`` and kept by ``keep_clean``, whatever their names; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -42,140 +49,187 @@ from pyspark.sql import types as T
 from . import common
 
 BLOCK = 64
-#: A term counts as so many terms: one for each of these frequencies that it reaches.
-LEVELS = (1, 2, 3, 5, 8)
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: Lengths of the beginnings of words that are terms.
+BEGINNINGS = (4, 5, 6)
+#: A stem that a text has so many times counts as a term for each of these that it reaches.
+LEVELS = (1, 2, 3, 5, 8)
 #: Entries of a worker's memory of words.
-WORDS = 300_000
-
-
-def terms_of(token: str) -> list[str]:
-    """The terms of a lower-case token: the word and its beginnings."""
-    w = EDGE.sub("", token)
-    return [w, *(w[:n] + "*" for n in range(4, 7) if len(w) > n)] if len(w) > 1 else []
+WORDS = 150_000
 
 
-def counts_of(text: str | None, memory: dict[str, tuple], choose) -> Counter:
-    """How often each word and beginning that choose() knows stands in a text."""
-    out: Counter = Counter()
-    for token, n in Counter((text or "").lower().split()).items():
-        found = memory.get(token)
-        if found is None:
-            if len(memory) > WORDS:
-                memory.clear()
-            found = memory[token] = choose(token)
-        for t in found:
-            out[t] += n
-    return out
+def bare(token: str) -> str:
+    """A token without what isn't a letter or digit at its ends."""
+    w = token.strip(".,;:!?\"'()")  # most tokens have no other
+    return w if w.isalnum() else EDGE.sub("", w)
 
 
-def levels_of(counts: Counter):
-    """The terms of a text as strings, from all its words and beginnings."""
-    return (f"{t}#{n}" for t, c in counts.items() for n in LEVELS if c >= n)
+def stems_of(token: str) -> list[str]:
+    """The stems of a lower-case token: the word and its beginnings."""
+    w = bare(token)
+    return [w, *(w[:n] + "*" for n in BEGINNINGS if len(w) > n)] if len(w) > 1 else []
 
 
-class Chosen:
-    """The chosen terms, by number."""
+class Vocabulary:
+    """The chosen terms, "word#n" or "beginning*#n" (n occurrences or more), by number."""
 
     def __init__(self, names: list[str]):
-        self.names, self.of = names, {}
+        self.names, self.memory, self.words, self.begun = names, {}, {}, {}
+        stems: dict[str, int] = {}
         for i, name in enumerate(names):
-            t, _, n = name.rpartition("#")
-            self.of.setdefault(t, []).append((int(n), i))
+            stem, _, n = name.rpartition("#")
+            stems.setdefault(stem, len(stems))
+        #: of[stem, level]: the number of the term, or -1
+        self.of = np.full((len(stems), len(LEVELS)), -1)
+        for i, name in enumerate(names):
+            stem, _, n = name.rpartition("#")
+            self.of[stems[stem], LEVELS.index(int(n))] = i
+            if stem[-1] == "*":
+                self.begun[stem[:-1]] = stems[stem]
+            else:
+                self.words[stem] = stems[stem]
 
     def __len__(self):
         return len(self.names)
 
-    def stems(self, token: str) -> tuple:
-        return tuple(t for t in terms_of(token) if t in self.of)
-
-    def read(self, text: str | None, memory: dict) -> list[int]:
-        """Numbers of the chosen terms that a text has, ascending."""
-        return sorted(i for t, c in counts_of(text, memory, self.stems).items() for n, i in self.of[t] if c >= n)
+    def __reduce__(self):
+        return Vocabulary, (self.names,)
+
+    def _learn(self, token: str) -> list[int]:
+        """The numbers of the known stems of stems_of(token)."""
+        if len(self.memory) > WORDS:
+            self.memory.clear()
+        w = bare(token)
+        found = [self.words[w]] if w in self.words else []
+        for n in BEGINNINGS:
+            if len(w) > n and (i := self.begun.get(w[:n])) is not None:
+                found.append(i)
+        self.memory[token] = found
+        return found
+
+    def read(self, text: str | None) -> np.ndarray:
+        """Numbers of the terms that a text has, ascending."""
+        memory, found, times, spans = self.memory, [], [], []
+        for token, n in Counter((text or "").lower().split()).items():
+            stems = memory.get(token)
+            if stems is None:
+                stems = self._learn(token)
+            if stems:
+                found += stems
+                times.append(n)
+                spans.append(len(stems))
+        stems, at = np.unique(np.array(found, np.int64), return_inverse=True)
+        often = np.bincount(at, np.repeat(times, spans), len(stems))
+        terms = self.of[stems]
+        return np.sort(terms[(terms >= 0) & (often[:, None] >= LEVELS)])
 
 
 @dataclass
 class Index:
-    """Examples as sparse unit vectors, in blocks, with each term's largest weight there."""
+    """Examples as sparse unit vectors, in blocks, with each term's largest weight there.
+
+    rows, vals: the postings, by term, then example; bounds: where each term's begin."""
 
-    terms: Chosen
-    idf: np.ndarray
+    terms: Vocabulary
+    weight: np.ndarray
     ids: list
     labels: np.ndarray
-    vectors: list[tuple[np.ndarray, np.ndarray]]
     k: int
     shrink: float
     base: float
     none: float
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    vals: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
 
     def __post_init__(self):
-        n = len(self.vectors)
-        rows = np.repeat(np.arange(n), [len(t) for t, _ in self.vectors]) if n else np.zeros(0, int)
-        cols = np.concatenate([t for t, _ in self.vectors]) if n else np.zeros(0, int)
-        vals = np.concatenate([w for _, w in self.vectors]) if n else np.zeros(0)
-        order = np.lexsort((rows, cols))
-        self.rows, cols, self.vals = rows[order], cols[order], vals[order]
-        self.blocks = (n + BLOCK - 1) // BLOCK
-        part = cols * max(1, self.blocks) + self.rows // BLOCK
-        at = np.flatnonzero(np.diff(part, prepend=-1))
-        self.starts, self.stops = at, np.append(at[1:], len(part))
-        self.best = np.maximum.reduceat(self.vals, at) if len(at) else np.zeros(0)
-        self.part_block = self.rows[at] // BLOCK
-        self.parts = np.searchsorted(cols[at], np.arange(len(self.terms) + 1))
-
-    def vector(self, found: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(found, np.int64)
-        w = self.idf[t]
-        return t, w / max(np.sqrt((w * w).sum()), 1e-300)
+        self.best = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"best": None, "at": None}
+
+    def vector(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = self.weight[found]
+        return found, w / max(np.sqrt((w * w).sum()), 1e-300)
+
+    def add(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
+        """The examples, in order."""
+        rows = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        cols = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        order = np.argsort(cols, kind="stable")
+        self.rows, self.vals = rows[order], np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        self.bounds = np.searchsorted(cols[order], np.arange(len(self.terms) + 1))
+        self.best = None
+
+    def build(self):
+        """best[t, b]: the largest weight of term t in block b; at[t, b]: where its postings
+        in block b begin."""
+        n, blocks = len(self.terms), (len(self.ids) + BLOCK - 1) // BLOCK
+        part = np.repeat(np.arange(n), np.diff(self.bounds)) * blocks + self.rows // BLOCK
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        self.best = np.zeros(n * blocks, np.float32)
+        if len(first):
+            self.best[part[first]] = np.maximum.reduceat(self.vals, first)
+        self.best = self.best.reshape(n, blocks)
+        self.at = np.searchsorted(part, np.arange(n * blocks + 1)).astype(np.int32)
+
+    def _cosines(self, t: np.ndarray, w: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines, where above 0, of the examples in some blocks (ascending)."""
+        n, blocks = len(self.ids), self.best.shape[1]
+        if whole := 4 * len(some) > blocks:  # then it is faster to go through all postings
+            start, stop, q = self.bounds[t], self.bounds[t + 1], w
+        else:
+            cell = (t[:, None] * blocks + some).ravel()
+            start, stop, q = self.at[cell], self.at[cell + 1], np.repeat(w, len(some))
+        i = common.ragged(start, stop - start)
+        cos = np.bincount(self.rows[i], self.vals[i] * np.repeat(q, stop - start), n)
+        at = np.flatnonzero(cos > 0)
+        if whole:
+            asked = np.zeros(blocks, bool)
+            asked[some] = True
+            at = at[asked[at // BLOCK]]
+        return at, np.round(cos[at], 12)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a cosine above 0."""
-        bound = np.zeros(self.blocks)
-        for i, q in zip(t, w, strict=True):
-            a, b = self.parts[i], self.parts[i + 1]
-            bound[self.part_block[a:b]] += q * self.best[a:b]
+        if self.best is None:
+            self.build()
+        bound = w.astype(np.float32) @ self.best[t] * np.float32(1.0001)  # rounded up
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        at, cos, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for i in range(0, len(order), 4):
-            some = order[i : i + 4]
-            if len(at) == self.k and bound[some[0]] < least - 1e-12:
-                break
-            for b in some:
-                got = np.zeros(BLOCK)
-                for j, q in zip(t, w, strict=True):
-                    lo, hi = self.parts[j], self.parts[j + 1]
-                    p = lo + np.searchsorted(self.part_block[lo:hi], b)
-                    if p < hi and self.part_block[p] == b:
-                        s, e = self.starts[p], self.stops[p]
-                        got[self.rows[s:e] - b * BLOCK] += q * self.vals[s:e]
-                hit = np.flatnonzero(got > 0)
-                at, cos = np.append(at, hit + b * BLOCK), np.append(cos, got[hit])
-            keep = at != without
-            at, cos = at[keep], cos[keep]
-            top = np.lexsort((at, -np.round(cos, 12)))[: self.k]
-            at, cos = at[top], cos[top]
-            least = cos[-1] if len(at) == self.k else 0.0
-        return at, np.minimum(cos, 1.0)
+        at, cos, least, wave = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
+        while len(order):
+            some, order = order[:wave], order[wave:]
+            a, c = self._cosines(t, w, np.sort(some))
+            at, cos = np.append(at, a[a != without]), np.append(cos, c[a != without])
+            if len(at) > self.k:
+                near = np.flatnonzero(cos >= np.partition(cos, -self.k)[-self.k])
+                near = near[np.lexsort((at[near], -cos[near]))][: self.k]
+                at, cos = at[near], cos[near]
+            if len(at) == self.k:
+                least = cos.min()
+            order, wave = order[bound[order] >= least], len(order)
+        top = np.lexsort((at, -cos))
+        return at[top], np.minimum(cos[top], 1.0)
 
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
         s = cos * cos
         return float(((s * self.labels[at]).sum() + self.shrink * self.base) / (s.sum() + self.shrink))
 
-    def score(self, found: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, found: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Probability, places and cosines of the evidence."""
-        if found and len(self.steps[0]):
+        if len(found) and len(self.steps[0]):
             at, cos = self.nearest(*self.vector(found))
             if len(at):
                 x, y = self.steps
                 return float(np.interp(self.vote(at, cos), x, y)), at, cos
         return self.none, np.zeros(0, np.int64), np.zeros(0)
 
-    def calibrate(self):
+    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
         """Isotonic regression of the labels on leave-one-out votes."""
         votes, ys = [], []
-        for i, (t, w) in enumerate(self.vectors):
+        for i, (t, w) in enumerate(vectors):
             if len(t):
                 at, cos = self.nearest(t, w, without=i)
                 votes.append(self.vote(at, cos) if len(at) else self.base)
@@ -197,38 +251,51 @@ def fold(c: Column) -> Column:
 
 
 def _term_rows(batches):
-    """(term, toxic, clean): numbers of sample rows with the term, of this task."""
-    memory: dict = {}
-    toxic, clean = Counter(), Counter()
+    """(term, toxic, rows): numbers of sample rows with the term, of this task."""
+    toxic, rows = Counter(), Counter()
     for b in common.slices(batches):
         for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-            (toxic if label else clean).update(levels_of(counts_of(text, memory, terms_of)))
-    every = list(toxic.keys() | clean.keys())
-    if every:
-        yield pa.RecordBatch.from_arrays([pa.array(every), pa.array([toxic[t] for t in every], pa.int64()), pa.array([clean[t] for t in every], pa.int64())], ["term", "toxic", "clean"])
+            often: Counter = Counter()
+            for token, n in Counter(text.lower().split()).items():
+                for stem in stems_of(token):
+                    often[stem] += n
+            found = [f"{stem}#{n}" for stem, c in often.items() for n in LEVELS if c >= n]
+            rows.update(found)
+            if label:
+                toxic.update(found)
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows)), pa.array([toxic[t] for t in rows], pa.int64()), pa.array(list(rows.values()), pa.int64())], ["term", "toxic", "rows"])
 
 
-def _frequency_rows(batches, chosen: Chosen):
-    """(term, rows): numbers of rows with each chosen term, of this task; term -1: all."""
-    memory, found, n = {}, Counter(), 0
-    for b in common.slices(batches):
-        n += b.num_rows
-        for text in b.column("text").to_pylist():
-            found.update(chosen.read(text, memory))
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int64()), pa.array([n, *found.values()], pa.int64())], ["term", "rows"])
+def read_terms(docs: DataFrame, terms: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, terms) of each row: the terms of its text, ascending, as byte planes."""
+
+    def run(batches):
+        for b in common.slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([common.planes(terms.read(t)) for t in b.column(1).to_pylist()], pa.binary())], [id_col, "terms"])
 
+    slim = docs.select(docs[id_col].alias(id_col), common.text_of(docs, text_col).alias("__text"))
+    return common.spread(slim).mapInArrow(run, T.StructType([common.field(docs, id_col)]).add("terms", "binary"))
 
-def _vector_rows(batches, chosen: Chosen):
-    memory: dict = {}
-    for b in common.slices(batches):
-        terms = [chosen.read(t, memory) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(terms, pa.list_(pa.int64()))], ["id", "label", "terms"])
 
+def unpacked(terms: bytes) -> np.ndarray:
+    return common.unplanes(bytes(terms)).astype(np.int64)
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 12_000, terms: int = 4096, k: int = 15, shrink: float = 0.3, least_rows: int = 4, least_chi2: float = 29.7) -> Index:
-    """The index of examples.  least_chi2 is a chance of 5e-8 for a single term, as many
-    terms are tried.  Its size, and all that comes to the driver, is bounded by
-    fit_rows and terms."""
+
+def _frequency_rows(batches, n: int):
+    """(term, rows): numbers of rows with each of n terms, of this task; term -1: all."""
+    found, every = np.zeros(n, np.int64), 0
+    for b in batches:
+        every += b.num_rows
+        for terms in b.column("terms").to_pylist():
+            found[unpacked(terms)] += 1
+    at = np.flatnonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int64()), pa.array(np.append(every, found[at]), pa.int64())], ["term", "rows"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 4_000, terms: int = 32_768, k: int = 15, shrink: float = 0.3, least_rows: int = 3, common_share: float = 0.1, chance: float = 16.0, floor: float = 0.02) -> tuple[Index, DataFrame]:
+    """The index of examples, and read_terms() of all rows (written).  The size of the index,
+    and all that comes to the driver, is bounded by fit_rows and terms."""
     kind = docs.schema[id_col].dataType
     ids = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull() & (fold(labels[id_col]) != 1))
     ids = ids.groupBy(labels[id_col].cast(kind).alias("id")).agg(F.max(labels[label_col]).cast("long").alias("label"))
@@ -241,48 +308,61 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic = toxic or 0
     if not n or toxic in (0, n):
         base = toxic / n if n else 0.0
-        return Index(Chosen([]), np.zeros(0), [], np.zeros(0), [], k, shrink, base, base)
-    both = common.spread(sample).mapInArrow(_term_rows, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").cast("double").alias("t"), F.sum("clean").cast("double").alias("c"))
-    t, c, clean = F.col("t"), F.col("c"), float(n - toxic)
-    chi2 = n * (t * (clean - c) - c * (toxic - t)) ** 2 / (float(toxic) * clean * (t + c) * (n - t - c + 1e-9))
-    chosen = both.where((t >= least_rows) & (t * clean > 2 * c * toxic)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-    chosen = Chosen([r.term for r in chosen.orderBy(F.desc("chi2"), "term").limit(terms).collect()])
-    rows = {r.term: r.rows for r in common.spread(slim).mapInArrow(lambda it: _frequency_rows(it, chosen), "term long, rows long").groupBy("term").agg(F.sum("rows").alias("rows")).collect()}
-    idf = np.array([math.log((1 + rows.get(-1, 0)) / (1 + rows.get(i, 0))) + 1 for i in range(len(chosen))])
-    schema = T.StructType([T.StructField("id", kind)]).add("label", "long").add("terms", T.ArrayType(T.LongType()))
-    found = sample.mapInArrow(lambda it: _vector_rows(it, chosen), schema)
-    empty = found.where(F.size("terms") == 0).agg(F.count("*"), F.sum("label")).first()
-    own = sorted(found.where(F.size("terms") > 0).collect(), key=lambda r: (r.terms[:4], str(r.id)))
-    base = toxic / n
-    index = Index(chosen, idf, [r.id for r in own], np.array([r.label for r in own], float), [], k, shrink, base, (empty[1] or 0) / empty[0] if empty[0] else base)
-    index.vectors = [index.vector(r.terms) for r in own]
-    index.__post_init__()
-    index.calibrate()
-    return index
-
-
-def _scores(texts: list, index: Index, memory: dict) -> list[tuple]:
-    return [index.score(index.terms.read(t, memory)) for t in texts]
-
-
-def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, neighbours, cosines) of each row; neighbours: ids of the examples."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    kind = docs.schema[id_col].dataType
-    slim = docs.select(docs[id_col].alias(id_col), common.text_of(docs, text_col).alias("__text"))
-    schema = T.StructType([common.field(docs, id_col)]).add("score", "double").add("neighbours", T.ArrayType(kind)).add("cosines", T.ArrayType(T.DoubleType()))
+        none = Vocabulary([])
+        return Index(none, np.zeros(0), [], np.zeros(0), k, shrink, base, base), read_terms(docs, none, id_col, text_col)
+    seen = common.spread(sample).mapInArrow(_term_rows, "term string, toxic long, rows long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
+    seen = seen.where((F.col("rows") >= least_rows) & (F.col("rows") <= max(least_rows, common_share * n)))
+    seen = sorted(seen.orderBy(F.desc("rows"), "term").limit(terms).collect(), key=lambda r: r.term)
+    known = Vocabulary([r.term for r in seen])
+    read = common.written(read_terms(docs, known, id_col, text_col), "toxicity-terms")
+    found = dict(map(tuple, read.select("terms").mapInArrow(lambda it: _frequency_rows(it, len(known)), "term long, rows long").groupBy("term").agg(F.sum("rows")).collect()))
+    t, every, good = np.array([r.toxic for r in seen], float), np.array([r.rows for r in seen], float), float(n - toxic)
+    c = every - t
+    chi2 = n * (t * (good - c) - c * (toxic - t)) ** 2 / np.maximum(float(toxic) * good * every * (n - every), 1e-9)
+    idf = np.log((1 + found.get(-1, 0)) / (1 + np.array([found.get(i, 0) for i in range(len(known))], float))) + 1
+    weight = idf * np.maximum(floor, np.sqrt(np.maximum(chi2 - chance, 0) / n))
+    sample = sample.withColumn("key", F.struct("id", "label", F.sha2("text", 256).alias("digest")))
+    own = []
+    for r in read_terms(sample, known, "key", "text").collect():
+        at = unpacked(r.terms)
+        leader = int(at[np.argmax(every[at])]) if len(at) else -1
+        own.append(((leader, len(at), r.key.digest), r.key.id, r.key.label, at))
+    own.sort(key=lambda x: x[0])
+    without = [x[2] for x in own if not len(x[3])]
+    own, base = [x for x in own if len(x[3])], toxic / n
+    index = Index(known, weight, [x[1] for x in own], np.array([x[2] for x in own], float), k, shrink, base, sum(without) / len(without) if without else base)
+    vectors = [index.vector(x[3]) for x in own]
+    index.add(vectors)
+    index.calibrate(vectors)
+    return index, read
+
+
+def fit(docs: DataFrame, labels: DataFrame, *columns: str, **how) -> Index:
+    """The index that learn() finds."""
+    return learn(docs, labels, *columns, **how)[0]
+
+
+def score_read(read: DataFrame, index: Index, id_col: str = "doc_id") -> DataFrame:
+    """(id, terms) -> (id, score, neighbours, cosines); neighbours: ids of the examples."""
+    shared = read.sparkSession.sparkContext.broadcast(index)
+    own = read.schema[id_col].dataType
 
     def run(batches):
         index = shared.value
-        memory: dict = {}
         for b in common.slices(batches):
-            found = _scores(b.column(1).to_pylist(), index, memory)
+            found = [index.score(unpacked(x)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([s for s, _, _ in found], pa.float64()), pa.array([[index.ids[i] for i in at] for _, at, _ in found], pa.list_(b.schema.field(0).type)), pa.array([c.tolist() for _, _, c in found], pa.list_(pa.float64()))],
                 [id_col, "score", "neighbours", "cosines"],
             )
 
-    return common.spread(slim).mapInArrow(run, schema)
+    schema = T.StructType([common.field(read, id_col)]).add("score", "double").add("neighbours", T.ArrayType(own)).add("cosines", T.ArrayType(T.DoubleType()))
+    return common.spread(read.select(id_col, "terms")).mapInArrow(run, schema)
+
+
+def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, neighbours, cosines) of each row."""
+    return score_read(read_terms(docs, index.terms, id_col, text_col), index, id_col)
 
 
 def keep_clean(docs: DataFrame, index: Index, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -291,10 +371,9 @@ def keep_clean(docs: DataFrame, index: Index, text_col: str = "text", threshold:
 
     def run(batches):
         index = shared.value
-        memory: dict = {}
         for b in common.slices(batches):
-            found = _scores(b.column(b.schema.get_field_index(text_col)).to_pylist(), index, memory)
-            yield b.filter(pa.array([s < threshold for s, _, _ in found]))
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            yield b.filter(pa.array([index.score(index.terms.read(t))[0] < threshold for t in texts], pa.bool_()))
 
     return common.spread(docs).mapInArrow(run, docs.schema)
 
@@ -302,7 +381,7 @@ def keep_clean(docs: DataFrame, index: Index, text_col: str = "text", threshold:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, scored by what labels teach."""
     docs = common.table(spark, sf_dir, "documents")
-    scored = score_toxicity(docs, fit(docs, common.table(spark, sf_dir, "labels")))
+    scored = score_read(*reversed(learn(docs, common.table(spark, sf_dir, "labels"))))
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "neighbours", "cosines")
 

@@ -1,4 +1,8 @@
+import hashlib
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,16 +11,16 @@ from rillflow.llm import toxicity
 from tests.llm.samples import SCHEMA, clashing, frame, hard_rows
 
 LABELS = "doc_id long, quality int, toxic int"
-SF = "/root/testdata/sf0.1"
+SF, SMALL = "/root/testdata/sf0.1", "/root/testdata/sf0.01"
 
 
 def index(seed=0, n=400, terms=30, k=7):
     rng = np.random.default_rng(seed)
-    ix = toxicity.Index(toxicity.Chosen([f"{i}#1" for i in range(terms)]), rng.random(terms) + 0.5, list(range(n)), rng.integers(0, 2, n).astype(float), [], k, 0.3, 0.5, 0.1)
-    draw = lambda: sorted(rng.choice(terms, rng.integers(1, 6), replace=False).tolist())
-    ix.vectors = [ix.vector(draw()) for _ in range(n)]
-    ix.__post_init__()
-    return ix, [ix.vector(draw()) for _ in range(200)]
+    ix = toxicity.Index(toxicity.Vocabulary([f"w{i}#1" for i in range(terms)]), rng.random(terms) + 0.5, list(range(n)), rng.integers(0, 2, n).astype(float), k, 0.3, 0.5, 0.1)
+    draw = lambda: np.sort(rng.choice(terms, rng.integers(1, 6), replace=False))
+    vectors = [ix.vector(draw()) for _ in range(n)]
+    ix.add(vectors)
+    return ix, vectors, [ix.vector(draw()) for _ in range(200)]
 
 
 def dense(ix, v):
@@ -25,10 +29,10 @@ def dense(ix, v):
     return out
 
 
-@pytest.mark.parametrize("k", [1, 7, 1000])
-def test_search_is_exact(k):
-    ix, asked = index(k=k)
-    whole = np.array([dense(ix, v) for v in ix.vectors])
+@pytest.mark.parametrize(("k", "n"), [(1, 400), (7, 400), (1000, 400), (7, 3000), (3, 0)])
+def test_search_is_exact(k, n):
+    ix, vectors, asked = index(k=k, n=n)
+    whole = np.array([dense(ix, v) for v in vectors]).reshape(n, len(ix.terms))
     for v in asked:
         cos = whole @ dense(ix, v)
         want = sorted((-round(c, 12), i) for i, c in enumerate(cos) if c > 1e-15)[:k]
@@ -38,19 +42,115 @@ def test_search_is_exact(k):
 
 
 def test_leave_one_out_leaves_it_out():
-    ix, _ = index()
-    for i, v in enumerate(ix.vectors[:50]):
+    ix, vectors, _ = index()
+    for i, v in enumerate(vectors[:50]):
         assert i in ix.nearest(*v)[0] or len(ix.nearest(*v)[0]) == ix.k
         assert i not in ix.nearest(*v, without=i)[0]
 
 
 def test_scores_are_monotone_and_probabilities():
-    ix, asked = index()
-    ix.calibrate()
+    ix, vectors, _ = index()
+    ix.calibrate(vectors)
     x, y = ix.steps
     assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all() and 0 <= y.min() <= y.max() <= 1
 
 
+def plain_terms(text):
+    """Words and their beginnings of 4 to 6 characters, as often as 1, 2, 3, 5 and 8 times."""
+    often = Counter()
+    for token in (text or "").lower().split():
+        w = re.sub(r"^[\W_]+|[\W_]+$", "", token)
+        if len(w) > 1:
+            often.update([w] + [w[:n] + "*" for n in (4, 5, 6) if len(w) > n])
+    return {f"{t}#{n}" for t, c in often.items() for n in (1, 2, 3, 5, 8) if c >= n}
+
+
+def plain_scores(docs, labels, k=15, shrink=0.3):
+    """Fit and score with dense vectors and without an index: (id, text) and (id, toxic)."""
+    label = {}
+    for d, y in labels:
+        if d is not None and y in (0, 1) and zlib.crc32(str(d).encode()) % 3 != 1:
+            label[d] = max(y, label.get(d, 0))
+    first, sample = {}, {}
+    for d, t in docs:
+        if d in label:
+            first[d] = min(t or "", first.get(d, t or ""))
+    for d, t in first.items():
+        sample[t] = max(label[d], sample.get(t, 0))
+    texts = sorted(sample)
+    n, toxic = len(texts), sum(sample.values())
+    rows, bad = Counter(), Counter()
+    for t in texts:
+        rows.update(plain_terms(t))
+        bad.update(plain_terms(t) if sample[t] else ())
+    known = sorted(t for t, c in rows.items() if 3 <= c <= max(3, 0.1 * n))
+    seen = Counter(t for _, text in docs for t in plain_terms(text))
+    weight = np.zeros(len(known))
+    for i, t in enumerate(known):
+        a, b = bad[t], rows[t] - bad[t]
+        table = np.array([[a, b], [toxic - a, n - toxic - b]], float)
+        due = table.sum(1, keepdims=True) * table.sum(0) / n
+        chi2 = ((table - due) ** 2 / due).sum()
+        weight[i] = (math.log((1 + len(docs)) / (1 + seen[t])) + 1) * max(0.02, math.sqrt(max(0, chi2 - 16) / n))
+
+    def unit(text):
+        own = plain_terms(text)
+        v = weight * np.array([t in own for t in known])
+        return v / max(np.linalg.norm(v), 1e-300)
+
+    whole = np.array([unit(t) for t in texts])
+    held = whole.any(axis=1)
+    number = {t: i for i, t in enumerate(known)}
+    keys = []
+    for t in texts:  # the most frequent term, the number of terms, the digest
+        own = [x for x in plain_terms(t) if x in number]
+        lead = min((-rows[x], number[x]) for x in own)[1] if own else -1
+        keys.append((lead, len(own), hashlib.sha256(t.encode()).hexdigest()))
+    order = [i for i in sorted(range(n), key=lambda i: keys[i]) if held[i]]
+    ys, whole, base = np.array([sample[texts[i]] for i in order], float), whole[order], toxic / n
+
+    def vote(v, without=-1):
+        cos = np.round(whole @ v, 12)
+        at = [i for i in np.lexsort((np.arange(len(cos)), -cos)) if cos[i] > 0 and i != without][:k]
+        s = cos[at] ** 2
+        return ((s * ys[at]).sum() + shrink * base) / (s.sum() + shrink)
+
+    votes = np.array([vote(v, i) for i, v in enumerate(whole)])
+    up = np.argsort(votes, kind="stable")
+    x, y, best = votes[up], ys[up], []
+    i = 0
+    while i < len(y):  # the lowest mean from here on, as far as it goes
+        means = np.cumsum(y[i:]) / np.arange(1, len(y) - i + 1)
+        j = i + len(means) - int(np.argmin(means[::-1]))
+        best.append((x[i:j].mean(), y[i:j].mean()))
+        i = j
+    bare = [sample[texts[i]] for i in range(n) if not held[i]]
+    none = sum(bare) / len(bare) if bare else base
+    return {(d, t): float(np.interp(vote(v), *zip(*best, strict=True))) if (v := unit(t)).any() else none for d, t in docs}
+
+
+def test_scores_are_those_of_a_plain_version(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    table = spark.read.parquet(f"{SMALL}/labels.parquet")
+    want = plain_scores(docs, [(r.doc_id, r.toxic) for r in table.collect()])
+    got = toxicity.op6_toxicity(spark, SMALL).collect()
+    assert len(got) == len(docs) and sum(not r.neighbours for r in got) < 0.01 * len(got)
+    for r, (d, t) in zip(sorted(got), sorted(docs), strict=True):
+        assert r.doc_id == d and r.score == pytest.approx(want[d, t], abs=1e-6)
+
+
+def test_ids_have_no_part_in_scores(spark):
+    rows = [(i, f"you {'idiot scum' if i % 4 == 0 else 'dear friend'} number{i % 11} of some kind{i % 7} words{i % 5}", "en", "a", 1) for i in range(300)]
+    fine = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 3 != 1][:300]
+    scores = []
+    for ids in (fine, fine[::-1]):
+        docs = frame(spark, [(ids[i], *r[1:]) for i, r in enumerate(rows)])
+        ix = toxicity.fit(docs, spark.createDataFrame([(ids[i], 1, int(i % 4 == 0 or i % 50 == 3)) for i in range(300)], LABELS))
+        back = {d: i for i, d in enumerate(ids)}
+        scores.append({back[r.doc_id]: r.score for r in toxicity.score_toxicity(docs, ix).collect()})
+    assert scores[0] == scores[1] and len(set(scores[0].values())) > 1
+
+
 def test_hard_cases(spark):
     bad = [(1000 + i, f"you idiot{i % 3} scum number {i} and more words w{i}", "en", "a", 1) for i in range(60)]
     good = [(2000 + i, f"a fine day number {i} and other words v{i}", "en", "a", 1) for i in range(200)]
@@ -88,4 +188,4 @@ def test_held_out_accuracy(spark):
     assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
     held = [(got[d].predicted, t) for d, t in labels.items() if got[d].held_out]
     hit, wrong, missed = (sum(x == y for x in held) for y in ((1, 1), (1, 0), (0, 1)))
-    assert hit / max(1, hit + missed) > 0.85 and hit / max(1, hit + wrong) > 0.95, (hit, wrong, missed)
+    assert hit / max(1, hit + missed) > 0.9 and hit / max(1, hit + wrong) > 0.95, (hit, wrong, missed)
