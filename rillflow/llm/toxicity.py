@@ -2,9 +2,9 @@
 inverted index, distance-weighted votes, calibrated.
 
 Fitting takes a bounded sample of labelled rows (``fit_rows``, by a hash of the id; never
-the held-out fold), all of which are the examples.  The vocabulary is chosen without the
-labels: terms of at least ``least_rows`` examples and at most a share ``common_share`` of
-them, the ``terms`` most frequent of these.  A term is
+the held-out fold), all of which are the examples.  The vocabulary: terms of at least
+``least_rows`` examples and at most a share ``common_share`` of them (commoner ones only if
+they go with a label, either one), the ``terms`` most frequent of these.  A term is
 a stem (a word or a word's beginning) that a text has at least 1, 2, 3, 5 or 8 times, so that
 term frequency outlives the normalising of vectors, and weighs idf * association.  Document
 frequencies are counted over all documents.
@@ -36,12 +36,13 @@ empty table.
 
 from __future__ import annotations
 
-import re
+import string
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,45 +50,41 @@ from pyspark.sql import types as T
 from . import common
 
 BLOCK = 64
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-#: Lengths of the beginnings of words that are terms.
+#: What doesn't belong to a word at its ends.
+EDGE = string.punctuation + "«»„“”‘’‚…–—¡¿"
+#: Lengths of the beginnings of words that are stems.
 BEGINNINGS = (4, 5, 6)
 #: A stem that a text has so many times counts as a term for each of these that it reaches.
 LEVELS = (1, 2, 3, 5, 8)
-#: Entries of a worker's memory of words.
-WORDS = 150_000
 
 
-def bare(token: str) -> str:
-    """A token without what isn't a letter or digit at its ends."""
-    w = token.strip(".,;:!?\"'()")  # most tokens have no other
-    return w if w.isalnum() else EDGE.sub("", w)
-
-
-def stems_of(token: str) -> list[str]:
-    """The stems of a lower-case token: the word and its beginnings."""
-    w = bare(token)
-    return [w, *(w[:n] + "*" for n in BEGINNINGS if len(w) > n)] if len(w) > 1 else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts (lower case, cut at white space, without EDGE), for
+    each place of a word its number there, and its text's place."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return pc.utf8_trim(coded.dictionary, characters=EDGE), coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(texts)), counts)
 
 
 class Vocabulary:
     """The chosen terms, "word#n" or "beginning*#n" (n occurrences or more), by number."""
 
     def __init__(self, names: list[str]):
-        self.names, self.memory, self.words, self.begun = names, {}, {}, {}
-        stems: dict[str, int] = {}
-        for i, name in enumerate(names):
-            stem, _, n = name.rpartition("#")
-            stems.setdefault(stem, len(stems))
+        self.names = names
+        stems = list(dict.fromkeys(name.rpartition("#")[0] for name in names))
+        number = {stem: i for i, stem in enumerate(stems)}
         #: of[stem, level]: the number of the term, or -1
         self.of = np.full((len(stems), len(LEVELS)), -1)
         for i, name in enumerate(names):
             stem, _, n = name.rpartition("#")
-            self.of[stems[stem], LEVELS.index(int(n))] = i
-            if stem[-1] == "*":
-                self.begun[stem[:-1]] = stems[stem]
-            else:
-                self.words[stem] = stems[stem]
+            self.of[number[stem], LEVELS.index(int(n))] = i
+        self.words = self._numbered([(s, i) for s, i in number.items() if s[-1] != "*"])
+        self.begun = [self._numbered([(s[:-1], i) for s, i in number.items() if s[-1] == "*" and len(s) == n + 1]) for n in BEGINNINGS]
+
+    @staticmethod
+    def _numbered(found: list[tuple[str, int]]) -> tuple[pa.Array, np.ndarray]:
+        return pa.array([s for s, _ in found], pa.string()), np.array([i for _, i in found] + [-1])
 
     def __len__(self):
         return len(self.names)
@@ -95,33 +92,26 @@ class Vocabulary:
     def __reduce__(self):
         return Vocabulary, (self.names,)
 
-    def _learn(self, token: str) -> list[int]:
-        """The numbers of the known stems of stems_of(token)."""
-        if len(self.memory) > WORDS:
-            self.memory.clear()
-        w = bare(token)
-        found = [self.words[w]] if w in self.words else []
-        for n in BEGINNINGS:
-            if len(w) > n and (i := self.begun.get(w[:n])) is not None:
-                found.append(i)
-        self.memory[token] = found
-        return found
-
-    def read(self, text: str | None) -> np.ndarray:
-        """Numbers of the terms that a text has, ascending."""
-        memory, found, times, spans = self.memory, [], [], []
-        for token, n in Counter((text or "").lower().split()).items():
-            stems = memory.get(token)
-            if stems is None:
-                stems = self._learn(token)
-            if stems:
-                found += stems
-                times.append(n)
-                spans.append(len(stems))
-        stems, at = np.unique(np.array(found, np.int64), return_inverse=True)
-        often = np.bincount(at, np.repeat(times, spans), len(stems))
-        terms = self.of[stems]
-        return np.sort(terms[(terms >= 0) & (often[:, None] >= LEVELS)])
+    def _stems(self, words: pa.Array) -> np.ndarray:
+        """For each word the numbers of its stems: itself and its beginnings, or -1."""
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        out = np.empty((len(words), 1 + len(BEGINNINGS)), np.int64)
+        for k, (n, (known, number)) in enumerate(zip((1, *BEGINNINGS), (self.words, *self.begun), strict=True)):
+            at = pc.index_in(pc.utf8_slice_codeunits(words, 0, n) if k else words, value_set=known)
+            out[:, k] = np.where(size > n, number[pc.fill_null(at, -1).to_numpy(zero_copy_only=False)], -1)
+        return out
+
+    def read(self, texts: pa.Array) -> list[np.ndarray]:
+        """For each text the numbers of its terms, ascending."""
+        words, at, text = words_of(texts)
+        stems = self._stems(words)[at]
+        known, width = stems >= 0, max(1, len(self.of))
+        key, often = np.unique((text[:, None] * width + stems)[known], return_counts=True)
+        terms = self.of[key % width]
+        held = (terms >= 0) & (often[:, None] >= LEVELS)
+        found = np.sort(np.broadcast_to((key // width)[:, None], terms.shape)[held] * max(1, len(self)) + terms[held])
+        ends = np.searchsorted(found, np.arange(1, len(texts)) * max(1, len(self)))
+        return np.split(found % max(1, len(self)), ends)
 
 
 @dataclass
@@ -198,7 +188,9 @@ class Index:
         bound = w.astype(np.float32) @ self.best[t] * np.float32(1.0001)  # rounded up
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        at, cos, least, wave = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
+        at, cos, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        # where the bounds hardly differ none of them will end the search: one wave then
+        wave = 4 if len(order) and 3 * bound[order[len(order) // 2]] < bound[order[0]] else len(order)
         while len(order):
             some, order = order[:wave], order[wave:]
             a, c = self._cosines(t, w, np.sort(some))
@@ -254,11 +246,11 @@ def _term_rows(batches):
     """(term, toxic, rows): numbers of sample rows with the term, of this task."""
     toxic, rows = Counter(), Counter()
     for b in common.slices(batches):
-        for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-            often: Counter = Counter()
-            for token, n in Counter(text.lower().split()).items():
-                for stem in stems_of(token):
-                    often[stem] += n
+        words, at, text = words_of(b.column("text"))
+        stems = [[w, *(w[:n] + "*" for n in BEGINNINGS if len(w) > n)] if len(w) > 1 else [] for w in words.to_pylist()]
+        bounds = np.searchsorted(text, np.arange(b.num_rows + 1))
+        for i, label in enumerate(b.column("label").to_pylist()):
+            often = Counter(stem for w in at[bounds[i] : bounds[i + 1]].tolist() for stem in stems[w])
             found = [f"{stem}#{n}" for stem, c in often.items() for n in LEVELS if c >= n]
             rows.update(found)
             if label:
@@ -267,35 +259,26 @@ def _term_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(rows)), pa.array([toxic[t] for t in rows], pa.int64()), pa.array(list(rows.values()), pa.int64())], ["term", "toxic", "rows"])
 
 
-def read_terms(docs: DataFrame, terms: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, terms) of each row: the terms of its text, ascending, as byte planes."""
-
-    def run(batches):
-        for b in common.slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([common.planes(terms.read(t)) for t in b.column(1).to_pylist()], pa.binary())], [id_col, "terms"])
-
-    slim = docs.select(docs[id_col].alias(id_col), common.text_of(docs, text_col).alias("__text"))
-    return common.spread(slim).mapInArrow(run, T.StructType([common.field(docs, id_col)]).add("terms", "binary"))
-
-
-def unpacked(terms: bytes) -> np.ndarray:
-    return common.unplanes(bytes(terms)).astype(np.int64)
-
-
-def _frequency_rows(batches, n: int):
-    """(term, rows): numbers of rows with each of n terms, of this task; term -1: all."""
-    found, every = np.zeros(n, np.int64), 0
-    for b in batches:
+def _frequency_rows(batches, terms: Vocabulary):
+    """(term, rows): numbers of rows with each term, of this task; term -1: all."""
+    found, every = np.zeros(len(terms), np.int64), 0
+    for b in common.slices(batches):
         every += b.num_rows
-        for terms in b.column("terms").to_pylist():
-            found[unpacked(terms)] += 1
+        found += np.bincount(np.concatenate([np.zeros(0, np.int64), *terms.read(b.column("text"))]), minlength=len(terms))
     at = np.flatnonzero(found)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int64()), pa.array(np.append(every, found[at]), pa.int64())], ["term", "rows"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 4_000, terms: int = 32_768, k: int = 15, shrink: float = 0.3, least_rows: int = 3, common_share: float = 0.1, chance: float = 16.0, floor: float = 0.02) -> tuple[Index, DataFrame]:
-    """The index of examples, and read_terms() of all rows (written).  The size of the index,
-    and all that comes to the driver, is bounded by fit_rows and terms."""
+def _example_rows(batches, terms: Vocabulary):
+    """(id, label, digest, terms) of each sample row; terms as byte planes."""
+    for b in common.slices(batches):
+        found = [common.planes(t) for t in terms.read(b.column("text"))]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), b.column("digest"), pa.array(found, pa.binary())], ["id", "label", "digest", "terms"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 4_000, terms: int = 32_768, k: int = 15, shrink: float = 0.3, least_rows: int = 3, common_share: float = 0.07, chance: float = 16.0, floor: float = 0.02) -> Index:
+    """The index of examples.  Its size, and all that comes to the driver, is bounded by
+    fit_rows and terms."""
     kind = docs.schema[id_col].dataType
     ids = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull() & (fold(labels[id_col]) != 1))
     ids = ids.groupBy(labels[id_col].cast(kind).alias("id")).agg(F.max(labels[label_col]).cast("long").alias("label"))
@@ -308,25 +291,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic = toxic or 0
     if not n or toxic in (0, n):
         base = toxic / n if n else 0.0
-        none = Vocabulary([])
-        return Index(none, np.zeros(0), [], np.zeros(0), k, shrink, base, base), read_terms(docs, none, id_col, text_col)
+        return Index(Vocabulary([]), np.zeros(0), [], np.zeros(0), k, shrink, base, base)
     seen = common.spread(sample).mapInArrow(_term_rows, "term string, toxic long, rows long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
-    seen = seen.where((F.col("rows") >= least_rows) & (F.col("rows") <= max(least_rows, common_share * n)))
+    t, every, good = F.col("toxic").cast("double"), F.col("rows").cast("double"), float(n - toxic)
+    c = every - t
+    chi2 = n * (t * (good - c) - c * (toxic - t)) ** 2 / F.greatest(float(toxic) * good * every * (n - every), F.lit(1e-9))
+    seen = seen.withColumn("chi2", chi2).where((every >= least_rows) & ((every <= common_share * n) | (F.col("chi2") > chance)))
     seen = sorted(seen.orderBy(F.desc("rows"), "term").limit(terms).collect(), key=lambda r: r.term)
     known = Vocabulary([r.term for r in seen])
-    read = common.written(read_terms(docs, known, id_col, text_col), "toxicity-terms")
-    found = dict(map(tuple, read.select("terms").mapInArrow(lambda it: _frequency_rows(it, len(known)), "term long, rows long").groupBy("term").agg(F.sum("rows")).collect()))
-    t, every, good = np.array([r.toxic for r in seen], float), np.array([r.rows for r in seen], float), float(n - toxic)
-    c = every - t
-    chi2 = n * (t * (good - c) - c * (toxic - t)) ** 2 / np.maximum(float(toxic) * good * every * (n - every), 1e-9)
+    found = common.spread(slim.select("text")).mapInArrow(lambda it: _frequency_rows(it, known), "term long, rows long")
+    found = dict(map(tuple, found.groupBy("term").agg(F.sum("rows")).collect()))
+    every, chi2 = (np.array([r[c] for r in seen], float) for c in ("rows", "chi2"))
     idf = np.log((1 + found.get(-1, 0)) / (1 + np.array([found.get(i, 0) for i in range(len(known))], float))) + 1
     weight = idf * np.maximum(floor, np.sqrt(np.maximum(chi2 - chance, 0) / n))
-    sample = sample.withColumn("key", F.struct("id", "label", F.sha2("text", 256).alias("digest")))
+    schema = T.StructType([T.StructField("id", kind)]).add("label", "long").add("digest", "string").add("terms", "binary")
     own = []
-    for r in read_terms(sample, known, "key", "text").collect():
-        at = unpacked(r.terms)
+    for r in sample.withColumn("digest", F.sha2("text", 256)).mapInArrow(lambda it: _example_rows(it, known), schema).collect():
+        at = common.unplanes(bytes(r.terms)).astype(np.int64)
         leader = int(at[np.argmax(every[at])]) if len(at) else -1
-        own.append(((leader, len(at), r.key.digest), r.key.id, r.key.label, at))
+        own.append(((leader, len(at), r.digest), r.id, r.label, at))
     own.sort(key=lambda x: x[0])
     without = [x[2] for x in own if not len(x[3])]
     own, base = [x for x in own if len(x[3])], toxic / n
@@ -334,35 +317,26 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     vectors = [index.vector(x[3]) for x in own]
     index.add(vectors)
     index.calibrate(vectors)
-    return index, read
-
-
-def fit(docs: DataFrame, labels: DataFrame, *columns: str, **how) -> Index:
-    """The index that learn() finds."""
-    return learn(docs, labels, *columns, **how)[0]
+    return index
 
 
-def score_read(read: DataFrame, index: Index, id_col: str = "doc_id") -> DataFrame:
-    """(id, terms) -> (id, score, neighbours, cosines); neighbours: ids of the examples."""
-    shared = read.sparkSession.sparkContext.broadcast(index)
-    own = read.schema[id_col].dataType
+def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, neighbours, cosines) of each row; neighbours: ids of the examples."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    kind = docs.schema[id_col].dataType
+    slim = docs.select(docs[id_col].alias(id_col), common.text_of(docs, text_col).alias("__text"))
+    schema = T.StructType([common.field(docs, id_col)]).add("score", "double").add("neighbours", T.ArrayType(kind)).add("cosines", T.ArrayType(T.DoubleType()))
 
     def run(batches):
         index = shared.value
         for b in common.slices(batches):
-            found = [index.score(unpacked(x)) for x in b.column(1).to_pylist()]
+            found = [index.score(t) for t in index.terms.read(b.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([s for s, _, _ in found], pa.float64()), pa.array([[index.ids[i] for i in at] for _, at, _ in found], pa.list_(b.schema.field(0).type)), pa.array([c.tolist() for _, _, c in found], pa.list_(pa.float64()))],
                 [id_col, "score", "neighbours", "cosines"],
             )
 
-    schema = T.StructType([common.field(read, id_col)]).add("score", "double").add("neighbours", T.ArrayType(own)).add("cosines", T.ArrayType(T.DoubleType()))
-    return common.spread(read.select(id_col, "terms")).mapInArrow(run, schema)
-
-
-def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, neighbours, cosines) of each row."""
-    return score_read(read_terms(docs, index.terms, id_col, text_col), index, id_col)
+    return common.spread(slim).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, index: Index, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -372,8 +346,8 @@ def keep_clean(docs: DataFrame, index: Index, text_col: str = "text", threshold:
     def run(batches):
         index = shared.value
         for b in common.slices(batches):
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            yield b.filter(pa.array([index.score(index.terms.read(t))[0] < threshold for t in texts], pa.bool_()))
+            texts = pc.fill_null(b.column(b.schema.get_field_index(text_col)).cast(pa.string()), "")
+            yield b.filter(pa.array([index.score(t)[0] < threshold for t in index.terms.read(texts)], pa.bool_()))
 
     return common.spread(docs).mapInArrow(run, docs.schema)
 
@@ -381,7 +355,7 @@ def keep_clean(docs: DataFrame, index: Index, text_col: str = "text", threshold:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, scored by what labels teach."""
     docs = common.table(spark, sf_dir, "documents")
-    scored = score_read(*reversed(learn(docs, common.table(spark, sf_dir, "labels"))))
+    scored = score_toxicity(docs, fit(docs, common.table(spark, sf_dir, "labels")))
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "neighbours", "cosines")
 
