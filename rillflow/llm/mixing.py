@@ -10,8 +10,12 @@ of a source are dealt by a hash into leaves of about ``leaf`` rows, however larg
 source; a leaf goes through its documents by size, which pairs similar sizes, and leaves at
 most one fractional document.  These residuals meet in a tree, ``fan`` leaves at a time,
 until each source has one, which is drawn.  A level is a shuffle of what the level before
-has left, a ``leaf``-th and a ``fan``-th of it.  All draws are hashes of the seed and of the
-place in the tree, so that reruns agree.
+has left, a ``leaf``-th and a ``fan``-th of it.
+
+A row's leaf and its place there depend on its id, source, text and, of equal rows, its
+number among them (they are counted, with partial sums, and numbered from the count); all
+draws are hashes of the seed and of the place in the tree.  Reruns thus agree, whatever the
+files, their order and the number of partitions.
 
 Cases: a null text has size 0; a null source is a source of its own, after the others; a
 document of size 0 is never taken; if all sizes are 0 nothing is; repeated rows and null
@@ -109,7 +113,7 @@ def pivot(p: np.ndarray, u: np.ndarray) -> np.ndarray:
 def _level(t: pa.Table, level: int, seed: int, last: bool) -> pa.Table:
     """One node of the tree: rows from the largest down, so that what is left is small; of
     one size by what else tells them apart."""
-    t = t.sort_by([("size", "descending"), ("tie", "ascending"), ("rid", "ascending")])
+    t = t.sort_by([("size", "descending"), ("own", "ascending"), ("rid", "ascending")])
     n = t.num_rows
     key = [np.full(n, t.column(c)[0].as_py(), np.int64) for c in ("place", "node")]
     u = draws(seed, *key, np.full(n, level), np.arange(n))
@@ -124,23 +128,35 @@ def _node(level: int, seed: int, last: bool):
     return lambda t: _level(t, level, seed, last)
 
 
+def _numbered(rows: DataFrame, step: int = 1024) -> DataFrame:
+    """(id, source, size, tie) -> the same rows and own: a hash that tells also equal rows apart.
+
+    Equal rows are counted and made anew from the count, in two steps so that arrays stay
+    short: a group is never gathered in a task."""
+    same = rows.groupBy("id", "source", "size", "tie").agg(F.count("*").alias("m"))
+    first = same.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / step))))
+    last = F.least(F.col("m") - 1, (F.col("block") + 1) * step - 1)
+    each = first.withColumn("k", F.explode(F.sequence(F.col("block") * step, last)))
+    return each.select("id", "source", "size", "tie", F.xxhash64("id", F.isnull("source"), "source", "tie", "k").alias("own"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 20240229, leaf: int = 4096, fan: int = 64) -> DataFrame:
     """(id, source, size, source_size, target, copies, tie) of each row; tie: a hash of the text."""
     slim = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), n_words(common.text_of(docs, text_col)).alias("size"), F.xxhash64(common.text_of(docs, text_col)).alias("tie"))
-    slim = common.written(slim.withColumn("rid", F.monotonically_increasing_id()), "mix")
+    slim = common.written(_numbered(slim).withColumn("rid", F.monotonically_increasing_id()), "mix")
     targets = common.checkpointed(source_targets(slim.select("source", "size"), weights, most))
     largest = targets.agg(F.max("n")).first()[0] or 0
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    rows = slim.withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source")), "left").drop("own")
+    rows = slim.withColumnRenamed("source", "from").join(targets, F.col("from").eqNullSafe(F.col("source")), "left").drop("from")
     whole = F.when(F.col("size") > 0, F.floor(F.col("ratio") + TINY)).otherwise(0)
     part = F.when(F.col("size") > 0, F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0))).otherwise(0.0)
     rows = rows.withColumn("ratio", ratio).withColumn("whole", whole.cast("long")).withColumn("p", part)
     # a source's place in the tree, and the document's leaf: as many as the source needs
-    rows = rows.withColumn("place", F.xxhash64(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))).withColumn("node", F.pmod(F.xxhash64("id", "tie", "rid"), F.ceil(F.col("n") / leaf)).cast("long"))
+    rows = rows.withColumn("place", F.xxhash64(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))).withColumn("node", F.pmod("own", F.ceil(F.col("n") / leaf)).cast("long"))
     levels, width = 1, (largest + leaf - 1) // leaf
     while width > 1:
         levels, width = levels + 1, (width + fan - 1) // fan
-    slim_tree = rows.where(F.col("p") > TINY).select("rid", "place", "node", "size", "tie", "p")
+    slim_tree = rows.where(F.col("p") > TINY).select("rid", "place", "node", "size", "own", "p")
     settled, schema = None, slim_tree.schema
     for level in range(levels):
         done = common.checkpointed(slim_tree.groupBy("place", "node").applyInArrow(_node(level, seed, level == levels - 1), schema))

@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -76,6 +76,27 @@ def test_tree_comes_near_the_targets(spark):
         assert abs(taken[r[0]] / r[2] - 1) < 0.05
 
 
+@pytest.mark.parametrize("leaf", [16, 4096])
+def test_reruns_agree_on_any_partitioning(spark, leaf, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * int(rng.lognormvariate(3, 1))), None, rng.choice(["hot"] * 4 + ["b", None]), i) for i in range(1500)]
+    rows += [(7, "same text here", "en", "hot", 1)] * 150 + [(None, "same text here", "en", None, 1)] * 70 + hard_rows()
+    found = []
+    for n in (1, 3, 7):
+        rng.shuffle(rows)
+        frame(spark, rows, n).write.parquet(f"{tmp_path}/{n}")
+        for docs in (frame(spark, rows, n), spark.read.parquet(f"{tmp_path}/{n}")):
+            found.append(Counter(map(tuple, mixing.mix(docs, leaf=leaf, fan=4).collect())))
+    assert all(f == found[0] for f in found) and sum(found[0].values()) == len(rows)
+    assert {c for (d, *_, c, _), k in found[0].items() if d == 7 for _ in range(k)} <= {0, 1, 2, 3}
+
+
+def test_equal_rows_are_told_apart(spark):
+    rows = [(1, "a", 3, 9)] * 2500 + [(2, None, 0, 9), (None, "a", 3, 9)]
+    got = mixing._numbered(spark.createDataFrame(rows, "id long, source string, size long, tie long"), step=16).collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter(rows) and len({r.own for r in got}) == len(rows)
+
+
 def test_query_reruns_agree(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     a = sorted(map(tuple, mixing.op10_mixing(spark, SF).collect()))
