@@ -2,20 +2,27 @@
 
 Base kinds are ``assign``, ``access`` and ``hex`` (patterns below, leftmost and
 non-overlapping for each kind).  ``guess`` spans are added: values that stand where a
-credential would, whose cheapest explanation takes many guesses.  That cost is a
-minimum-cost segmentation of the value, by dynamic programming over its characters, into
+credential would, whose cheapest explanation takes many guesses.  A value stands there after a
+credential's name and a sign (``:``, ``=``, ``=>``), past a scheme word if there is one; before
+the host of an address; and, if it isn't of letters alone, after a name and ``is`` or after
+``bearer``.  The cost is a minimum-cost segmentation of the value, by dynamic programming over
+its characters, into
 
-* words of a list, by rank, with capitals and digit-for-letter spellings,
+* words of a ranked list, with capitals and digit-for-letter spellings,
 * dates, * repeats of a unit of one to four characters, * keyboard or alphabet walks,
 * brute-force characters for the rest.
 
-Costs are log10 of guesses and add up; each segment also pays for the choice of its kind.
-Words, dates and walks are of bounded or maximal length at each place, and a repeat is one
-run as far as it goes, so that the time is linear in the length of the value.
+Costs are log10 of guesses and add up; each segment also pays for the choice of its kind.  All
+stretches of a repeat or walk are tried, not only whole runs; they pay for their length by
+its doublings, so that each doubling is one sliding minimum over the places where the stretch
+may begin: the minimum is exact and the time n log n in the length of the value.
+
+The list of words is the common words of passwords (``COMMON``), then the commonest words of
+the documents themselves, counted over all of them (``corpus_words``, at most ``words`` of
+them): a word that the corpus often has is no secret.
 
 A value may be the name of the next credential, or hold it: the search goes on after each
-name, and a scheme (``Bearer``, ``Basic``) between name and value is passed over.  What lies in a
-value that is found isn't listed again.
+name.  What lies in a value that is found isn't listed again.
 
 Cases: a null text counts as empty and has no spans; whole texts and whole values are
 looked at, however long; repeated rows and null ids are kept, one result for each input
@@ -28,8 +35,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, deque
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,11 +50,13 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 #: For these two a run that is too short holds no run that is long enough.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Where the value of a credential stands: after its name, or before the host of an address.
-#: A match ends with the name, so that names inside or instead of a value are looked at too.
+#: Where the value of a credential stands: after its name and a sign, or before the host of an
+#: address.  A match ends with the name, so that names inside or instead of a value are looked
+#: at too.
 CONTEXT = re.compile(
     r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth)[_-]?key|bearer|authorization)"""
-    r"""(?=["']?(?:\x20*(?::|=>?)\x20*|\x20+(?ai:is\x20+)?)["']?(?ai:(?:bearer|basic|token|digest|negotiate)\x20+(?![:=]))?(?P<value>[^\s"'<>,;]{6,}))"""
+    r"""(?=(?:["']?\x20*(?::|=>?)\x20*["']?(?ai:(?:bearer|basic|token|digest|negotiate)\x20+(?![:=]))?"""
+    r"""|(?:\x20+(?ai:is)|(?<=[Rr]))\x20+["']?(?=[^\s"'<>,;]*[^\sA-Za-z"'<>,;.:!?)]))(?P<value>[^\s"'<>,;]{6,}))"""
     r"""|://(?=[^\s:/@]+:(?P<login>[^\s/@]{6,})@)"""
 )
 
@@ -62,14 +73,14 @@ COMMON = tuple(
 )
 LEET = str.maketrans("4@3160!$57+9", "aaeliolsstg" + "g")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")
-KIND = math.log10(5)
-LONGEST_WORD = max(map(len, COMMON))
-DATE = re.compile(
-    r"(?=(?P<ymd>(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01]))?)(?=(?P<dmy>(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\4(?:19|20)\d\d)?)"
-    r"(?=(?P<mdy>(?:0[1-9]|1[0-2])([-/._]?)(?:0[1-9]|[12]\d|3[01])\6(?:19|20)\d\d)?)(?=(?P<year>19\d\d|20[0-4]\d)?)"
+KIND, TWO, WALK, TURN = math.log10(5), math.log10(2), math.log10(94), 0.15
+DAY, MONTH, YEAR = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d\d"
+#: At a place at most one date of each of these begins.
+DATES = tuple(
+    re.compile(x)
+    for x in (rf"{YEAR}(?:{MONTH}{DAY}|([-/._])(?:0?[1-9]|1[0-2])\1{DAY})", rf"{DAY}([-/._]?){MONTH}\1{YEAR}", rf"{MONTH}([-/._]?){DAY}\1{YEAR}", r"(?:19\d\d|20[0-4]\d)")
 )
 
-
 def _neighbours() -> dict[str, set[str]]:
     near: dict[str, set[str]] = {}
     for row in ROWS:
@@ -94,72 +105,108 @@ def alphabet(value: str) -> float:
     return float(max(10, n + 32 * any(not c.isalnum() for c in value)))
 
 
-def segments(value: str, words: dict[str, int] | None = None, longest: int = LONGEST_WORD):
-    """(start, end, kind, cost) of all words, dates, repeats and walks in a value."""
-    words = RANK if words is None else words
-    low, one, n = value.lower(), math.log10(alphabet(value)), len(value)
-    if len(low) != n:  # a few letters have a longer lower case
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+def lowered(value: str) -> str:
+    """In lower case, of the same length (a few letters have a longer lower case)."""
+    low = value.lower()
+    return low if len(low) == len(value) else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+
+
+def words_and_dates(value: str, words: dict[str, int], longest: int):
+    """(start, end, kind, cost) of all words and dates in a value."""
+    low, n = lowered(value), len(value)
     plain = low.translate(LEET)
     for i in range(n):
         for j in range(i + 3, min(n, i + longest) + 1):
             for spelt, extra in ((low, 0.0), (plain, 1.0)):
                 if (rank := words.get(spelt[i:j])) and not (extra and plain[i:j] == low[i:j]):
                     capitals = sum(c.isupper() for c in value[i:j])
-                    caps = 0.0 if not capitals else math.log10(2) if capitals == j - i or value[i].isupper() and capitals == 1 else min(capitals, j - i - capitals) * math.log10(j - i + 1)
+                    caps = 0.0 if not capitals else TWO if capitals == j - i or value[i].isupper() and capitals == 1 else min(capitals, j - i - capitals) * math.log10(j - i + 1)
                     yield i, j, "word", math.log10(rank + 1) + extra + caps
-        m = DATE.match(value, i)
-        for name in ("ymd", "dmy", "mdy", "year"):
-            if found := m.group(name):
-                yield i, i + len(found), "date", math.log10(150 * (1 if name == "year" else 365 * 4))
-    for unit in range(1, 5):
-        i = 0
-        while i + unit < n:
-            j = i
-            while j + unit < n and value[j] == value[j + unit]:
-                j += 1
-            if j - i >= max(unit, 2):
-                yield i, j + unit, "repeat", unit * one + math.log10((j + unit - i) / unit)
-            i = max(j, i + 1)
-    i = 0
-    while i < n - 2:
-        j = i
-        while j + 1 < n and low[j + 1] in NEAR.get(low[j], ()):
-            j += 1
-        if j - i >= 2:
-            yield i, j + 1, "walk", math.log10(94 * (j + 1 - i)) + 0.3 * sum(low[k] != low[k + 2] for k in range(i, j - 1)) / 2
-        i = max(j, i + 1)
+        if value[i].isdigit():
+            for k, date in enumerate(DATES):
+                if m := date.match(value, i):
+                    yield i, m.end(), "date", math.log10(150 * (1 if k == 3 else 365 * 4))
+
+
+class Least:
+    """The smallest of the values at lo..hi of a growing list, for lo and hi that only grow."""
+
+    def __init__(self):
+        self.held, self.upto = deque(), -1
+
+    def at(self, values: list[float], lo: int, hi: int) -> int:
+        held = self.held
+        for i in range(max(self.upto + 1, lo), hi + 1):
+            while held and values[held[-1]] >= values[i]:
+                held.pop()
+            held.append(i)
+        self.upto = max(self.upto, hi)
+        while held[0] < lo:
+            held.popleft()
+        return held[0]
 
 
-def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
+def guess_cost(value: str, words: dict[str, int] | None = None, longest: int | None = None) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the guesses of the cheapest segmentation, and that segmentation."""
-    n, one = len(value), math.log10(alphabet(value))
+    words = RANK if words is None else words
+    longest = max(map(len, words), default=0) if longest is None else longest
+    n, one, low = len(value), math.log10(alphabet(value)), lowered(value)
     ending: list[list] = [[] for _ in range(n + 1)]
-    for i, j, kind, cost in segments(value, words):
-        ending[j].append((i, kind, cost + KIND))
-    # best[j][0]: value[:j] ends with another segment or is empty; best[j][1]: with brute force
-    best = [[0.0, math.inf]] + [[math.inf, math.inf] for _ in range(n)]
-    back: list[list] = [[None, None] for _ in range(n + 1)]
+    for i, j, kind, cost in words_and_dates(value, words, longest):
+        ending[j].append((i, kind, cost))
+    # best[j]: value[:j] at least cost; brute[j]: of those that end in brute force
+    best, brute, back = [0.0], [math.inf], [(0, "")]
+    begun = [0]  # where the brute force that ends at j begins
+    turned = [0.0]  # turned[k]: cost of the turns before k; a walk turns at k if k + 2 isn't again as k
+    for k in range(n):
+        turned.append(turned[k] + (TURN if k + 2 < n and low[k] != low[k + 2] else 0.0))
+    spaced, walk = [0.0], 0  # best[j] - turned[j]: for walks that begin at j; length of the walk ending at j
+    runs, least = [0] * 5, {}
     for j in range(1, n + 1):
-        begun, going = best[j - 1][0] + KIND + one, best[j - 1][1] + one
-        best[j][1], back[j][1] = min((going, (j - 1, 1, "brute")), (begun, (j - 1, 0, "brute")), key=lambda x: x[0])
+        going, fresh = brute[j - 1] + one, best[j - 1] + KIND + one
+        brute.append(min(going, fresh))
+        begun.append(begun[j - 1] if going <= fresh else j - 1)
+        found, how = brute[j], (begun[j], "brute")
         for i, kind, cost in ending[j]:
-            state = int(best[i][1] < best[i][0])
-            if (c := best[i][state] + cost) < best[j][0]:
-                best[j][0], back[j][0] = c, (i, state, kind)
-    j, state = n, int(best[n][1] < best[n][0])
-    total, parts = best[n][state], []
+            if (c := best[i] + cost + KIND) < found:
+                found, how = c, (i, kind)
+        for unit in (1, 2, 3, 4):  # value[j - runs[unit] : j] repeats itself after unit
+            runs[unit] = runs[unit] + 1 if j > unit and value[j - 1] == value[j - 1 - unit] else 0
+            size, shortest = runs[unit] + unit, max(2 * unit, 3)
+            if size >= shortest and runs[unit]:
+                double = 1
+                while True:
+                    lo = max(j - size, j - (unit << double))
+                    if lo <= j - shortest:
+                        i = least.setdefault((unit, double), Least()).at(best, lo, j - shortest)
+                        if (c := best[i] + unit * one + double * TWO + KIND) < found:
+                            found, how = c, (i, "repeat")
+                    if unit << double >= size:
+                        break
+                    double += 1
+        walk = walk + 1 if j > 1 and low[j - 1] in NEAR.get(low[j - 2], ()) else 1
+        if walk >= 3:
+            double = 2
+            while True:
+                lo = max(j - walk, j - (1 << double))
+                i = least.setdefault((0, double), Least()).at(spaced, lo, j - 3)
+                if (c := spaced[i] + turned[j - 2] + WALK + double * TWO + KIND) < found:
+                    found, how = c, (i, "walk")
+                if 1 << double >= walk:
+                    break
+                double += 1
+        best.append(found)
+        spaced.append(found - turned[j])
+        back.append(how)
+    parts, j = [], n
     while j:
-        i, before, kind = back[j][state]
-        if parts and kind == "brute" == parts[-1][2] and parts[-1][0] == j and before is not None and state == 1:
-            parts[-1] = (i, parts[-1][1], kind)
-        else:
-            parts.append((i, j, kind))
-        j, state = i, before
-    return total, parts[::-1]
+        i, kind = back[j]
+        parts.append((i, j, kind))
+        j = i
+    return best[n], parts[::-1]
 
 
-def spans_of(text: str, least: float = 12.0, words: dict[str, int] | None = None) -> list[tuple[str, int, int, float | None]]:
+def spans_of(text: str, least: float = 12.0, words: dict[str, int] | None = None, longest: int | None = None) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, log10 of guesses) of all spans, by start, then kind as listed."""
     found = [("assign", m.start(), m.end(), None) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
     found += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text)]
@@ -175,7 +222,7 @@ def spans_of(text: str, least: float = 12.0, words: dict[str, int] | None = None
         # the rest of a cheap value that begins in one of its repeats is no dearer
         if end == cheap and any(a <= start <= b - 8 for a, b in repeats):
             continue
-        cost, parts = guess_cost(text[start:end], words)
+        cost, parts = guess_cost(text[start:end], words, longest)
         if cost >= least:
             found.append(("guess", start, end, cost))
             covered = end
@@ -195,32 +242,69 @@ def redacted(text: str, spans: list) -> str:
     return "".join(out) + text[at:]
 
 
-SPAN = "array<struct<kind: string, start: bigint, end: bigint, guesses: double>>"
+def ranked(words: list[str]) -> dict[str, int]:
+    """COMMON and then other words, by rank."""
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys((*COMMON, *words)))}
+
+
+def _word_rows(batches, longest: int):
+    """(word, n): how often words of letters stand in the texts of this task, in part sums."""
+    found: Counter = Counter()
+
+    def sent():
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+    for b in common.slices(batches):
+        tokens = pc.utf8_split_whitespace(pc.utf8_lower(b.column(0))).flatten().value_counts()
+        words = pc.utf8_trim(tokens.field("values"), characters=".,;:!?\"'()")
+        size = pc.utf8_length(words)
+        held = pc.and_(pc.utf8_is_alpha(words), pc.and_(pc.greater_equal(size, 4), pc.less_equal(size, longest)))
+        for w, n in zip(words.filter(held).to_pylist(), tokens.field("counts").filter(held).to_pylist(), strict=True):
+            found[w] += n
+        if len(found) > 200_000:
+            yield sent()
+            found.clear()
+    if found:
+        yield sent()
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", words: int = 20_000, longest: int = 16) -> list[str]:
+    """The commonest words of letters (4 to ``longest`` of them) of all texts, at most so many."""
+    texts = docs.select(common.text_of(docs, text_col).alias("text"))
+    counts = common.spread(texts).mapInArrow(lambda it: _word_rows(it, longest), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 12.0, words: tuple[str, ...] | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 12.0, words: list[str] | None = None) -> DataFrame:
     """(id, spans) of each row.  least: log10 of the guesses from which a value in a
-    credential's context is a secret; words: another list, most common first."""
-    ranks = {w: i + 1 for i, w in reversed(list(enumerate(words)))} if words is not None else None
+    credential's context is a secret; words: what comes after COMMON, most common first, if
+    not corpus_words()."""
+    ranks = ranked(corpus_words(docs, text_col) if words is None else words)
+    longest, shared = max(map(len, ranks)), docs.sparkSession.sparkContext.broadcast(ranks)
     slim = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("guesses", pa.float64())]))
 
     def run(batches):
+        ranks = shared.value
         for b in common.slices(batches):
-            found = [[dict(zip(("kind", "start", "end", "guesses"), s, strict=True)) for s in spans_of(t.as_py(), least, ranks)] for t in b.column(1)]
+            found = [[dict(zip(("kind", "start", "end", "guesses"), s, strict=True)) for s in spans_of(t.as_py(), least, ranks, longest)] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], [id_col, "spans"])
 
     spans = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("guesses", "double"))
     return common.spread(slim).mapInArrow(run, T.StructType([common.field(docs, id_col), T.StructField("spans", spans)]))
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", least: float = 12.0) -> DataFrame:
-    """All columns, with secrets in the text replaced by their kind; a null text stays null."""
+def redact_secrets(docs: DataFrame, text_col: str = "text", least: float = 12.0, words: list[str] | None = None) -> DataFrame:
+    """All columns, with secrets in the text replaced by their kind; a null text stays null.
+    words: as in find_secrets()."""
+    ranks = ranked(corpus_words(docs, text_col) if words is None else words)
+    longest, shared = max(map(len, ranks)), docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
+        ranks = shared.value
         for b in common.slices(batches):
             at = b.schema.get_field_index(text_col)
-            texts = [t if t is None else redacted(t, spans_of(t, least)) for t in b.column(at).to_pylist()]
+            texts = [t if t is None else redacted(t, spans_of(t, least, ranks, longest)) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
     return common.spread(docs).mapInArrow(run, docs.schema)

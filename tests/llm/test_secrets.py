@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -29,13 +30,50 @@ def base(text):
     return [s for _, _, s in sorted(out)]
 
 
-def brute_cost(value):
+def brute_segments(value, words):
+    """(start, end, kind) -> cost of all stretches that are a word, date, repeat or walk, each
+    told by trying it."""
+    low, plain, n, one = value.lower(), value.lower().translate(secrets.LEET), len(value), math.log10(secrets.alphabet(value))
+    found = {}
+
+    def put(*key, cost):
+        found[key] = min(cost, found.get(key, math.inf))
+
+    md, dd, sep = "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])", "[-/._]?"
+    for i in range(n):
+        for j in range(i + 3, n + 1):
+            x = value[i:j]
+            capitals = sum(c.isupper() for c in x)
+            caps = 0 if not capitals else math.log10(2) if capitals == j - i or x[0].isupper() and capitals == 1 else min(capitals, j - i - capitals) * math.log10(j - i + 1)
+            if low[i:j] in words:
+                put(i, j, "word", cost=math.log10(words[low[i:j]] + 1) + caps)
+            if plain[i:j] != low[i:j] and plain[i:j] in words:
+                put(i, j, "word", cost=math.log10(words[plain[i:j]] + 1) + 1 + caps)
+            digits = re.sub("[^0-9]", "", x)
+            if x == digits and re.fullmatch("19[0-9]{2}|20[0-4][0-9]", x):
+                put(i, j, "date", cost=math.log10(150))
+            seps = re.sub("[0-9]", "", x)
+            same = seps == "" or len(seps) == 2 and seps[0] == seps[1]
+            year = "(19|20)[0-9]{2}"
+            forms = [f"{year}{sep}{md}{sep}{dd}", f"{dd}{sep}{md}{sep}{year}", f"{md}{sep}{dd}{sep}{year}"] + ([f"{year}{sep}([1-9]){sep}{dd}"] if seps else [])
+            if same and any(re.fullmatch(f, x) for f in forms):
+                put(i, j, "date", cost=math.log10(150 * 365 * 4))
+            for unit in (1, 2, 3, 4):
+                if j - i >= 2 * unit and all(x[k] == x[k + unit] for k in range(j - i - unit)):
+                    put(i, j, "repeat", cost=unit * one + math.log10(2) * max(1, math.ceil(math.log2((j - i) / unit) - 1e-12)))
+            if all(b in secrets.NEAR.get(a, ()) for a, b in zip(x.lower(), x.lower()[1:], strict=False)):
+                put(i, j, "walk", cost=math.log10(94) + math.log10(2) * math.ceil(math.log2(j - i)) + 0.15 * sum(a != b for a, b in zip(x.lower(), x.lower()[2:], strict=False)))
+    return found
+
+
+def brute_cost(value, words):
     """The cheapest of all segmentations, by trying each."""
     parts = {}
-    for i, j, _, cost in secrets.segments(value):
+    for (i, j, _), cost in brute_segments(value, words).items():
         parts.setdefault(i, []).append((j, cost))
     one, n = math.log10(secrets.alphabet(value)), len(value)
 
+    @functools.lru_cache(None)
     def rest(i, brute):
         if i == n:
             return 0.0
@@ -45,20 +83,28 @@ def brute_cost(value):
     return rest(0, False)
 
 
-def test_cost_is_the_minimum():
+@pytest.mark.parametrize("words", [secrets.RANK, {"apple": 3, "paa": 7, "wer": 2}])
+def test_cost_is_the_minimum(words):
     rng = random.Random(4)
-    bits = ["love", "P4ssw0rd", "2019-01-31", "1999", "aaaa", "abab", "qwer", "xK", "#", "7", "asdf", "31121985"]
-    for _ in range(300):
-        value = "".join(rng.choices(bits, k=rng.randrange(1, 5)))[:16]
-        cost, parts = secrets.guess_cost(value)
-        assert cost == pytest.approx(brute_cost(value))
+    bits = ["love", "P4ssw0rd", "2019-01-31", "1999", "aaaa", "abab", "qwer", "xK", "#", "7", "asdf", "31121985", "a", "apple", "20191231", "fghjkl", "abcabcabc", "2020/7/09", "Q"]
+    for _ in range(500):
+        value = "".join(rng.choices(bits, k=rng.randrange(1, 7)))[:24]
+        cost, parts = secrets.guess_cost(value, words)
+        assert cost == pytest.approx(brute_cost(value, words)), value
         assert [p[0] for p in parts] + [len(value)] == [0] + [p[1] for p in parts]
+        found, one = brute_segments(value, words), math.log10(secrets.alphabet(value))
+        assert cost == pytest.approx(sum(secrets.KIND + ((j - i) * one if kind == "brute" else found[i, j, kind]) for i, j, kind in parts))
+
+
+def test_parts_of_a_run_are_tried():
+    cost, parts = secrets.guess_cost("aaaaapple", secrets.RANK)
+    assert parts == [(0, 4, "repeat"), (4, 9, "word")] and cost < 7
 
 
 def test_costs_order_values():
     cost = lambda v: secrets.guess_cost(v)[0]
     assert cost("password") < cost("Password1999") < cost("zX9#qL2!vB7$wT")
-    assert cost("aaaaaaaaaaaa") < 5 and cost("qwertyuiop") < 5 and cost("2019-01-31") < 7
+    assert cost("aaaaaaaaaaaa") < 5 and cost("qwertyuiop") < 6 and cost("2019-01-31") < 7
     assert cost("x" * 100_000 + "K9#") < 20
 
 
@@ -87,6 +133,9 @@ def test_base_and_added_spans(spark):
         ("secret: aaaaaaaa&pwd=zX9#qL2!vB7$wT, pwd: kQ4%mN8^pR1&", ["aaaaaaaa&pwd=zX9#qL2!vB7$wT", "kQ4%mN8^pR1&"]),
         ("https://token:Gh7$kkQz91!x@host/db", ["Gh7$kkQz91!x"]),
         ("Authorization: Bearer password", []),
+        ("a secret information about tokens, token embeddings are learned, the secret ingredients of the soup, api_key documentation", []),
+        ("the password is hidden, the secret is mentioned; a bearer cheque, bearer of documents", []),
+        ("the password is kQ4%mN8^pR1&, curl -H 'Bearer eyJhbGciOiJIUzI1NiJ9.eyJ'", ["kQ4%mN8^pR1&", "eyJhbGciOiJIUzI1NiJ9.eyJ"]),
         ("pwd=" * 1000, []),
     ],
 )
@@ -111,5 +160,13 @@ def test_query(spark):
         assert set(want) <= set(r.spans.split(","))
 
 
+def test_words_of_the_corpus_are_no_secrets(spark):
+    texts = ["die Donaudampfschiff fahrt"] * 3 + ["password: Donaudampfschiff", "password: Xqvjzkwtphgblm", None, "", "Wort, wort! (wort)"]
+    docs = frame(spark, [(i, t, "de", "a", 1) for i, t in enumerate(texts)])
+    assert secrets.corpus_words(docs, words=2) == ["donaudampfschiff", "fahrt"] and "wort" in secrets.corpus_words(docs)
+    found = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(docs, words=secrets.corpus_words(docs, words=2)).collect()}
+    assert found[3] == ["assign"] and found[4] == ["assign", "guess"]
+
+
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
