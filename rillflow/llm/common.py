@@ -67,6 +67,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df if plan.execute().getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
+def largest(df: DataFrame, size: str, tie: str, limit: int) -> DataFrame:
+    """The rows with the largest sizes (1 or more), at most limit, of equal sizes those with the
+    least tie.  A histogram of sizes tells first from where on rows can be among them, so that
+    neither the tasks' own best rows nor all rows are gathered."""
+    df = written(df.withColumn("__rf_bin", F.floor(F.log2(F.col(size)) * 16).cast("int")), "largest")
+    cut, held = 0, 0
+    for r in sorted(df.groupBy("__rf_bin").count().collect(), key=lambda r: -r["__rf_bin"]):
+        cut, held = r["__rf_bin"], held + r["count"]
+        if held >= limit:
+            break
+    return df.where(F.col("__rf_bin") >= cut).drop("__rf_bin").repartition(8).orderBy(F.desc(size), tie).limit(limit)
+
+
+def sampled(df: DataFrame, key: Column, limit: int) -> DataFrame:
+    """At most limit rows, those with the least hash of the key (a string, distinct).  Hashes
+    that are surely too large are dropped first, so that tasks send few rows in vain."""
+    n, place = df.count(), F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    share = min(1.0, limit * 1.1 / max(1, n) + 1000.0 / max(1, n))
+    near = df.withColumn("__rf_place", place).where(F.col("__rf_place") <= int(share * (1 << 40)))
+    few = near.orderBy("__rf_place", key).limit(limit)
+    return (few if share == 1 or few.count() >= min(limit, n) else df.withColumn("__rf_place", place).orderBy("__rf_place", key).limit(limit)).drop("__rf_place")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))

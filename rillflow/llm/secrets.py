@@ -272,7 +272,7 @@ def corpus_words(docs: DataFrame, text_col: str = "text", words: int = 20_000, l
     """The commonest words of letters (4 to ``longest`` of them) of all texts, at most so many."""
     texts = docs.select(common.text_of(docs, text_col).alias("text"))
     counts = common.spread(texts).mapInArrow(lambda it: _word_rows(it, longest), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+    return [r.word for r in sorted(common.largest(counts, "n", "word", words).collect(), key=lambda r: (-r.n, r.word))]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 12.0, words: list[str] | None = None) -> DataFrame:

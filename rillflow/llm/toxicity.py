@@ -282,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType
     ids = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull() & (fold(labels[id_col]) != 1))
     ids = ids.groupBy(labels[id_col].cast(kind).alias("id")).agg(F.max(labels[label_col]).cast("long").alias("label"))
-    ids = ids.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(fit_rows)
+    ids = common.sampled(ids, F.col("id").cast("string"), fit_rows)
     slim = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
     sample = slim.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     # copies of a text are one example, so that a text that is often copied teaches no terms
@@ -297,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     c = every - t
     chi2 = n * (t * (good - c) - c * (toxic - t)) ** 2 / F.greatest(float(toxic) * good * every * (n - every), F.lit(1e-9))
     seen = seen.withColumn("chi2", chi2).where((every >= least_rows) & ((every <= common_share * n) | (F.col("chi2") > chance)))
-    seen = sorted(seen.orderBy(F.desc("rows"), "term").limit(terms).collect(), key=lambda r: r.term)
+    seen = sorted(common.largest(seen, "rows", "term", terms).collect(), key=lambda r: r.term)
     known = Vocabulary([r.term for r in seen])
     found = common.spread(slim.select("text")).mapInArrow(lambda it: _frequency_rows(it, known), "term long, rows long")
     found = dict(map(tuple, found.groupBy("term").agg(F.sum("rows")).collect()))

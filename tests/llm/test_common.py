@@ -34,3 +34,15 @@ def test_tables_and_plans(spark):
     wide = common.spread(docs)
     assert wide.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and wide.count() == docs.count()
     assert common.spread(spark.range(100).repartition(64).select(F.col("id"))).count() == 100
+
+
+def test_largest_and_sampled(spark):
+    rows = [(f"w{i:04}", 1 + (i * 7919) % 97) for i in range(3000)] + [("a", 10**12), ("b", 2)]
+    df = spark.createDataFrame(rows, "word string, n long").repartition(5)
+    for limit in (1, 50, 2999, 5000):
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))[:limit]
+        assert sorted(map(tuple, common.largest(df, "n", "word", limit).collect())) == sorted(want)
+    picked = [sorted(r.word for r in common.sampled(x, F.col("word"), 100).collect()) for x in (df, df.repartition(2))]
+    assert picked[0] == picked[1] and len(picked[0]) == 100
+    assert common.sampled(df, F.col("word"), 9999).count() == len(rows) and common.sampled(df.limit(0), F.col("word"), 9).count() == 0
+    assert common.largest(df.limit(0), "n", "word", 5).count() == 0
