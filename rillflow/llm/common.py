@@ -57,9 +57,23 @@ def stable(df: DataFrame) -> DataFrame:
     return written(df, "input") if "Exchange" in plan or "RDD" in plan else df
 
 
+#: Bytes of an Arrow batch between executor and Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession):
+    """Sets the session's bound of Arrow batches in bytes, if it is higher or off: by rows alone
+    a batch grows with the length of texts, and so does what executor and worker hold of it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df for work that takes much time a row: a table with fewer row groups than there are
     cores is dealt out over them first."""
+    bound_batches(df.sparkSession)
     plan = df._jdf.queryExecution().executedPlan()
     if "Exchange" in plan.toString():
         return df
@@ -101,6 +115,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_of(docs: DataFrame, text_col: str) -> Column:
     """The text as a string, null as the empty string."""
+    bound_batches(docs.sparkSession)
     return F.coalesce(docs[text_col].cast("string"), F.lit(""))
 
 

@@ -58,6 +58,10 @@ BEGINNINGS = (4, 5, 6)
 LEVELS = (1, 2, 3, 5, 8)
 
 
+#: Bytes of text that are read at a time.
+SLICE = 1 << 20
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of some texts (lower case, cut at white space, without EDGE), for
     each place of a word its number there, and its text's place."""
@@ -245,7 +249,7 @@ def fold(c: Column) -> Column:
 def _term_rows(batches):
     """(term, toxic, rows): numbers of sample rows with the term, of this task."""
     toxic, rows = Counter(), Counter()
-    for b in common.slices(batches):
+    for b in common.slices(batches, size=SLICE):
         words, at, text = words_of(b.column("text"))
         stems = [[w, *(w[:n] + "*" for n in BEGINNINGS if len(w) > n)] if len(w) > 1 else [] for w in words.to_pylist()]
         bounds = np.searchsorted(text, np.arange(b.num_rows + 1))
@@ -262,7 +266,7 @@ def _term_rows(batches):
 def _frequency_rows(batches, terms: Vocabulary):
     """(term, rows): numbers of rows with each term, of this task; term -1: all."""
     found, every = np.zeros(len(terms), np.int64), 0
-    for b in common.slices(batches):
+    for b in common.slices(batches, size=SLICE):
         every += b.num_rows
         found += np.bincount(np.concatenate([np.zeros(0, np.int64), *terms.read(b.column("text"))]), minlength=len(terms))
     at = np.flatnonzero(found)
@@ -271,7 +275,7 @@ def _frequency_rows(batches, terms: Vocabulary):
 
 def _example_rows(batches, terms: Vocabulary):
     """(id, label, digest, terms) of each sample row; terms as byte planes."""
-    for b in common.slices(batches):
+    for b in common.slices(batches, size=SLICE):
         found = [common.planes(t) for t in terms.read(b.column("text"))]
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), b.column("digest"), pa.array(found, pa.binary())], ["id", "label", "digest", "terms"])
 
@@ -329,7 +333,7 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
 
     def run(batches):
         index = shared.value
-        for b in common.slices(batches):
+        for b in common.slices(batches, size=SLICE):
             found = [index.score(t) for t in index.terms.read(b.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([s for s, _, _ in found], pa.float64()), pa.array([[index.ids[i] for i in at] for _, at, _ in found], pa.list_(b.schema.field(0).type)), pa.array([c.tolist() for _, _, c in found], pa.list_(pa.float64()))],
@@ -345,7 +349,7 @@ def keep_clean(docs: DataFrame, index: Index, text_col: str = "text", threshold:
 
     def run(batches):
         index = shared.value
-        for b in common.slices(batches):
+        for b in common.slices(batches, size=SLICE):
             texts = pc.fill_null(b.column(b.schema.get_field_index(text_col)).cast(pa.string()), "")
             yield b.filter(pa.array([index.score(t)[0] < threshold for t in index.terms.read(texts)], pa.bool_()))
 
