@@ -23,7 +23,7 @@ def min_max(df: DataFrame, cols: Sequence[str], bounds: Mapping[str, tuple[float
 
 def kmeans(df: DataFrame, cols: Sequence[str], k: int, name: str = "cluster", seed: int = 1, rounds: int = 20) -> DataFrame:
     """Clusters of all rows at once by Spark ML; labels are renumbered by centre, so that
-    they don't depend on how the centres began."""
+    they don't depend on how the centres began.  A row with a null has no cluster (null)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
@@ -32,7 +32,11 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int, name: str = "cluster", se
     centres = [tuple(round(float(x), 9) for x in c) for c in model.clusterCenters()]
     rank = {i: n for n, i in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
     number = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
-    return model.transform(v).withColumn(name, number[F.col("__c")]).drop("__v", "__c")
+    found = model.transform(v).withColumn(name, number[F.col("__c")]).drop("__v", "__c")
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return found.unionByName(df.where(~whole).withColumn(name, F.lit(None).cast(found.schema[name].dataType)))
 
 
 def grouped_kmeans(df: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int, name: str = "cluster", rounds: int = 50) -> DataFrame:

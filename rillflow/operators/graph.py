@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,12 +15,14 @@ FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the session names for checkpoints."""
+    """df with its lineage cut, in the folder that the session names for checkpoints; only a
+    local session without one gets a folder of its own."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rillflow-"))
     return df.checkpoint(eager=True)
 
 
@@ -92,15 +96,18 @@ def terminals(nodes: DataFrame, node: str, down: str, length: str | None = None,
     takes twenty joins.  A node that drains nowhere (null) is its own terminal; a node in a
     cycle raises."""
     step = F.col(length).cast("double") if length else F.lit(1.0)
-    at = settled(nodes.select(F.col(node).alias("node"), F.coalesce(F.col(down), F.col(node)).alias("to"), F.when(F.col(down).isNotNull(), step).otherwise(0.0).alias("length")))
+    at = nodes.select(F.col(node).alias("node"), F.coalesce(F.col(down), F.col(node)).alias("to"), F.when(F.col(down).isNotNull(), step).otherwise(0.0).alias("length"), F.col(down).isNull().alias("end"))
+    # there: the way ends at ``to`` (a node that isn't in the table ends it too).  Who is there stays
+    # out of the joins, in which all of a basin would meet at its end
+    ends = at.select(F.col("node").alias("to"), F.col("end").alias("__end"))
+    at = settled(at.drop("end").join(ends, "to", "left").select("node", "to", "length", F.coalesce("__end", F.lit(True)).alias("there")))
     for _ in range(rounds):
-        ahead = at.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("length").alias("__l"))
-        nxt = at.join(ahead, "to", "left")
-        nxt = settled(nxt.select("node", F.coalesce("__to", "to").alias("__n"), (F.col("length") + F.coalesce("__l", F.lit(0.0))).alias("length"), (F.coalesce("__to", "to") != F.col("to")).alias("__moved")).withColumnRenamed("__n", "to"))
-        moved = nxt.where("__moved").isEmpty()
-        at = nxt.drop("__moved")
-        if moved:
+        going = at.where(~F.col("there"))
+        if going.isEmpty():
             return at.select(F.col("node").alias(node), F.col("to").alias("terminal"), "length")
+        ahead = at.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("length").alias("__l"), F.col("there").alias("__there"))
+        going = going.drop("there").join(ahead, "to").select("node", F.col("__to").alias("to"), (F.col("length") + F.col("__l")).alias("length"), F.col("__there").alias("there"))
+        at = settled(at.where("there").unionByName(going))
     raise ValueError(f"a way of over 2 ** {rounds} steps: the network has a cycle")
 
 
@@ -113,24 +120,30 @@ def height_above(nodes: DataFrame, found: DataFrame, node: str, height: str, nam
 
 def upstream(nodes: DataFrame, node: str, down: str, roots: DataFrame | None = None, levels: int = 100, order: Sequence[str] = ()) -> DataFrame:
     """(root, node, level, path): all that drains to each root, by a recursive query; path
-    sorts depth-first, by the node's place among the order columns' values.  Deeper ways than
-    the session's recursion limit raise; ``terminals`` has none."""
+    sorts depth-first, by the node's place among the order columns' values.  Ways of over
+    ``levels`` steps raise; ``terminals`` has no such limit.  The rows aren't limited."""
     spark = nodes.sparkSession
     rows = nodes.select(F.col(node).alias("node"), F.col(down).alias("down"), F.format_string("%020d", F.col(node)).alias("mark"))
-    rows.createOrReplaceTempView("__rf_nodes")
-    (roots.select(F.col(node).alias("node")) if roots is not None else rows.where("down IS NULL").select("node")).createOrReplaceTempView("__rf_roots")
-    limit = spark.conf.get("spark.sql.cteRecursionLevelLimit", "100")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(levels))
+    names = [f"__rf_{x}_{uuid.uuid4().hex}" for x in ("nodes", "roots")]
+    rows.createOrReplaceTempView(names[0])
+    (roots.select(F.col(node).alias("node")) if roots is not None else rows.where("down IS NULL").select("node")).createOrReplaceTempView(names[1])
+    limits = {"spark.sql.cteRecursionLevelLimit": str(levels), "spark.sql.cteRecursionRowLimit": "-1"}
+    was = {name: spark.conf.get(name) for name in limits}
     try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
         out = spark.sql(
             "WITH RECURSIVE up(root, node, level, path) AS ("
-            " SELECT r.node, r.node, 0, n.mark FROM __rf_roots r JOIN __rf_nodes n ON n.node = r.node"
-            " UNION ALL SELECT u.root, n.node, u.level + 1, concat(u.path, '/', n.mark) FROM up u JOIN __rf_nodes n ON n.down = u.node)"
+            f" SELECT r.node, r.node, 0, n.mark FROM {names[1]} r JOIN {names[0]} n ON n.node = r.node"
+            f" UNION ALL SELECT u.root, n.node, u.level + 1, concat(u.path, '/', n.mark) FROM up u JOIN {names[0]} n ON n.down = u.node)"
             " SELECT * FROM up"
         )
         return settled(out)
     finally:
-        spark.conf.set("spark.sql.cteRecursionLevelLimit", limit)
+        for name, value in was.items():
+            spark.conf.set(name, value)
+        for name in names:
+            spark.catalog.dropTempView(name)
 
 
 def foreign_reach(found: DataFrame, time: str, most_reaches: int, most_time: float) -> DataFrame:

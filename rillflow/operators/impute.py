@@ -118,7 +118,7 @@ def both_present(a: Column, b: Column) -> tuple[Column, Column]:
 def rebase(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
     """Ids from 0 on: less the smallest of the zone."""
     if not keys:
-        return df.withColumn(col, F.col(col) - F.min(col).over(Window.partitionBy()))
+        return df.withColumn(col, F.col(col) - df.agg(F.min(col)).scalar())
     low = df.groupBy(*keys).agg(F.min(col).alias("__m_low"))
     return _back(df, low, keys, {col: F.col(col) - F.col("__m_low")})
 

@@ -370,7 +370,7 @@ SELECT s_suppkey, c_custkey, round(d, 6) AS distance FROM p WHERE k = 1 AND d <=
 def nearest_match(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n")
     cu = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n")
-    m = joins.nearest_match(s, cu, ["n"], "s_suppkey", "c_custkey", F.abs(c("s_acctbal") - c("c_acctbal")), 5000.0)
+    m = joins.nearest_match(s, cu, ["n"], "s_suppkey", "c_custkey", "s_acctbal", "c_acctbal", 5000.0)
     return m.select("s_suppkey", "c_custkey", r6(c("distance"), "distance"))
 
 
@@ -797,7 +797,8 @@ def water_allocation(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS cid", "s_suppkey AS supply", "s_acctbal + 1000 AS amount")
     d = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS cid", "c_custkey AS demand", "greatest(c_acctbal, 0) / 10 AS need", "c_acctbal")
     # a supply reaches demands of about its own level
-    links = wateruse.feasible_links(s.join(d, "cid").withColumn("off", F.abs(c("amount") - 1000 - c("c_acctbal"))).withColumn("slope", F.lit(0.0)), "off", "slope", 300.0)
+    cells = d.withColumns({"low": c("c_acctbal") + 699.0, "high": c("c_acctbal") + 1301.0})
+    links = wateruse.feasible_links(joins.range_join(s, cells, "amount", "low", "high", 600.0, ["cid"]).withColumn("off", F.abs(c("amount") - 1000 - c("c_acctbal"))).withColumn("slope", F.lit(0.0)), "off", "slope", 300.0)
     links = links.withColumn("cost", F.pmod(F.xxhash64("supply", "demand"), F.lit(1000)).cast("double"))
     return wateruse.allocate(links, "cid", "supply", "demand", "amount", "need", "cost").groupBy("demand").agg(r6(F.sum("flow"), "flow", 4))
 

@@ -26,7 +26,8 @@ FORCING = ("lwdown", "swdown", "tair", "precip", "psurf", "wind", "spfh")
 
 
 def prepare(pixels: DataFrame, band_height: float = 20.0, clusters: int = 2, size: float = 90.0, threshold: float = 0.0) -> dict[str, DataFrame]:
-    """Tables of a set of pixels: cid, i, j, dem, fdir (D8), acc (m2), lc, and soil columns
+    """Tables of a set of pixels: cid, i, j (on one grid for all catchments, which may drain into
+    each other), dem, fdir (D8), acc (m2), lc, and soil columns
     (nulls are filled with means, or modes for classes)."""
     c = F.col
     continuous = ["dem", "acc", *SOIL]
@@ -66,7 +67,7 @@ def prepare(pixels: DataFrame, band_height: float = 20.0, clusters: int = 2, siz
 def structure(tables: dict[str, DataFrame], dz: list[float], state: DataFrame | None = None) -> DataFrame:
     """A row for each component with its units, edges, reaches and weights as arrays, and its
     state (null: a cold start)."""
-    comp = F.broadcast(tables["components"])
+    comp = tables["components"]
 
     def pack(name: str, cols: list[str]) -> DataFrame:
         return tables[name].join(comp, "cid").groupBy("component").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
@@ -233,7 +234,7 @@ def unit_forcing(cells: DataFrame, weights: DataFrame, components: DataFrame) ->
     """Forcing of units from coarse cells (cell, step, the variables) by areal weights
     (cell, cid, hru, weight)."""
     met = cells.join(weights, "cell").groupBy("cid", "hru", "step").agg(*[(F.sum(F.col(v) * F.col("weight")) / F.sum("weight")).alias(v) for v in FORCING])
-    return met.join(F.broadcast(components), "cid")
+    return met.join(components, "cid")
 
 
 def regrid(pixels: DataFrame, values: DataFrame, lat0: float, lon0: float, size: float) -> DataFrame:

@@ -150,3 +150,58 @@ def test_abstraction_takes_the_well_first(spark):
     df = spark.createDataFrame([(5.0, [1.0, 2.0, 1.5, 4.0], 2), (99.0, [1.0, 2.0, 1.5, 4.0], 1), (0.0, [1.0], 0)], "a double, v array<double>, w int")
     got = [r.x for r in df.select(wateruse.abstract_layers(F.col("a"), F.col("v"), F.col("w")).alias("x")).collect()]
     assert got == [[1.0, 2.0, 1.5, 0.5], [1.0, 2.0, 1.5, 4.0], [0.0]]
+
+
+def test_nearest_value_against_numpy(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from rillflow.operators import joins
+
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(size=4000).round(2), np.full(3000, 0.5), np.nan]
+    y = np.r_[rng.normal(size=1500).round(2), np.full(500, 7.0)]
+    left = spark.createDataFrame(pd.DataFrame({"g": np.arange(len(x)) % 3, "a": np.arange(len(x)), "x": x})).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    right = spark.createDataFrame(pd.DataFrame({"g": np.arange(len(y)) % 2, "b": np.arange(len(y)), "y": y}))
+    for keys in ((), ("g",)):
+        got = {r.a: (r.b, r.distance) for r in joins.nearest_value(left, right, "a", "b", "x", "y", keys).collect()}
+        assert len(got) == len(x)
+        for a, v in enumerate(x):
+            own = np.flatnonzero(np.arange(len(y)) % 2 == a % 3) if keys else np.arange(len(y))
+            if np.isnan(v) or not len(own):
+                assert got[a] == (None, None)
+            else:
+                d = np.abs(y[own] - v)
+                assert got[a] == (own[d == d.min()].min(), pytest.approx(d.min()))
+
+
+def test_near_pairs_at_poles_and_the_date_line(spark):
+    import itertools
+
+    from rillflow.operators import joins
+
+    rng = np.random.default_rng(4)
+    rows = [(i, 0, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.choice([-89.9, 89.8, 0.0, 45.0], 120) + rng.normal(0, 0.3, 120).clip(-0.1, 0.1), rng.choice([-179.9, 179.9, 0.0, 30.0], 120) + rng.normal(0, 0.3, 120).clip(-0.1, 0.1), strict=True))]
+    units = spark.createDataFrame(rows, "u long, g int, lat double, lon double")
+    got = {(r.a, r.b): r.km for r in joins.near_pairs(units, "u", "lat", "lon", ["g"], 25.0).collect()}
+    xyz = [(np.cos(np.radians(a)) * np.cos(np.radians(o)), np.cos(np.radians(a)) * np.sin(np.radians(o)), np.sin(np.radians(a))) for *_, a, o in rows]
+    km = {(i, j): 2 * 6371 * np.arcsin(min(1, np.linalg.norm(np.subtract(xyz[i], xyz[j])) / 2)) for i, j in itertools.combinations(range(120), 2)}
+    assert got.keys() == {k for k, d in km.items() if d <= 25.0} and len(got) > 50
+    assert all(got[k] == pytest.approx(km[k], abs=1e-5) for k in got)
+
+
+def test_terminals_of_long_ways_and_hot_ends(spark):
+    from rillflow.operators import graph
+
+    rng = np.random.default_rng(5)
+    down = {0: None, 1: None, 2: 99_999}
+    for i in range(3, 700):
+        down[i] = i - 1 if i < 300 else int(rng.integers(0, i))
+    want = {}
+    for i in down:
+        at, n = i, 0
+        while down.get(at) is not None:
+            at, n = down[at], n + 1
+        want[i] = (at, float(n))
+    nodes = spark.createDataFrame(list(down.items()), "n long, d long")
+    assert {r.n: (r.terminal, r.length) for r in graph.terminals(nodes, "n", "d").collect()} == want
