@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 
 from . import common
 
+#: Words whose ids a task keeps at hand.
+KNOWN = 1_000_000
 #: Characters beyond which the matches of one text aren't held as a list of strings.
 LONG_TEXT = 1 << 21
 
@@ -129,7 +131,8 @@ def _words(batches):
 
 
 def _encode_words(batches, path: str, pattern: str):
-    """Step 2 on one task: every distinct word of its shards is encoded once."""
+    """Step 2 on one task: every distinct word of its shards is encoded once (again if the task
+    has met KNOWN others since, so that its memory has a bound)."""
     one = _encoder(path, pattern)._core_bpe.encode_single_piece
     known: dict[bytes, list[int]] = {}
     pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
@@ -143,6 +146,8 @@ def _encode_words(batches, path: str, pattern: str):
                 start = end
                 ids = known.get(word)
                 if ids is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
                     ids = known[word] = one(word)
                 found.append(ids)
             n = np.fromiter(map(len, found), np.uint64, len(found))
@@ -182,12 +187,12 @@ def _reassemble(left: pa.Table, right: pa.Table, id_name: str) -> pa.Table:
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """Id and ids of each document; ids as little-endian unsigned 32-bit integers."""
-    spark = docs.sparkSession
-    shards = common.shuffle_partitions(spark)
     kind = docs.schema[id_col].dataType
     schema = T.StructType().add("chunk", "long").add("shard", "integer").add("ids", T.ArrayType(kind)).add("a", "binary").add("b", "binary").add("c", "binary")
     slim = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
-    packed = common.stable(slim).mapInArrow(lambda it: _chunks(it, pattern, shards, chunk_bytes), schema).repartition(shards, "chunk")
+    slim = common.stable(slim)
+    shards = common.partitions_for(slim)
+    packed = slim.mapInArrow(lambda it: _chunks(it, pattern, shards, chunk_bytes), schema).repartition(shards, "chunk")
     words = packed.mapInArrow(_words, "chunk long, shard int, a binary, b binary")
     coded = words.repartition(shards, "shard").mapInArrow(lambda it: _encode_words(it, ranks_path, pattern), "chunk long, shard int, n binary, flat binary")
     out = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.BinaryType())])
@@ -195,7 +200,11 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """All columns, and the decoded bytes.  An id outside the vocabulary raises."""
+    """All columns, and the decoded bytes (in place of a column of that name).  An id outside the
+    vocabulary raises."""
+    if ids_col == out_col:
+        raise ValueError("the decoded bytes need a name of their own")
+    encoded = encoded.drop(out_col)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())])
 
     def decode(batches):

@@ -113,6 +113,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, each: int = 32 << 20) -> int:
+    """Shuffle partitions for work on all of df: the session's number, and no fewer than one for
+    so many bytes of its files, by the planner's size of its columns."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # tables without files have a default far above
+    return max(shuffle_partitions(df.sparkSession), size // each + 1 if known else 0)
+
+
 def text_of(docs: DataFrame, text_col: str) -> Column:
     """The text as a string, null as the empty string."""
     bound_batches(docs.sparkSession)

@@ -8,7 +8,9 @@ baseline files too, then without a payload.
 
 Cases: a null text counts as empty and has a payload of 64 zero bytes; equal texts have
 equal files; repeated rows and null ids are kept, one result for each input row; other
-columns are ignored, whatever their names; an empty table gives an empty table; media that
+columns are ignored by ``store_media``, whatever their names, and kept by ``read_media`` but for
+those named like its results; a worker holds some twenty times a text's bytes at a time, one
+text if it is longer than BYTES; an empty table gives an empty table; media that
 is null has null results; a file that isn't a whole JPEG raises.
 """
 
@@ -58,10 +60,12 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", data_col: str = "text")
 
 def read_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
     """All columns, and height, width, rgb (height x width x 3 bytes), means of the three
-    channels and the payload."""
+    channels and the payload, in place of columns that have these names."""
     new = T.StructType().add("height", "integer").add("width", "integer").add("rgb", "binary").add("means", T.ArrayType(T.DoubleType())).add("payload", "binary")
     types = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.float64()), pa.binary()]
 
+    kept = [f for f in stored.schema.fields if f.name not in new.names]
+
     def run(batches):
         for b in common.slices(batches, ROWS, 2 * BYTES):
             files = b.column(b.schema.get_field_index(media_col)).to_pylist()
@@ -71,9 +75,9 @@ def read_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
             for i, im in zip(at, images, strict=True):
                 t = jpeg.rgb(im, coefs)
                 rows[i] = (im.height, im.width, t.tobytes(), [float(x) for x in np.round(t.mean((0, 1), np.float64), 6)], payload_of(im, coefs))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], [*b.schema.names, *new.names])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], [*(f.name for f in kept), *new.names])
 
-    return stored.mapInArrow(run, T.StructType([*stored.schema.fields, *new.fields]))
+    return stored.mapInArrow(run, T.StructType([*kept, *new.fields]))
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,7 +177,7 @@ def _probe(batches, shards: int, block: int):
             h = c.window(block)[ok]
             place = (np.arange(len(c.hashes)) - np.repeat(c.ends - c.counts, c.counts))[ok]
             flags = (place % block == 0).astype(np.uint8)
-            shard = ((h & np.uint64(0xFFFF)) % np.uint64(shards)).astype(np.int32)
+            shard = (h % np.uint64(shards)).astype(np.int32)
             sent = _send(row["chunk"], shards, shard, h >> np.uint64(16), np.zeros(len(h), np.uint8), flags)
             if sent:
                 yield sent
@@ -260,7 +260,7 @@ def _extend(left: pa.Table, right: pa.Table, shards: int, block: int, window: in
     at = at[seen[np.minimum(at + window - block + 1, n)] > seen[at]]
     h, extra = _full_hashes(c, window)
     h, extra = h[at], extra[at]
-    shard = ((h & np.uint64(0xFFFF)) % np.uint64(shards)).astype(np.int32)
+    shard = (h % np.uint64(shards)).astype(np.int32)
     sent = _send(row["chunk"], shards, shard, h, extra, np.zeros(len(h), np.uint8))
     return pa.Table.from_batches([sent]) if sent else empty
 
@@ -301,11 +301,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if window < 2:
         raise ValueError("a window has two words at least")
     block = (window + 1) // 2
-    n = common.shuffle_partitions(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     slim = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).cast("binary").alias("text"))
     packed = T.StructType().add("chunk", "long").add("ids", T.ArrayType(kind)).add("texts", "binary").add("lens", "binary")
-    chunks = common.stable(slim).mapInArrow(lambda it: _pack(it, chunk_bytes), packed).repartition(n, "chunk")
+    slim = common.stable(slim)
+    n = common.partitions_for(slim)
+    chunks = slim.mapInArrow(lambda it: _pack(it, chunk_bytes), packed).repartition(n, "chunk")
     by_shard = lambda sent, anchored: sent.groupBy("shard").applyInArrow(lambda t: _answer(t, anchored), ANSWER)
     hits = by_shard(chunks.mapInArrow(lambda it: _probe(it, 2 * n, block), SENT), True)
     full = chunks.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda a, b: _extend(a, b, 2 * n, block, window), SENT)

@@ -151,7 +151,7 @@ def token_counts(docs: DataFrame, vocabulary: str, cache_path: str, id_col: str
     version = tokenizer_digest(vocabulary)
     slim = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
     keyed = slim.withColumn("content_digest", F.unhex(F.sha2("text", 256)))
-    n = common.shuffle_partitions(spark)
+    n = common.partitions_for(slim)
     texts = keyed.select("content_digest", "text")
     once = texts.mapInArrow(_first_of_task, texts.schema).repartition(n, "content_digest")
     misses = once.join(read_cache(spark, cache_path, version).hint("shuffle_hash"), "content_digest", "left_anti")

@@ -36,6 +36,13 @@ def test_tables_and_plans(spark):
     assert common.spread(spark.range(100).repartition(64).select(F.col("id"))).count() == 100
 
 
+def test_partitions_follow_the_size_of_files(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    few, many = common.partitions_for(docs), common.partitions_for(docs, 1 << 12)
+    assert few == common.shuffle_partitions(spark) < many < 1000
+    assert common.partitions_for(spark.createDataFrame([(1,)], "x long").rdd.toDF()) == few
+
+
 def test_largest_and_sampled(spark):
     rows = [(f"w{i:04}", 1 + (i * 7919) % 97) for i in range(3000)] + [("a", 10**12), ("b", 2)]
     df = spark.createDataFrame(rows, "word string, n long").repartition(5)
