@@ -144,9 +144,10 @@ def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
     return cache.where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
 
 
-def token_counts(docs: DataFrame, vocabulary: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", hot: int = 1_000, hot_rows: int = 100) -> DataFrame:
     """(id, n_bytes, n_tokens) of each row; encodes the distinct misses and appends them to
-    the cache before it returns."""
+    the cache before it returns.  A digest of more than ``hot_rows`` rows, and more than a
+    ``hot``-th of all, is joined by broadcast: there are fewer than ``hot``."""
     spark = docs.sparkSession
     version = tokenizer_digest(vocabulary)
     slim = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
@@ -158,7 +159,15 @@ def token_counts(docs: DataFrame, vocabulary: str, cache_path: str, id_col: str
     misses.mapInArrow(lambda it: _count(it, vocabulary, version), CACHE).write.mode("append").parquet(cache_path)
     cached = read_cache(spark, cache_path, version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     sized = keyed.select("id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sized.join(cached, "content_digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    # digests of many rows, at most ``hot`` of them, go to the rows; the others' rows go to the digests
+    least = max(hot_rows, keyed.count() // hot)
+    often = keyed.groupBy("content_digest").agg(F.count("*").alias("__rf_n")).where(F.col("__rf_n") > least).select("content_digest")
+    known = cached.join(F.broadcast(often), "content_digest", "left_semi").withColumnRenamed("n_tokens", "__rf_hot")
+    marked = sized.join(F.broadcast(known), "content_digest", "left")
+    alone = F.encode(F.monotonically_increasing_id().cast("string"), "UTF-8")  # too short for a digest, and nowhere gathered
+    marked = marked.withColumn("content_digest", F.when(F.col("__rf_hot").isNull(), F.col("content_digest")).otherwise(alone))
+    counted = marked.join(cached, "content_digest", "left")
+    return counted.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("__rf_hot", "n_tokens").alias("n_tokens"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

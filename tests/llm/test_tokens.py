@@ -68,5 +68,12 @@ def test_query(spark):
     assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in got} == {d: (len(texts[d].encode()), n, n > 2048) for d, n in want.items()} and len(got) == len(texts)
 
 
+def test_a_digest_of_a_third_of_all_rows(spark, tmp_path):
+    rows = [(i if i % 5 else None, ("one text" if i % 3 == 0 else None if i % 3 == 1 else f"text {i}"), "en", "a", 0) for i in range(900)]
+    got = tokens.token_counts(frame(spark, rows), VOCABULARY, str(tmp_path / "c"), hot_rows=20)
+    want = sorted((str(r[0]), len((r[1] or "").encode()), n) for r, n in zip(rows, library([r[1] or "" for r in rows]), strict=True))
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got.collect()) == want
+
+
 def test_empty_table(spark, tmp_path):
     assert tokens.token_counts(spark.createDataFrame([], SCHEMA), VOCABULARY, str(tmp_path / "c")).count() == 0
