@@ -77,6 +77,19 @@ def test_large_groups_are_tiled(spark):
     assert parts(lambda f: roots.get(sign(f), sign(f))) == parts(lambda f: want[f])
 
 
+def test_hubs(spark):
+    rng = np.random.default_rng(5)
+    star = [(500, int(x)) for x in range(1, 900) if x != 500]  # a hub among others' ids
+    twin = [(5000 + i, 9000) for i in range(300)] + [(9000, 9001), (9001, 4000)]  # a hub above all
+    chain = [(2000 + i, 2001 + i) for i in range(40)]
+    edges = star + twin + chain + [(7, 7)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame([(int(u), int(v)) for u, v in edges], "u long, v long")
+    got = {r.u: r.root for r in components.components(df.repartition(5)).collect()}
+    want = {x: 1 for x in range(2, 900)} | {2001 + i: 2000 for i in range(40)} | {x: 4000 for x in (*range(5000, 5300), 9000, 9001)}
+    assert got == want
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 1 << 16, 500).astype(np.uint64)
