@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with queries() and, where SQL can express them, oracle_sql().
-MODULES = ("media", "simhash", "secrets", "quality", "warc", "toxicity", "tokens", "bpe", "substring", "mixing", "vectors", "turns")
+MODULES = ("media", "simhash", "secrets", "quality", "warc", "toxicity", "tokens", "bpe", "substring", "mixing", "sketches", "vectors", "turns")
 
 
 def queries() -> dict:
