@@ -8,7 +8,8 @@ a cell holds how many keys it has, their exclusive or, and that of their check h
 two versions are subtracted cell by cell; keys of both vanish.  Peeling takes cells of one key, whose
 check hash agrees, removes these keys from their other cells, and goes on until all cells are empty:
 the keys found are the digests of the paragraphs in which the versions differ.  If cells remain
-none of which is of one key, both texts are sketched at four times the size and tried again.
+none of which is of one key, both texts are sketched larger and tried again: first at a size that has
+room for all their keys, then at four times that, and so on.
 
 Cells are kept as arrays of the cells in use, in order, so that a sketch of a short text is short
 at any size and a round of peeling costs what is left.
@@ -34,13 +35,13 @@ from . import common
 
 #: Characters from which on a line is cut at ends of sentences.
 LONG_LINE = 160
-#: Cells of each of the three tables of the first sketch, and how often it may be tried again, each
-#: time at GROWTH times the size.
-CELLS, TRIES, GROWTH = 8, 16, 4
+#: Cells of each of the three tables of the first sketch; of the second for each key of both texts;
+#: how often larger ones are tried, each time at GROWTH times the size.
+CELLS, ROOM, TRIES, GROWTH = 16, 8, 16, 4
 #: Rounds of peeling in which a sketch that can be peeled is empty, with room to spare.
 ROUNDS = 48
 
-CELL = "struct<cell:int,n:int,keys:bigint,checks:bigint>"
+CELL = "struct<cell:bigint,n:int,keys:bigint,checks:bigint>"
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -57,9 +58,8 @@ def digests(text: Column) -> Column:
     """The distinct keys of a text's paragraphs."""
 
     def runs(hashes: Column) -> Column:
-        n = F.size(hashes)
-        starts = F.filter(F.transform(hashes, lambda h, i: F.when((i == 0) | (h != F.get(hashes, i - 1)), i)), lambda i: i.isNotNull())
-        return let(starts, lambda at: F.transform(at, lambda i, j: F.xxhash64(F.get(hashes, i), F.coalesce(F.get(at, j + 1), n) - i)))
+        several = lambda at: F.transform(at, lambda i, j: F.xxhash64(F.get(hashes, i), F.coalesce(F.get(at, j + 1), F.size(hashes)) - i))
+        return let(changes(hashes, lambda x, y: x != y), several)
 
     return F.array_distinct(let(F.sort_array(F.transform(paragraphs(text), lambda p: F.xxhash64(p))), runs))
 
@@ -69,17 +69,45 @@ def check(key: Column) -> Column:
 
 
 def cell(n: Column, at: Column, keys: Column, checks: Column) -> Column:
-    return F.struct(at.cast("int").alias("cell"), n.cast("int").alias("n"), keys.alias("keys"), checks.alias("checks"))
+    return F.struct(at.cast("long").alias("cell"), n.cast("int").alias("n"), keys.alias("keys"), checks.alias("checks"))
 
 
-def entries(keys: Column, size: Column, sign: Column | None = None) -> Column:
-    """Three cells for each key (or, with a sign, for each (key, n)), one in each table."""
+def places(key: Column, size: Column) -> Column:
+    """The cells of a key, one in each table, from three parts of one hash."""
+    return let(F.xxhash64(key), lambda h: F.array(F.pmod(h, size), size + F.pmod(F.shiftrightunsigned(h, 20), size), size * 2 + F.pmod(F.shiftrightunsigned(h, 40), size)))
 
-    def three(k: Column) -> Column:
-        key, n = (k, F.lit(1)) if sign is None else (k["key"], sign * k["n"])
-        return let(check(key), lambda c: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda t: cell(n, t * size + F.pmod(F.xxhash64(key, t), size), key, c)))
 
-    return F.flatten(F.transform(keys, three))
+def xor(values: Column, of: Callable[[Column], Column]) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(of(x)))
+
+
+def changes(values: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """The places at which a run of equal values begins."""
+    return F.filter(F.transform(values, lambda x, i: F.when((i == 0) | by(x, F.get(values, i - 1)), i)), lambda i: i.isNotNull())
+
+
+def sketch(keys: Column, size: Column, first: Column | None = None) -> Column:
+    """The cells in use of a sketch of three tables of so many cells, in order.  first: only so many of the
+    keys are added, the others are subtracted."""
+    size, low = size.cast("long"), F.lit(0xFFFFFFFF)
+    one = F.lit(1) if first is None else None
+    sign = lambda e: one if first is None else F.when(e < first, 1).otherwise(-1)
+    at = lambda x: x.bitwiseAND(low).cast("int")
+
+    def made(keys: Column, checks: Column, codes: Column) -> Column:
+        alone = lambda x: let(at(x), lambda e: cell(sign(e), F.shiftright(x, 32), F.get(keys, e), F.get(checks, e)))
+        several = lambda x, run: cell(F.size(run) if first is None else F.aggregate(run, F.lit(0), lambda s, y: s + sign(at(y))), F.shiftright(x, 32), xor(run, lambda y: F.get(keys, at(y))), xor(run, lambda y: F.get(checks, at(y))))
+        run_of = lambda begins, i, j: F.coalesce(F.get(begins, j + 1), F.size(codes)) - i
+        each = lambda begins: F.transform(begins, lambda i, j: let(run_of(begins, i, j), lambda n: let(F.get(codes, i), lambda x: F.when(n == 1, alone(x)).otherwise(let(F.slice(codes, i + 1, n), lambda run: several(x, run))))))
+        return let(changes(codes, lambda a, b: F.shiftright(a, 32) != F.shiftright(b, 32)), each)
+
+    coded = lambda keys: F.sort_array(F.flatten(F.transform(keys, lambda k, i: F.transform(places(k, size), lambda p: F.shiftleft(p, 32).bitwiseOR(i.cast("long"))))))
+    cells = let(keys, lambda k: let(F.transform(k, check), lambda checks: let(coded(k), lambda codes: made(k, checks, codes))))
+    return cells if first is None else F.filter(cells, used)
+
+
+def used(x: Column) -> Column:
+    return (x["n"] != 0) | (x["keys"] != 0) | (x["checks"] != 0)
 
 
 def folded(cells: Column) -> Column:
@@ -87,19 +115,13 @@ def folded(cells: Column) -> Column:
     none = cell(F.lit(0), F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
     def runs(c: Column) -> Column:
-        starts = F.filter(F.transform(c, lambda x, i: F.when((i == 0) | (x["cell"] != F.get(c, i - 1)["cell"]), i)), lambda i: i.isNotNull())
         add = lambda a, b: cell(a["n"] + b["n"], b["cell"], a["keys"].bitwiseXOR(b["keys"]), a["checks"].bitwiseXOR(b["checks"]))
         total = lambda at: F.transform(at, lambda i, j: F.aggregate(F.slice(c, i + 1, F.coalesce(F.get(at, j + 1), F.size(c)) - i), none, add))
-        return F.filter(let(starts, total), lambda x: (x["n"] != 0) | (x["keys"] != 0) | (x["checks"] != 0))
+        return F.filter(let(changes(c, lambda a, b: a["cell"] != b["cell"]), total), used)
 
     return let(F.sort_array(cells), runs)
 
 
-def sketch(keys: Column, size: Column) -> Column:
-    """The cells in use of a sketch of three tables of so many cells."""
-    return folded(entries(keys, size))
-
-
 def subtract(a: Column, b: Column) -> Column:
     return folded(F.concat(a, F.transform(b, lambda x: cell(-x["n"], x["cell"], x["keys"], x["checks"]))))
 
@@ -110,14 +132,19 @@ def peel(cells: Column, size: Column) -> Column:
     nothing = F.array().cast("array<struct<key:bigint,n:int>>")
     state = F.struct(cells.cast(f"array<{CELL}>").alias("cells"), nothing.alias("found"), F.lit(False).alias("stuck"))
 
+    def all_found(cells: Column, p: Column) -> Column:
+        """Whether the keys found are all that the first table holds, by number, keys and checks."""
+        table = F.filter(cells, lambda x: x["cell"] < size)
+        total = lambda v, f: F.aggregate(v, F.lit(0), lambda t, x: t + f(x))
+        return let(table, lambda t: (total(t, lambda x: x["n"]) == total(p, lambda x: x["n"])) & (xor(t, lambda x: x["keys"]) == xor(p, lambda x: x["key"])) & (xor(t, lambda x: x["checks"]) == xor(p, lambda x: check(x["key"]))))
+
     def round_(s: Column, _: Column) -> Column:
         alone = F.filter(s["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["checks"] == check(x["keys"])))
-        pure = F.array_distinct(F.transform(alone, lambda x: F.struct(x["keys"].alias("key"), x["n"].alias("n"))))
-        step = lambda p: F.struct(
-            F.when(F.size(p) == 0, s["cells"]).otherwise(folded(F.concat(s["cells"], entries(p, size, F.lit(-1))))).alias("cells"),
-            F.concat(s["found"], p).alias("found"),
-            (F.size(p) == 0).alias("stuck"),
-        )
+        of = lambda v, n: F.transform(F.array_distinct(F.transform(F.filter(v, lambda x: x["n"] == n), lambda x: x["keys"])), lambda k: F.struct(k.alias("key"), F.lit(n).alias("n")))
+        pure = let(alone, lambda v: F.concat(of(v, 1), of(v, -1)))
+        taken = lambda p: F.flatten(F.transform(p, lambda x: let(check(x["key"]), lambda ch: F.transform(places(x["key"], size.cast("long")), lambda at: cell(-x["n"], at, x["key"], ch)))))
+        rest = lambda p: F.when(F.size(p) == 0, s["cells"]).when(all_found(s["cells"], p), F.array().cast(f"array<{CELL}>")).otherwise(folded(F.concat(s["cells"], taken(p))))
+        step = lambda p: F.struct(rest(p).alias("cells"), F.concat(s["found"], p).alias("found"), (F.size(p) == 0).alias("stuck"))
         return F.when(s["stuck"] | (F.size(s["cells"]) == 0), s).otherwise(let(pure, step))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, round_)
@@ -127,14 +154,13 @@ def difference(a: Column, b: Column, first: Column | None = None) -> Column:
     """(found, size) of two arrays of keys: the keys in which they differ, as ``peel`` has them, by
     the smallest sketches that can be peeled.  first: what subtracting the smallest has given."""
     nothing = F.array().cast("array<struct<key:bigint,n:int>>")
-    state = F.struct(F.lit(CELLS).alias("size"), nothing.alias("found"), F.lit(False).alias("done"))
+    state = F.struct(F.lit(CELLS).cast("long").alias("size"), nothing.alias("found"), F.lit(False).alias("done"))
+    larger = lambda i, size: F.when(i == 0, F.greatest(F.lit(CELLS * GROWTH), ROOM * (F.size(a) + F.size(b))).cast("long")).otherwise(size * GROWTH)
 
     def attempt(s: Column, i: Column) -> Column:
-        cells = lambda: subtract(sketch(a, s["size"]), sketch(b, s["size"]))
-        cells = cells() if first is None else F.when(i == 0, first).otherwise(cells())
-        told = lambda p: F.struct(
-            F.when(F.size(p["cells"]) == 0, s["size"]).otherwise(s["size"] * GROWTH).alias("size"), F.when(F.size(p["cells"]) == 0, p["found"]).otherwise(nothing).alias("found"), (F.size(p["cells"]) == 0).alias("done")
-        )
+        made = sketch(F.concat(a, b), s["size"], F.size(a))  # the first version's sketch less the second's
+        cells = made if first is None else F.when(i == 0, first).otherwise(made)
+        told = lambda p: F.struct(F.when(F.size(p["cells"]) == 0, s["size"]).otherwise(larger(i, s["size"])).alias("size"), F.when(F.size(p["cells"]) == 0, p["found"]).otherwise(nothing).alias("found"), (F.size(p["cells"]) == 0).alias("done"))
         return F.when(s["done"], s).otherwise(let(peel(cells, s["size"]), told))
 
     out = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), state, attempt)
@@ -187,10 +213,10 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     document) and the next document, compared by their sketches: (id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, edited_found, next_found); found: digests by which
     they differ, n 1 where the text has it and -1 where the other does."""
-    rows = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    rows = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text")).withColumn("digest", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")))  # never null: no filter computes it again
     order = successors(rows.groupBy("id", "digest").agg(F.count("*").alias("n"), F.max(F.char_length("text")).cast("long").alias("n_chars")))
     # one column that is never null tells rows apart: its joins keep the partitioning of the texts
-    row = lambda i, d: F.concat(d, F.encode(F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")), "UTF-8"))
+    row = lambda i, d: F.concat(d, F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")).cast("binary"))
     texts = rows.select(row(F.col("id"), F.col("digest")).alias("row"), "text").dropDuplicates(["row"])
     order = order.select(row(F.col("id"), F.col("digest")).alias("row"), "id", "n", "n_chars", row(F.col("prev_id"), F.col("prev_digest")).alias("prev"), "prev_chars")
     own = texts.join(order, "row")

@@ -34,8 +34,9 @@ def fingerprint(keys):
     cells = {}
     for k in keys:
         check = xx(long(k), xx(b"check"))
-        for t in range(3):
-            at = t * sketches.CELLS + signed(xx(whole(t), xx(long(k)))) % sketches.CELLS
+        h = xx(long(k))
+        for t, part in enumerate((signed(h), h >> 20, h >> 40)):
+            at = t * sketches.CELLS + part % sketches.CELLS
             n, a, b = cells.get(at, (0, 0, 0))
             cells[at] = n + 1, a ^ (k % 2**64), b ^ check
     return "".join(f"{at:02x}{n:08x}{a:016x}{b:016x}" for at, (n, a, b) in sorted(cells.items()))
