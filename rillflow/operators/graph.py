@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Eight neighbours of a pixel as (row step, column step), by direction code of powers of two.
@@ -14,18 +14,32 @@ D8 = {1: (0, 1), 2: (1, 1), 4: (1, 0), 8: (1, -1), 16: (0, -1), 32: (-1, -1), 64
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the session names for checkpoints; only a
-    local session without one gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; only a local session without one gets a
+    folder of its own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rillflow-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder.  For loops of many rounds: a checkpoint hands on sizes and
+    constraints as the optimizer has inferred them, which grow with each round; a table has its own."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def neighbours(pixels: DataFrame, keys: Sequence[str], cols: Sequence[str], steps: Sequence[tuple[int, int]] = FOUR, i: str = "i", j: str = "j", legacy_edges: bool = False) -> DataFrame:
     """Ordered pairs of neighbouring pixels: columns a_* and b_*.
 
