@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import banding, clustering, column, flow, graph, impute, joins, routing, sequence, wateruse, zonal
+from ..operators import banding, clustering, column, flow, graph, impute, joins, rects, rivers, routing, sequence, wateruse, zonal
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -542,6 +542,50 @@ def channel_heads(spark, sf_dir):
     return graph.channel_properties(ch, "len").select("r", "starts", r6(c("bankfull"), "bankfull", 8), r6(c("channel_width"), "channel_width", 8))
 
 
+def river(spark, sf_dir) -> DataFrame:
+    """Customers as a long river: each drains to one of the eleven keys before it."""
+    return table(spark, sf_dir, "customer").select(c("c_custkey").alias("r"), F.expr("CASE WHEN c_custkey > 1 THEN greatest(1, c_custkey - 1 - c_custkey * c_custkey * 13 % 37 % 11) END").alias("down"), (money("c_acctbal") + 1000).cast("decimal(18,2)").alias("len"), c("c_nationkey").alias("n"))
+
+
+RIVER_SQL = "(SELECT c_custkey AS r, CASE WHEN c_custkey > 1 THEN greatest(1, c_custkey - 1 - c_custkey * c_custkey * 13 % 37 % 11) END AS down, (c_acctbal + 1000)::DECIMAL(18,2) AS len, c_nationkey AS n FROM customer)"
+
+
+@query(f"""
+WITH RECURSIVE t AS MATERIALIZED {RIVER_SQL}, u AS MATERIALIZED (SELECT down AS r, count(*) AS k FROM t WHERE down IS NOT NULL GROUP BY 1),
+m AS (SELECT t.r AS reach, t.r, 0 AS position FROM t LEFT JOIN u USING (r) WHERE coalesce(k, 0) <> 1 UNION ALL SELECT m.reach, t.down, m.position + 1 FROM m JOIN t ON t.r = m.r JOIN u ON u.r = t.down WHERE k = 1),
+x AS MATERIALIZED (SELECT reach, arg_max(t.r, position) AS last, arg_max(coalesce(down, -1), position) AS down_reach, count(*) AS n, sum(len)::DOUBLE AS length FROM m JOIN t USING (r) GROUP BY 1),
+d AS (SELECT reach, 0 AS level FROM x WHERE down_reach = -1 UNION ALL SELECT x.reach, d.level + 1 FROM d JOIN x ON x.down_reach = d.reach),
+l AS MATERIALIZED (SELECT x.*, level FROM x JOIN d USING (reach)),
+s AS (SELECT reach, level, 1 AS strahler FROM l WHERE level = (SELECT max(level) FROM l)
+  UNION ALL SELECT reach, level, CASE WHEN o IS NULL THEN 1 WHEN len(o) > 1 AND o[1] = o[2] THEN o[1] + 1 ELSE o[1] END FROM (
+    SELECT l.reach, l.level, list_reverse_sort(list(w.strahler) FILTER (w.strahler IS NOT NULL)) AS o FROM l JOIN (SELECT min(level) AS at FROM s) z ON l.level = z.at - 1
+    LEFT JOIN (SELECT s.strahler, l.down_reach FROM s JOIN l USING (reach)) w ON w.down_reach = l.reach GROUP BY 1, 2))
+SELECT l.reach, last, n, length, nullif(down_reach, -1) AS down_reach, strahler FROM l JOIN s USING (reach)""")
+def reach_topology(spark, sf_dir):
+    found = rivers.reach_topology(river(spark, sf_dir), "r", "down", "len")
+    return found.select("reach", "last", "n", c("length").cast("double").alias("length"), "down_reach", "strahler")
+
+
+@query(f"""
+WITH RECURSIVE t AS MATERIALIZED {RIVER_SQL},
+u AS (SELECT r AS root, r, 0::BIGINT AS reaches, 0::DECIMAL(18,2) AS length FROM t WHERE r % 20 = 1
+  UNION ALL SELECT u.root, t.r, u.reaches + 1, (u.length + t.len)::DECIMAL(18,2) FROM u JOIN t ON t.down = u.r WHERE u.reaches = 0 OR NOT (u.reaches >= 6 AND u.length >= 60000))
+SELECT root, r, reaches, length::DOUBLE AS length, reaches >= 6 AND length >= 60000 AS stopped FROM u""")
+def upstream_travel(spark, sf_dir):
+    t = river(spark, sf_dir)
+    found = rivers.upstream_travel(t, "r", "down", "len", t.where("r % 20 = 1").select("r"), most_reaches=6, most_time=24.0, celerity=2500.0)
+    return found.withColumn("length", c("length").cast("double"))
+
+
+@query(f"""
+WITH RECURSIVE t AS MATERIALIZED {RIVER_SQL}, u AS (SELECT r AS root, r FROM t UNION ALL SELECT u.root, t.r FROM u JOIN t ON t.down = u.r)
+SELECT root AS r, count(*) AS n, sum(len)::DOUBLE AS area, round(sum(len * n)::DOUBLE / sum(len)::DOUBLE, 6) AS nation FROM u JOIN t USING (r) GROUP BY 1""")
+def nested_basins(spark, sf_dir):
+    t = river(spark, sf_dir)
+    found = rivers.nested_sums(t, "r", "down", {"area": c("len"), "weighted": c("len") * c("n")})
+    return found.select("r", "n", c("area").cast("double").alias("area"), r6(c("weighted").cast("double") / c("area").cast("double"), "nation"))
+
+
 @query(f"WITH t AS {TREE_SQL} SELECT t.r, coalesce(sum(u.len::DECIMAL(18,2)), 0)::DOUBLE AS q_in FROM t LEFT JOIN t u ON u.down = t.r GROUP BY 1")
 def reach_inflow(spark, sf_dir):
     t = tree(spark, sf_dir).withColumns({"g": F.lit(1), "q": money("len")})
@@ -731,6 +775,43 @@ def band_clusters(spark, sf_dir):
     return clustering.grouped_kmeans(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size"), ["p_brand"], ["p_retailprice", "p_size"], 3).select("p_partkey", "p_brand", "cluster")
 
 
+def lloyd_sql(k: int, rounds: int) -> str:
+    """Clusters of parts within their types, each centre and round a table."""
+    near = "(p.x - m{n}.x) * (p.x - m{n}.x) + (p.y - m{n}.y) * (p.y - m{n}.y)"
+    steps = ["s0 AS (SELECT p_type, 0 AS i, min([x, y])[1] AS x, min([x, y])[2] AS y FROM p GROUP BY 1)"]
+    for n in range(1, k):
+        steps.append(f"""f{n} AS (SELECT p_type, max({{'d': d, 'v': [x, y]}}) AS f FROM (SELECT p.p_type, p.x, p.y, min((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS d FROM p JOIN s{n - 1} s USING (p_type) GROUP BY 1, 2, 3) GROUP BY 1),
+s{n} AS MATERIALIZED (SELECT * FROM s{n - 1} UNION ALL SELECT p_type, {n}, f['v'][1], f['v'][2] FROM f{n} WHERE f['d'] > 0)""")
+    steps.append(f"m0 AS (SELECT * FROM s{k - 1})")
+    at = "a{n} AS MATERIALIZED (SELECT p.p_partkey, p.p_type, p.x, p.y, arg_min(i, {{'d': " + near + ", 'i': i}}) AS i FROM p JOIN m{n} USING (p_type) GROUP BY ALL)"
+    for n in range(rounds):
+        steps.append(at.format(n=n) + f", m{n + 1} AS MATERIALIZED (SELECT m.p_type, m.i, coalesce(g.x, m.x) AS x, coalesce(g.y, m.y) AS y FROM m{n} m LEFT JOIN (SELECT p_type, i, (sum(x) // count(*))::BIGINT AS x, (sum(y) // count(*))::BIGINT AS y FROM a{n} GROUP BY 1, 2) g USING (p_type, i))")
+    steps.append(at.format(n=rounds))
+    scaled = lambda v: f"CASE WHEN max({v}) OVER w > min({v}) OVER w THEN floor(({v}::DOUBLE - min({v}) OVER w) / (max({v}) OVER w - min({v}) OVER w) * 1048576)::BIGINT ELSE 0 END"
+    return f"""
+WITH p AS MATERIALIZED (SELECT p_partkey, p_type, {scaled('p_retailprice')} AS x, {scaled('p_size')} AS y FROM part WINDOW w AS (PARTITION BY p_type)),
+{", ".join(steps)}
+SELECT a.p_partkey, a.p_type, (r.k - 1)::INTEGER AS cluster FROM a{rounds} a JOIN (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY x, y, i) AS k FROM m{rounds}) r USING (p_type, i)"""
+
+
+@query(lloyd_sql(4, 6))
+def unit_clusters(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice", "p_size")
+    return clustering.lloyd(p, ["p_type"], ["p_retailprice", "p_size"], 4, rounds=6).select("p_partkey", "p_type", "cluster")
+
+
+@query("""
+WITH b AS (SELECT p_partkey AS rect, (p_partkey * 7919 % 400000)::DOUBLE AS x0, (p_partkey * 31 % 2600)::DOUBLE AS y0, pow(10.0, (p_partkey % 7 - 1)::DOUBLE) AS w, pow(2.0, (p_size % 11 - 1)::DOUBLE) AS h FROM part),
+o AS (SELECT o_totalprice AS x, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS y FROM orders)
+SELECT rect, count(*) AS n, sum(x::DECIMAL(18,2))::DOUBLE AS total, max(y) AS latest FROM o JOIN b ON x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h GROUP BY 1""")
+def rect_join(spark, sf_dir):
+    b = table(spark, sf_dir, "part").selectExpr("p_partkey AS rect", "cast(p_partkey * 7919 % 400000 AS double) AS x0", "cast(p_partkey * 31 % 2600 AS double) AS y0", "power(10.0D, p_partkey % 7 - 1) AS w", "power(2.0D, p_size % 11 - 1) AS h")
+    b = b.selectExpr("rect", "x0", "x0 + w AS x1", "y0", "y0 + h AS y1")
+    o = table(spark, sf_dir, "orders").select(c("o_totalprice").alias("x"), F.date_diff(c("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double").alias("y"))
+    met = rects.rect_join(o, b, "x", "y")
+    return met.groupBy("rect").agg(F.count("*").alias("n"), F.sum(money("x")).cast("double").alias("total"), F.max("y").alias("latest"))
+
+
 def reaches(spark, sf_dir) -> DataFrame:
     return tree(spark, sf_dir).selectExpr("1 AS comp", "r", "down", "500.0D + n * 20 AS length", "0.001D + n / 5000.0D AS slope", "5.0D + n / 5.0D AS width", "0.035D AS manning", "1.0D + n / 10.0D AS area", "1e-5D * (1 + n) AS q_lat", "0.0D AS boundary")
 
