@@ -171,12 +171,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """All columns, each row as often as the mix takes it.  Rows that are equal in id, source
-    and text are taken together, as one of them."""
+    and text are taken together, as the one that ``common.one_of_each`` defines."""
     tell = lambda *cs: F.sha2(F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in cs]), 256)
     mixed = mix(docs, id_col, text_col, source_col, **how).where("copies > 0")
     copies = mixed.groupBy(tell(F.col(id_col), F.col("source"), F.col("tie")).alias("__rf_key")).agg(F.sum("copies").cast("int").alias("__rf_n"))
     rows = docs.withColumn("__rf_key", tell(F.col(id_col), F.col(source_col), F.xxhash64(common.text_of(docs, text_col))))
-    rows = rows.dropDuplicates(["__rf_key"]).join(copies, "__rf_key")
+    rows = common.one_of_each(rows, "__rf_key").join(copies, "__rf_key")
     return rows.withColumn("__rf_n", F.explode(F.array_repeat(F.lit(0), F.col("__rf_n")))).select(*docs.columns)
 
 

@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """All columns of one row of each component: one with the smallest id that isn't null,
-    of several such rows one with the smallest fingerprint (signed)."""
+    of several such rows one with the smallest fingerprint (signed), of these the one that
+    ``common.one_of_each`` defines."""
     found = near_duplicates(docs, id_col, text_col, **how).withColumnRenamed(id_col, "id")
     named = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("fp").alias("fp"))
     lows = found.where(F.col("component_id").isNotNull()).groupBy("component_id").agg(F.min(named).alias("low")).select("low.id", "low.fp")
@@ -257,7 +258,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, "__rf_fp"])
 
     rows = docs.mapInArrow(run, schema).withColumn("__rf_key", key(F.col(id_col), F.col("__rf_fp")))
-    return rows.join(lows, "__rf_key", "left_semi").dropDuplicates(["__rf_key"]).select(*docs.columns)
+    return common.one_of_each(rows.join(lows, "__rf_key", "left_semi"), "__rf_key").select(*docs.columns)
 
 
 def hex64(c: Column) -> Column:

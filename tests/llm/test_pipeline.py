@@ -86,3 +86,18 @@ def test_equal_rows_are_taken_together(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 0
+
+
+def test_kept_rows_are_the_same_on_any_partitioning(spark):
+    """Rows that stages can't tell apart by id and text, or by id and fingerprint: one defined row."""
+    from rillflow.llm import mixing, simhash
+    from tests.llm.samples import SCHEMA
+
+    rows = [(7, "A b c d", "en", "s", i) for i in range(15)] + [(7, "a B c d", "de", "s", 1), (7, "a  b c d", None, "s", 2), (None, "x y z w", "en", "s", 1), (None, "X y z w", "en", "s", 2)]
+    rows += [(9, f"only {i % 3} one", "en", "t", i) for i in range(9)]
+    kept, taken = set(), set()
+    for n in (1, 3, 7):
+        df = spark.createDataFrame(rows[n:] + rows[:n], SCHEMA).repartition(n)
+        kept.add(tuple(sorted(map(tuple, simhash.keep_one(df).collect()), key=str)))
+        taken.add(tuple(sorted(map(tuple, mixing.take(df).collect()), key=str)))
+    assert len(kept) == len(taken) == 1 and next(iter(kept)) and next(iter(taken))
