@@ -775,6 +775,15 @@ def band_clusters(spark, sf_dir):
     return clustering.grouped_kmeans(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size"), ["p_brand"], ["p_retailprice", "p_size"], 3).select("p_partkey", "p_brand", "cluster")
 
 
+@query("""
+WITH u AS (SELECT c_custkey AS id, c_nationkey AS n, radians(c_custkey * 37 % 1790 / 10.0 - 89.5) AS la, radians(c_custkey * 101 % 3600 / 10.0 - 180) AS lo FROM customer),
+d AS (SELECT a.id AS a, b.id AS b, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((b.la - a.la) / 2), 2) + cos(a.la) * cos(b.la) * pow(sin((b.lo - a.lo) / 2), 2)))) AS km FROM u a JOIN u b ON a.n = b.n AND a.id < b.id)
+SELECT a, b, round(km, 4) AS km FROM d WHERE km <= 400.25""")
+def near_units(spark, sf_dir):
+    u = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_nationkey AS n", "c_custkey * 37 % 1790 / 10.0D - 89.5D AS lat", "c_custkey * 101 % 3600 / 10.0D - 180 AS lon")
+    return joins.near_pairs(u, "id", "lat", "lon", ["n"], most_km=400.25).select("a", "b", r6(c("km"), "km", 4))
+
+
 def lloyd_sql(k: int, rounds: int) -> str:
     """Clusters of parts within their types, each centre and round a table."""
     near = "(p.x - m{n}.x) * (p.x - m{n}.x) + (p.y - m{n}.y) * (p.y - m{n}.y)"

@@ -114,12 +114,36 @@ def from_hours(hours: Column, origin: str) -> Column:
     return F.timestamp_add("SECOND", (hours * 3600).cast("int"), F.lit(origin).cast("timestamp_ntz"))
 
 
-def write_outputs(df: DataFrame, path: str, by: Sequence[str], values: Sequence[str], digits: Digits | None = None, sentinel: float = RASTER_NODATA) -> None:
-    """A partitioned table of outputs in single precision, rounded, nulls as the sentinel."""
+def write_outputs(df: DataFrame, path: str, by: Sequence[str], values: Sequence[str], digits: Digits | None = None, sentinel: float = RASTER_NODATA, replace: bool = False) -> None:
+    """A partitioned table of outputs in single precision, rounded, nulls as the sentinel.  With
+    ``replace``, partitions (segments) that df has are replaced whole and others stay, so that a segment
+    written again, or by a job that was restarted, is there once."""
     for c in values:
         v = F.bround(F.col(c), digits[c]) if digits and c in digits else F.col(c)
         df = df.withColumn(c, v.cast("float"))
-    null_to_sentinel(df, list(values), sentinel).write.mode("append").partitionBy(*by).parquet(path)
+    _partitioned(null_to_sentinel(df, list(values), sentinel), path, by, replace)
+
+
+def _partitioned(df: DataFrame, path: str, by: Sequence[str], replace: bool) -> None:
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else df.write.mode("append")
+    writer.partitionBy(*by).parquet(path)
+
+
+def write_tables(tables: Mapping[str, DataFrame], path: str, by: str = "cid") -> None:
+    """A model's input: each table below its name, a folder for each catchment.  Catchments that a
+    table has are replaced whole, others stay."""
+    for name, df in tables.items():
+        _partitioned(df, f"{path}/{name}", [by], replace=True)
+
+
+def read_tables(spark: SparkSession, path: str, names: Sequence[str], cids: Sequence[int] | None = None, by: str = "cid") -> dict[str, DataFrame]:
+    """The tables again; of some catchments only their folders are read."""
+    out = {}
+    for name in names:
+        df = spark.read.parquet(f"{path}/{name}")
+        df = df.withColumn(by, F.col(by).cast("long"))
+        out[name] = df if cids is None else df.where(F.col(by).isin(*cids))
+    return out
 
 
 def read_outputs(spark: SparkSession, path: str, values: Sequence[str], sentinel: float = RASTER_NODATA) -> DataFrame:

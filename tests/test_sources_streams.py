@@ -50,6 +50,21 @@ def test_geotiff_round_trip(spark, tmp_path):
     assert np.array_equal(geotiff.parse(data)[0], np.arange(12.0).reshape(3, 4))
 
 
+def test_segments_and_model_inputs_are_replaced_whole(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2018", 1.5), (2, "2018", 2.5), (1, "2019", 3.5)], "cid long, segment string, q double")
+    at = str(tmp_path / "o")
+    tables.write_outputs(df, at, ["segment"], ["q"], replace=True)
+    for _ in range(2):
+        tables.write_outputs(df.where("segment = '2019'").withColumn("q", F.col("q") + 1), at, ["segment"], ["q"], replace=True)
+    assert sorted((r.cid, r.q) for r in tables.read_outputs(spark, at, ["q"]).collect()) == [(1, 1.5), (1, 4.5), (2, 2.5)]
+    tables.write_tables({"units": df, "edges": df.select("cid", "q")}, str(tmp_path / "in"))
+    tables.write_tables({"units": df.where("cid = 2").limit(0).unionByName(df.where("cid = 2").withColumn("q", F.lit(9.0)))}, str(tmp_path / "in"))
+    got = tables.read_tables(spark, str(tmp_path / "in"), ["units", "edges"])
+    assert sorted((r.cid, r.q) for r in got["units"].collect()) == [(1, 1.5), (1, 3.5), (2, 9.0)] and got["edges"].count() == 3
+    one = tables.read_tables(spark, str(tmp_path / "in"), ["units"], [2])["units"]
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(cid" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_outputs_and_restart(spark, tmp_path):
     df = spark.createDataFrame([(1, "2018-01-01", 1.23456), (1, "2018-01-02", None)], "cid long, date string, q double")
     tables.write_outputs(df, str(tmp_path / "o"), ["date"], ["q"], {"q": 2})
