@@ -141,3 +141,13 @@ def stage_table(df: DataFrame, keys: Sequence[str], hand: str, area: str, length
     d = d.withColumns({f"__{k}": v for k, v in sums.items()})
     d = d.withColumns({k: F.coalesce(F.sum(f"__{k}").over(up), F.lit(0.0)) for k in sums})
     return d.select(*keys, "stage", F.col("__z").alias("hand"), "width", "slope", "Ac", "Pc", "Af", "Pf")
+
+
+def year_segments(df: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each calendar year that [start, end) touches: year, segment_start, segment_end (dates);
+    an empty or unknown span has none."""
+    a, b = F.col(start).cast("date"), F.col(end).cast("date")
+    years = F.when(a < b, F.sequence(F.year(a), F.year(F.date_sub(b, 1))))
+    df = df.withColumn("year", F.explode(years))
+    first = lambda y: F.make_date(y, F.lit(1), F.lit(1))
+    return df.withColumns({"segment_start": F.greatest(a, first(F.col("year"))), "segment_end": F.least(b, first(F.col("year") + 1))})

@@ -6,13 +6,15 @@ solvers, clustering, streams), and then tests hold it against plain NumPy.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import banding, clustering, column, flow, graph, impute, joins, rects, rivers, routing, sequence, wateruse, zonal
+from ..operators import banding, clustering, column, flow, graph, impute, joins, matrix, rects, rivers, routing, sequence, wateruse, zonal
+from ..sources import raster, tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -784,6 +786,92 @@ def near_units(spark, sf_dir):
     return joins.near_pairs(u, "id", "lat", "lon", ["n"], most_km=400.25).select("a", "b", r6(c("km"), "km", 4))
 
 
+@query("""
+WITH e AS (SELECT l_suppkey AS s, l_partkey AS p, sum(l_quantity::DECIMAL(18,2)) AS w FROM lineitem GROUP BY 1, 2)
+SELECT a.s AS a, b.s AS b, count(*) AS ways, sum(a.w * b.w)::DOUBLE AS weight FROM e a JOIN e b USING (p) GROUP BY 1, 2""")
+def two_hop(spark, sf_dir):
+    """Suppliers two steps apart, over the parts that both supply."""
+    e = matrix.summed(table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("i"), c("l_partkey").alias("j"), money("l_quantity").alias("w")))
+    found = matrix.product(e, matrix.transposed(e), block=64)
+    return found.select(c("i").alias("a"), c("j").alias("b"), "ways", c("w").cast("double").alias("weight"))
+
+
+# Rasters, outputs and restarts: written to the shared folder and read again
+
+
+def folder(spark) -> str:
+    return f"{graph.shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def part_pixels(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr("1 AS cid", "cast(p_partkey div 50 AS int) AS i", "cast(p_partkey % 50 AS int) AS j", "50 - (p_partkey div 50 + 0.5D) * 0.25D AS lat", "10 + (p_partkey % 50 + 0.5D) * 0.25D AS lon", "p_retailprice AS price", "CASE WHEN p_size % 9 > 0 THEN cast(p_size AS double) END AS size")
+
+
+PIXEL_SQL = "(SELECT p_partkey // 50 AS i, p_partkey % 50 AS j, 50 - (p_partkey // 50 + 0.5) * 0.25::DOUBLE AS lat, 10 + (p_partkey % 50 + 0.5) * 0.25::DOUBLE AS lon, p_retailprice::FLOAT::DOUBLE AS price, CASE WHEN p_size % 9 > 0 THEN p_size::DOUBLE END AS size FROM part)"
+
+
+def part_rasters(spark, sf_dir, names: dict) -> tuple[DataFrame, DataFrame]:
+    """Pixels and headers of the maps, written as tiles of 16 x 16 and read by the data source."""
+    raster.register(spark)
+    at = folder(spark)
+    raster.maps(part_pixels(spark, sf_dir), names, ["cid"], 0.25, tile=16).write.format("geotiff").mode("append").save(at)
+    return spark.read.format("geotiff").load(at), spark.read.format("geotiff").option("metadata", "true").load(at)
+
+
+@query(f"SELECT 'price' AS map, lat::DOUBLE AS lat, lon::DOUBLE AS lon, price AS value FROM {PIXEL_SQL} WHERE lat BETWEEN 41 AND 48.5 AND lon < 17 UNION ALL SELECT 'size', lat, lon, size FROM {PIXEL_SQL} WHERE size IS NOT NULL AND lat BETWEEN 41 AND 48.5 AND lon < 17")
+def raster_window(spark, sf_dir):
+    px, _ = part_rasters(spark, sf_dir, {"price": c("price"), "size": c("size")})
+    return px.where(c("lat").between(41, 48.5) & (c("lon") < 17)).select(F.regexp_extract("path", "(price|size)/1/", 1).alias("map"), "lat", "lon", "value")
+
+
+@query(f"""
+SELECT (i // 16) || '_' || (j // 16) AS tile, (max(j) - min(j) + 1)::INTEGER AS nx, (max(i) - min(i) + 1)::INTEGER AS ny, (min(lon) - 0.125)::DOUBLE AS minx, (max(lon) + 0.125)::DOUBLE AS maxx, (min(lat) - 0.125)::DOUBLE AS miny, (max(lat) + 0.125)::DOUBLE AS maxy
+FROM {PIXEL_SQL} GROUP BY 1""")
+def raster_headers(spark, sf_dir):
+    _, md = part_rasters(spark, sf_dir, {"price": c("price")})
+    return md.select(F.regexp_extract("path", "([0-9]+_[0-9]+)[.]tif", 1).alias("tile"), "nx", "ny", "minx", "maxx", "miny", "maxy")
+
+
+@query(f"""
+SELECT d::DOUBLE AS depth_cm, count(*) AS n, sum((price::DECIMAL(18,1) + d * 4)::DECIMAL(18,1))::DOUBLE AS total FROM {PIXEL_SQL.replace('p_retailprice::FLOAT::DOUBLE', 'floor(p_retailprice)')}, (VALUES (2.5), (10.0)) v(d) GROUP BY 1""")
+def depth_rasters(spark, sf_dir):
+    px, _ = part_rasters(spark, sf_dir, {f"sand_latlon_{d}cm": F.floor("price") + d * 4 for d in (2.5, 10.0)})
+    return tables.with_depths(px).groupBy("depth_cm").agg(F.count("*").alias("n"), F.sum(c("value").cast("decimal(18,1)")).cast("double").alias("total"))
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y-%m') AS segment, o_orderstatus, count(*) AS n, min(o_totalprice::FLOAT::DOUBLE) AS least, count(*) FILTER (o_orderkey % 7 = 0) AS missing FROM orders GROUP BY 1, 2""")
+def output_segments(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("segment"), "o_orderstatus", c("o_totalprice").alias("q"), F.when(c("o_orderkey") % 7 != 0, c("o_totalprice")).alias("gaps"))
+    at = folder(spark)
+    tables.write_outputs(o, at, ["segment"], ["q", "gaps"], replace=True)
+    tables.write_outputs(o.where("segment >= '1995-06'"), at, ["segment"], ["q", "gaps"], replace=True)  # written again, it is there once
+    back = tables.read_outputs(spark, at, ["q", "gaps"]).withColumn("segment", F.date_format(c("segment").cast("date"), "yyyy-MM"))
+    return back.groupBy("segment", "o_orderstatus").agg(F.count("*").alias("n"), F.min("q").cast("double").alias("least"), (F.count("*") - F.count("gaps")).alias("missing"))
+
+
+@query("SELECT o_custkey AS c_custkey, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS balance, count(*) AS n FROM orders GROUP BY 1")
+def restart_segments(spark, sf_dir):
+    """Balances by segments of time, each beginning with the state that the one before has left."""
+    o, at = table(spark, sf_dir, "orders"), folder(spark)
+    cold = spark.createDataFrame([], "c_custkey long, balance decimal(28,2), n long")
+    before = None
+    for segment, when in (("a", c("o_orderdate") < "1994-01-01"), ("b", c("o_orderdate").between("1994-01-01", "1996-06-30 23:59:59.999999")), ("c", c("o_orderdate") >= "1996-07-01")):
+        state = tables.read_state(spark, at, before, cold)
+        new = o.where(when).select(c("o_custkey").alias("c_custkey"), c("o_totalprice").cast("decimal(28,2)").alias("balance"), F.lit(1).cast("long").alias("n"))
+        tables.write_state(state.unionByName(new).groupBy("c_custkey").agg(F.sum("balance").cast("decimal(28,2)").alias("balance"), F.sum("n").alias("n")), at, segment)
+        before = segment
+    return tables.read_state(spark, at, before, cold).withColumn("balance", c("balance").cast("double"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders GROUP BY 1)
+SELECT o_custkey, y::INTEGER AS year, greatest(a, make_date(y, 1, 1)) AS segment_start, least(b, make_date(y + 1, 1, 1)) AS segment_end FROM s, range(1990, 2030) r(y) WHERE a < b AND make_date(y, 1, 1) < b AND make_date(y + 1, 1, 1) > a""")
+def year_segments(spark, sf_dir):
+    s = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    return sequence.year_segments(s, "a", "b").select("o_custkey", "year", "segment_start", "segment_end")
+
+
 def lloyd_sql(k: int, rounds: int) -> str:
     """Clusters of parts within their types, each centre and round a table."""
     near = "(p.x - m{n}.x) * (p.x - m{n}.x) + (p.y - m{n}.y) * (p.y - m{n}.y)"

@@ -45,6 +45,9 @@ def register(spark: SparkSession) -> None:
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path, and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
