@@ -42,7 +42,7 @@ def prepare(pixels: DataFrame, band_height: float = 20.0, clusters: int = 2, siz
     base = px.select(c("pid").alias("terminal"), c("dem").alias("__base"))
     px = px.join(base, "terminal").withColumn("hand", F.greatest(c("dem") - c("__base"), F.lit(0.0))).drop("__base")
     px = banding.height_bands(px, ["cid"], "hand", band_height, name="band")
-    px = clustering.grouped_kmeans(px, ["cid", "band"], ["acc", "MAXSMC"], clusters)
+    px = clustering.lloyd(graph.stored(px), ["cid", "band"], ["acc", "MAXSMC"], clusters)
     from pyspark.sql import Window
 
     px = graph.settled(px.withColumn("hru", F.dense_rank().over(Window.partitionBy("cid").orderBy("band", "cluster")) - 1))
