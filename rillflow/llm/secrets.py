@@ -17,9 +17,10 @@ stretches of a repeat or walk are tried, not only whole runs; they pay for their
 its doublings, so that each doubling is one sliding minimum over the places where the stretch
 may begin: the minimum is exact and the time n log n in the length of the value.
 
-The list of words is the common words of passwords (``COMMON``), then the commonest words of
-the documents themselves, counted over all of them (``corpus_words``, at most ``words`` of
-them): a word that the corpus often has is no secret.
+The list of words is the common words of passwords (``COMMON``), then the words that many
+documents have, most documents first (``corpus_words``): a word that the corpus often has is no
+secret.  No word is learnt where a value stands, so that a secret can't be its own word, however
+often its document is copied; and a word needs ``least_docs`` documents and a share of all.
 
 A value may be the name of the next credential, or hold it: the search goes on after each
 name.  What lies in a value that is found isn't listed again.
@@ -37,6 +38,7 @@ import math
 import re
 from collections import Counter, deque
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -247,19 +249,42 @@ def ranked(words: list[str]) -> dict[str, int]:
     return {w: i + 1 for i, w in enumerate(dict.fromkeys((*COMMON, *words)))}
 
 
+#: After these, as after a sign, a value may stand.
+SCHEMES = ("bearer", "basic", "token", "digest", "negotiate")
+
+
+def learnt(tokens: pa.Array, first: np.ndarray, longest: int) -> tuple[pa.Array, np.ndarray]:
+    """Words of letters, and which of the tokens (lower case, in order) they are.  What follows a
+    sign or a scheme word, or begins with a sign, may be a value and isn't learnt; first: where a
+    document's first token is."""
+    words = pc.utf8_trim(tokens, characters=".,;:!?\"'()")
+    size = pc.utf8_length(words)
+    held = pc.and_(pc.utf8_is_alpha(words), pc.and_(pc.greater_equal(size, 4), pc.less_equal(size, longest))).to_numpy(zero_copy_only=False)
+    leads = pc.or_(pc.match_substring_regex(tokens, "[:=>][\"']?$"), pc.is_in(words, pa.array(SCHEMES))).to_numpy(zero_copy_only=False)
+    after = np.concatenate([[False], leads[:-1]]) & ~first if len(leads) else first
+    own = pc.match_substring_regex(tokens, "^[\"']?[:=]").to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(held & ~after & ~own)
+    return words.take(pa.array(at)), at
+
+
 def _word_rows(batches, longest: int):
-    """(word, n): how often words of letters stand in the texts of this task, in part sums."""
+    """(word, n): how many texts of this task have a word of letters, in part sums; the word '' is
+    in each text."""
     found: Counter = Counter()
 
     def sent():
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     for b in common.slices(batches):
-        tokens = pc.utf8_split_whitespace(pc.utf8_lower(b.column(0))).flatten().value_counts()
-        words = pc.utf8_trim(tokens.field("values"), characters=".,;:!?\"'()")
-        size = pc.utf8_length(words)
-        held = pc.and_(pc.utf8_is_alpha(words), pc.and_(pc.greater_equal(size, 4), pc.less_equal(size, longest)))
-        for w, n in zip(words.filter(held).to_pylist(), tokens.field("counts").filter(held).to_pylist(), strict=True):
+        found[""] += b.num_rows
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(b.column(0)))
+        of = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        first = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
+        words, at = learnt(lists.flatten(), first, longest)
+        coded = words.dictionary_encode()
+        kinds = max(1, len(coded.dictionary))
+        once = np.unique(of[at] * kinds + coded.indices.to_numpy())
+        for w, n in zip(coded.dictionary.to_pylist(), np.bincount(once % kinds, minlength=kinds).tolist(), strict=False):
             found[w] += n
         if len(found) > 200_000:
             yield sent()
@@ -268,11 +293,16 @@ def _word_rows(batches, longest: int):
         yield sent()
 
 
-def corpus_words(docs: DataFrame, text_col: str = "text", words: int = 20_000, longest: int = 16) -> list[str]:
-    """The commonest words of letters (4 to ``longest`` of them) of all texts, at most so many."""
+def corpus_words(docs: DataFrame, text_col: str = "text", least_docs: int = 10, share: float = 0.001, longest: int = 32) -> list[str]:
+    """The words of letters (4 to ``longest`` of them) that at least so many documents and such a
+    share of all documents have, those of most documents first.  They are no more than the mean
+    number of different words of a document, divided by the share."""
     texts = docs.select(common.text_of(docs, text_col).alias("text"))
     counts = common.spread(texts).mapInArrow(lambda it: _word_rows(it, longest), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in sorted(common.largest(counts, "n", "word", words).collect(), key=lambda r: (-r.n, r.word))]
+    counts = common.written(counts, "words")
+    total = sum(r.n for r in counts.where("word = ''").collect())
+    often = counts.where((F.col("word") != "") & (F.col("n") >= max(least_docs, math.ceil(share * total))))
+    return [r.word for r in sorted(often.collect(), key=lambda r: (-r.n, r.word))]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 12.0, words: list[str] | None = None) -> DataFrame:

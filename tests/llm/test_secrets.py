@@ -163,10 +163,89 @@ def test_query(spark):
 def test_words_of_the_corpus_are_no_secrets(spark):
     texts = ["die Donaudampfschiff fahrt"] * 3 + ["password: Donaudampfschiff", "password: Xqvjzkwtphgblm", None, "", "Wort, wort! (wort)"]
     docs = frame(spark, [(i, t, "de", "a", 1) for i, t in enumerate(texts)])
-    assert secrets.corpus_words(docs, words=2) == ["donaudampfschiff", "fahrt"] and "wort" in secrets.corpus_words(docs)
-    found = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(docs, words=secrets.corpus_words(docs, words=2)).collect()}
+    assert secrets.corpus_words(docs, least_docs=2) == ["donaudampfschiff", "fahrt", "password"] and "wort" in secrets.corpus_words(docs, least_docs=1)
+    found = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(docs, words=secrets.corpus_words(docs, least_docs=2)).collect()}
     assert found[3] == ["assign"] and found[4] == ["assign", "guess"]
 
 
+HIDING = ["login pwd: qzxvkwjpmtrh end", "the passphrase: bgwkzqvmxptd ok", "Authorization: Bearer kqzvwxjhgtpm", "pwd :vqxzkjwhbtpm and 'secret' = 'wkzqjxvhgbtm'"]
+
+
+@pytest.mark.parametrize(("others", "copies"), [(5, 1), (60, 1), (60, 40), (2000, 1500)])
+def test_a_secret_is_not_its_own_word(spark, others, copies):
+    rows = [f"some plain words of document number w{i}" for i in range(others)] + HIDING * copies
+    docs = frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(rows)])
+    found = {(r.text, tuple(r.text[s.start : s.end] for s in r.spans if s.kind == "guess")) for r in secrets.find_secrets(docs).where("size(spans) > 0").join(docs, "doc_id").collect()}
+    assert found == {(HIDING[0], ("qzxvkwjpmtrh",)), (HIDING[1], ("bgwkzqvmxptd",)), (HIDING[2], ("kqzvwxjhgtpm",)), (HIDING[3], ("vqxzkjwhbtpm", "wkzqjxvhgbtm"))}
+
+
+def plain_words(texts, least):
+    """Words by documents, told token by token."""
+    held = {}
+    for i, text in enumerate(texts):
+        before = ""
+        for token in (text or "").lower().split():
+            word = token.strip(".,;:!?\"'()")
+            value = re.search("[:=>][\"']?$", before) or before.strip(".,;:!?\"'()") in secrets.SCHEMES or re.match("[\"']?[:=]", token)
+            if not value and word.isalpha() and 4 <= len(word) <= 32:
+                held.setdefault(word, set()).add(i)
+            before = token
+    return sorted((w for w, at in held.items() if len(at) >= least), key=lambda w: (-len(held[w]), w))
+
+
+def plain_guesses(text, words):
+    """Values in a credential's context, by trying each place for a name, then each form of what follows."""
+    names = "password passwd passphrase passcode pass pwd secret token credentials credential apikey api_key api-key accesskey access_key access-key privatekey private_key private-key authkey auth_key auth-key bearer authorization".split()
+    low, at, places = "".join(c.lower() if c.isascii() else c for c in text), 0, []
+    while at < len(text):
+        login = re.match(r"://(?=[^\s:/@]+:([^\s/@]{6,})@)", text[at:])
+        step = 1
+        if login:
+            places.append((at + login.start(1), at + login.end(1), "login"))
+            step = 3
+        for name in sorted((n for n in names if low.startswith(n, at)), key=len, reverse=True):
+            rest = text[at + len(name) :]
+            signed = re.match(r"""["']?\x20*(?::|=>?)\x20*["']?""", rest)
+            forms = []
+            if signed:
+                for sign in {signed.end(), *(m.end() for m in [re.match(r"""["']?\x20*(?::|=)\x20*["']?""", rest)] if m)}:
+                    scheme = re.match(r"(?ai:bearer|basic|token|digest|negotiate)\x20+(?![:=])", rest[sign:])
+                    forms += [sign + scheme.end()] if scheme else []
+                    forms.append(sign)
+                forms.sort(key=lambda x: -x)
+            said = re.match(r"\x20+(?ai:is)\x20+[\"']?" if not low[at : at + len(name)].endswith("r") else r"(?:\x20+(?ai:is))?\x20+[\"']?", rest)
+            hit = next((f for f in forms if re.match(r"""[^\s"'<>,;]{6}""", rest[f:])), None)
+            if hit is None and said and re.match(r"""[^\s"'<>,;]{6}""", rest[said.end() :]) and re.match(r"""[^\s"'<>,;]*[^\sA-Za-z"'<>,;.:!?)]""", rest[said.end() :]):
+                hit = said.end()
+            if hit is not None:
+                start = at + len(name) + hit
+                places.append((start, start + re.match(r"""[^\s"'<>,;]+""", text[start:]).end(), "value"))
+                step = len(name)
+                break
+        at += step
+    out, covered, login = [], 0, -1
+    for start, end, name in places:
+        end = start + len(text[start:end].rstrip(".:!?)]}"))
+        if end - start >= 6 and end > covered and start != login:
+            if secrets.guess_cost(text[start:end], words)[0] >= 12:
+                out.append((start, end))
+                covered = end
+            login = start if name == "login" else login
+    return out
+
+
+def test_guesses_of_the_table_are_those_of_a_plain_version(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    words = plain_words(list(texts.values()), max(10, math.ceil(0.001 * len(texts))))
+    assert words == secrets.corpus_words(spark.read.parquet(f"{SF}/documents.parquet"))
+    ranks = secrets.ranked(words)
+    got = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("guess")] for r in secrets.op3_secrets(spark, SF).collect()}
+    assert got == {i: plain_guesses(t, ranks) for i, t in texts.items()}
+    rng = random.Random(8)
+    bits = ["password", "pwd", "secret", " is ", ": ", "=", "=>", " ", "'", '"', "Bearer ", "authorization", "token", "zX9#qL2!vB7$wT", "qzxvkwjpmtrh", "://bob:", "@host", "apple", ".", "api_key", "\n", "1999", ","]
+    for text in TEXTS + HIDING + ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(3000)]:
+        assert [(a, b) for k, a, b, _ in secrets.spans_of(text) if k == "guess"] == plain_guesses(text, secrets.RANK), text
+
+
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
