@@ -167,10 +167,14 @@ def _reassemble(left: pa.Table, right: pa.Table, id_name: str) -> pa.Table:
     ids = left.column("ids").combine_chunks().flatten()
     pos, of, counts = get(left.column("a")[0]), get(left.column("b")[0]), get(left.column("c")[0]).astype(np.int64)
     start, length = np.zeros(len(of), np.int64), np.full(len(of), -1, np.int64)
+    # the words of each shard, in order: one sort, not a pass for each shard
+    order = np.argsort(of, kind="stable")
+    sizes = right.column("shard").to_numpy().astype(of.dtype)
+    lows, highs = np.searchsorted(of, sizes, "left", order), np.searchsorted(of, sizes, "right", order)
     flats, base = [], 0
-    for shard, n, flat in zip(right.column("shard").to_pylist(), right.column("n"), right.column("flat"), strict=True):
+    for low, high, n, flat in zip(lows.tolist(), highs.tolist(), right.column("n"), right.column("flat"), strict=True):
         n, flat = get(n).astype(np.int64), get(flat).astype("<u4")
-        at = np.flatnonzero(of == shard)
+        at = order[low:high]
         length[at] = n
         start[at] = base + np.cumsum(n) - n
         flats.append(flat)

@@ -38,3 +38,33 @@ def test_query(spark):
 
 def test_empty_table(spark):
     assert bpe.bpe_encode(spark.createDataFrame([], SCHEMA), RANKS, P.PATTERN).count() == 0
+
+
+def test_words_of_many_shards_come_back_in_place():
+    import pyarrow as pa
+    import zstandard
+
+    from rillflow.llm import common
+
+    rng, pack = np.random.default_rng(5), lambda v: zstandard.ZstdCompressor().compress(common.planes(np.asarray(v)))
+    shards, words = 20_000, 60_000
+    of, ids = rng.integers(0, shards, words), [list(rng.integers(0, 50_000, rng.integers(1, 4))) for _ in range(words)]
+    pos, counts = rng.integers(0, words, 200_000), [120_000, 0, 80_000]
+    left = pa.table({"chunk": [0], "shard": [-1], "ids": [[7, None, 9]], "a": [pack(pos)], "b": [pack(of)], "c": [pack(counts)]})
+    held = {}
+    for w, shard in enumerate(of.tolist()):
+        held.setdefault(shard, []).append(ids[w])
+    mixed = list(held)
+    rng.shuffle(mixed)
+    right = pa.table(
+        {
+            "chunk": [0] * len(mixed),
+            "shard": pa.array(mixed, pa.int32()),
+            "n": [pack([len(x) for x in held[s]]) for s in mixed],
+            "flat": [pack([t for x in held[s] for t in x]) for s in mixed],
+        }
+    )
+    got = bpe._reassemble(left, right, "doc_id")
+    assert got.column("doc_id").to_pylist() == [7, None, 9]
+    want = [np.array([t for p in part for t in ids[p]], "<u4").tobytes() for part in (pos[:120_000], pos[:0], pos[120_000:])]
+    assert got.column("ids").to_pylist() == want
