@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _by(keys: Sequence[str], order: Sequence[str]):
+def _by(keys: Sequence[str], order: Sequence[str | Column]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
@@ -118,8 +118,9 @@ def stage_table(df: DataFrame, keys: Sequence[str], hand: str, area: str, length
     widths are areas over the length, with the channel's width moved between the first two
     (at most 0.9 of the second); an interior stage's slope is its rise over half its width,
     the last copies the one before; perimeters and areas below each stage are running sums
-    from 0."""
-    w = _by(keys, [hand])
+    from 0.  Stages of one height go by area, then by the other columns, so that rows that differ
+    have one order; unknown heights come last."""
+    w = _by(keys, [F.asc_nulls_last(x) for x in (hand, area, length, bankfull, channel_width)])
     up = w.rowsBetween(Window.unboundedPreceding, -1)
     d = df.withColumn("stage", F.row_number().over(w) - 1)
     first, second = (F.max(F.when(F.col("stage") == i, F.col(hand))).over(Window.partitionBy(*keys)) for i in (0, 1))
