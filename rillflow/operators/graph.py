@@ -125,6 +125,23 @@ def terminals(nodes: DataFrame, node: str, down: str, length: str | None = None,
     raise ValueError(f"a way of over 2 ** {rounds} steps: the network has a cycle")
 
 
+def levels(nodes: DataFrame, node: str, down: str) -> DataFrame:
+    """(root, node, level): how many steps each node is from the end of its way, by pointer jumping.
+
+    A round doubles the way looked at, in joins of the nodes still on their way, so that nothing but counts
+    passes the driver, however wide a level is.  Roots drain nowhere (null).  A node whose way leaves the table or
+    runs into a cycle has no row: those are still on their way after as many rounds as the table's size has bits."""
+    at = settled(nodes.select(F.col(node).alias("node"), F.coalesce(F.col(down), F.col(node)).alias("to"), F.when(F.col(down).isNull(), 0).otherwise(1).cast("long").alias("level"), F.col(down).isNull().alias("there")))
+    for _ in range(at.count().bit_length() + 1):
+        going = at.where(~F.col("there"))
+        if going.isEmpty():
+            break
+        ahead = at.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("level").alias("__l"), F.col("there").alias("__there")).hint("merge")
+        going = going.drop("there").join(ahead, "to").select("node", F.col("__to").alias("to"), (F.col("level") + F.col("__l")).alias("level"), F.col("__there").alias("there"))
+        at = settled(at.where("there").unionByName(going))
+    return at.where("there").select(F.col("to").alias("root"), "node", "level")
+
+
 def height_above(nodes: DataFrame, found: DataFrame, node: str, height: str, name: str = "hand") -> DataFrame:
     """Height above the terminal (the nearest drainage on the way)."""
     base = nodes.select(F.col(node).alias("terminal"), F.col(height).alias("__base"))
@@ -135,7 +152,8 @@ def height_above(nodes: DataFrame, found: DataFrame, node: str, height: str, nam
 def upstream(nodes: DataFrame, node: str, down: str, roots: DataFrame | None = None, levels: int = 100, order: Sequence[str] = ()) -> DataFrame:
     """(root, node, level, path): all that drains to each root, by a recursive query; path
     sorts depth-first, by the node's place among the order columns' values.  Ways of over
-    ``levels`` steps raise; ``terminals`` has no such limit.  The rows aren't limited."""
+    ``levels`` steps raise; ``terminals`` and ``levels`` have no such limit.  The rows aren't limited,
+    but Spark may send a level's rows through the driver: for shallow trees of bounded width."""
     spark = nodes.sparkSession
     rows = nodes.select(F.col(node).alias("node"), F.col(down).alias("down"), F.format_string("%020d", F.col(node)).alias("mark"))
     names = [f"__rf_{x}_{uuid.uuid4().hex}" for x in ("nodes", "roots")]

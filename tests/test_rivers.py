@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from rillflow.operators import rivers
+from rillflow.operators import graph, rivers
 
 SCHEMA = "r long, down long, len decimal(10,2)"
 
@@ -141,3 +141,13 @@ def test_a_long_path_takes_few_joins(spark):
     roots = df.where("r % 2500 = 0").select("r")
     got = rivers.upstream_travel(df, "r", "down", "len", roots, most_reaches=4000).groupBy("root").agg(F.count("*").alias("n"), F.sum(F.col("stopped").cast("int")).alias("stopped")).collect()
     assert {r.root: (r.n, r.stopped) for r in got} == {0: (4001, 1), 2500: (4001, 1), 5000: (4001, 1), 7500: (2500, 0)}
+
+
+def test_levels_of_deep_wide_and_broken_trees(spark):
+    """A chain of 300, a star, a way out of the table, a cycle and what runs into it; no level is broadcast."""
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(1000 + i, 7) for i in range(50)] + [(2000, None), (2001, 9999), (2002, 2001), (3000, 3001), (3001, 3000), (3002, 3001)]
+    df = spark.createDataFrame(rows, "n long, d long").repartition(4)
+    got = graph.levels(df, "n", "d")
+    want = {(0, i, i) for i in range(300)} | {(0, 1000 + i, 8) for i in range(50)} | {(2000, 2000, 0)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert graph.levels(df.limit(0), "n", "d").count() == 0
