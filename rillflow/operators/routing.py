@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .graph import settled
 
 U_LOW, U_HIGH, U_HIGH_IMPLICIT, SLOPE_LOW = 0.1, 10.0, 2.0, 1e-3
+#: Reaches at one distance from the heads, on average, below which they are solved one by one.
+FEW_AT_ONCE = 32
 
 
 def lateral_inflow(runoff: DataFrame, reach_band: DataFrame, lengths: DataFrame, keys: Sequence[str], reach: str, band: str, value: str, area: str, length: str) -> DataFrame:
@@ -96,18 +98,24 @@ class Sections:
         return np.clip(u, U_LOW, high)
 
 
-def kinematic(area: np.ndarray, down: np.ndarray, length: np.ndarray, q_lat: np.ndarray, boundary: np.ndarray, dt: float, steps: int, velocity, implicit: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def kinematic(area: np.ndarray, down: np.ndarray, length: np.ndarray, q_lat: np.ndarray, boundary: np.ndarray, dt: float, steps: int, velocity, implicit: bool = False, order: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Section areas after so many sub-steps and the mean outflow, of reaches that drain to
     reach number ``down`` (-1: nowhere).
 
     Explicit: what flows in and out is that of the step before.  Implicit: reaches are solved
-    from the heads down, each with the new inflow of those above."""
+    from the heads down, each with the new inflow of those above.  order: what ``_heads_first`` gives for
+    ``down``, to be made once where it is used often."""
     area, has = area.astype(float), down >= 0
     total = np.zeros(len(area))
-    order = _heads_first(down) if implicit else []
+    order = [] if not implicit else _heads_first(down) if order is None else order
+    # long rivers have few reaches at a distance from the heads: one after another costs less than an array each
+    chain = np.concatenate(order) if len(order) * FEW_AT_ONCE > len(area) and (length > 0).all() else None
     for _ in range(steps):
         u = velocity(area)
-        if implicit:
+        if implicit and chain is not None and (u >= 0).all():
+            new = _down_the_chain(chain.tolist(), area, down, length, q_lat, boundary, dt, u)
+            area, q = new, new * u
+        elif implicit:
             new = np.zeros(len(area))
             inflow = np.zeros(len(area))
             for group in order:
@@ -125,6 +133,18 @@ def kinematic(area: np.ndarray, down: np.ndarray, length: np.ndarray, q_lat: np.
     return area, total / max(1, steps)
 
 
+def _down_the_chain(chain: list[int], area: np.ndarray, down: np.ndarray, length: np.ndarray, q_lat: np.ndarray, boundary: np.ndarray, dt: float, u: np.ndarray) -> np.ndarray:
+    """New areas of reaches in the order of ``chain``, by the same operations as those of whole arrays."""
+    new, inflow = [0.0] * len(chain), [0.0] * len(chain)
+    a, to, far, q, b, v, below = (x.tolist() for x in (area, down, length, q_lat, boundary, u, 1.0 + dt * u / length))
+    for i in chain:
+        x = (a[i] + dt * (q[i] + (b[i] + inflow[i]) / far[i])) / below[i]
+        new[i] = x = 0.0 if x < 0.0 else x
+        if to[i] >= 0:
+            inflow[to[i]] += x * v[i]
+    return np.array(new)
+
+
 def _heads_first(down: np.ndarray) -> list[np.ndarray]:
     """Reaches by their distance from the heads, so that all above come first."""
     n = len(down)

@@ -104,7 +104,10 @@ class Component:
         place = {x["reach"]: i for i, x in enumerate(r)}
         self.down = np.array([place.get(x["down"], -1) if x["down"] is not None else -1 for x in r], int)
         self.length, self.slope, self.width = (np.array([x[k] for x in r], float) for k in ("length", "slope", "width"))
-        self.rb = [(place[x["reach"]], self.at[x["cid"], x["hru"]], x["area"]) for x in rows(row.reach_band) if x["reach"] in place]
+        self.order = routing._heads_first(self.down)
+        rb = [(place[x["reach"]], self.at[x["cid"], x["hru"]], x["area"]) for x in rows(row.reach_band) if x["reach"] in place]
+        self.rb_reach, self.rb_unit = (np.array([x[k] for x in rb], int) for k in (0, 1))
+        self.rb_area = np.array([x[2] for x in rb], float)
         self.kernel = np.zeros((len(u), 100))
         for x in rows(row.uh):
             self.kernel[self.at[x["cid"], x["hru"]], x["bin"]] = x["density"]
@@ -186,11 +189,10 @@ class Component:
         routed = s["queue"][:, 0].copy()
         s["queue"] = np.concatenate([s["queue"][:, 1:], np.zeros((len(routed), 1))], 1)
         q_lat = np.zeros(len(self.length))
-        for r, u, a in self.rb:
-            q_lat[r] += a * routed[u] / 1000
+        np.add.at(q_lat, self.rb_reach, self.rb_area * routed[self.rb_unit] / 1000)
         steps = max(1, int(dt / self.substep))
         velocity = lambda a: np.clip((a / (self.width + 2 * a / self.width)) ** (2 / 3) * np.sqrt(np.maximum(self.slope, routing.SLOPE_LOW)) / 0.035, routing.U_LOW, routing.U_HIGH)
-        s["section"], q = routing.kinematic(s["section"], self.down, self.length, q_lat / self.length, np.zeros_like(q_lat), dt / steps, steps, velocity, implicit=True)
+        s["section"], q = routing.kinematic(s["section"], self.down, self.length, q_lat / self.length, np.zeros_like(q_lat), dt / steps, steps, velocity, implicit=True, order=self.order)
         after = (s["theta"] * self.dz).sum(1) * 1000 + s["swe"]
         gone = np.where(from_snow != 0, from_snow - short, 0.0) + from_soil
         error = after - before - (f["precip"] - gone - runoff - hdiv.sum(1) * 1000) * dt
