@@ -10,7 +10,7 @@ Encoding, in three steps:
    at most once for each chunk, however frequent it is, and is encoded once.
 3. The ids come back to the chunk, and each document is put together by position.
 
-Decoding joins each id with the token-byte table, which has a row for each rank of the
+Decoding, by a worker of its own or by that of step 3, joins each id with the token-byte table, which has a row for each rank of the
 vocabulary (its size is that of the vocabulary, not of the data) and is thus held by every
 worker.
 
@@ -41,6 +41,8 @@ from . import common
 KNOWN = 1_000_000
 #: Characters beyond which the matches of one text aren't held as a list of strings.
 LONG_TEXT = 1 << 21
+#: Pre-tokens or ids that are put in place at a time.
+PIECE = 1 << 16
 
 
 @functools.lru_cache(maxsize=2)
@@ -157,8 +159,23 @@ def _encode_words(batches, path: str, pattern: str):
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("shard"), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], ["chunk", "shard", "n", "flat"])
 
 
-def _reassemble(left: pa.Table, right: pa.Table, id_name: str) -> pa.Table:
-    """Step 3 on one chunk."""
+def _spelled(items: np.ndarray, ends: np.ndarray, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs data[starts[i] : starts[i] + lengths[i]] of all items i, one after another, and where the runs
+    of the first ends[j] items end.  PIECE items at a time: indices take many times what they point to."""
+    parts, out, done = [data[:0]], np.zeros(len(ends), np.int64), 0
+    for i in range(0, len(items), PIECE):
+        at = items[i : i + PIECE]
+        n = lengths[at]
+        here = np.concatenate([[0], np.cumsum(n)])
+        low, high = np.searchsorted(ends, [i, i + len(at)], "right")
+        out[low:high] = done + here[ends[low:high] - i]
+        parts.append(data[common.ragged(starts[at], n)])
+        done += int(here[-1])
+    return np.concatenate(parts), out
+
+
+def _reassemble(left: pa.Table, right: pa.Table, id_name: str, path: str = "", decoded: str = "") -> pa.Table:
+    """Step 3 on one chunk; with a name for them, the decoded bytes too."""
     unpack = zstandard.ZstdDecompressor()
     get = lambda x: common.unplanes(unpack.decompress(x.as_py()))
     left = left.filter(pc.less(left.column("shard"), 0))
@@ -182,15 +199,19 @@ def _reassemble(left: pa.Table, right: pa.Table, id_name: str) -> pa.Table:
     if (length < 0).any():
         raise ValueError("a word of the chunk has no ids")
     flat = np.concatenate(flats) if flats else np.zeros(0, "<u4")
-    pos = pos.astype(np.int64)
-    n = length[pos]
-    tokens = flat[common.ragged(start[pos], n)] if len(pos) else flat[:0]
-    ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)] * 4
-    return pa.table([ids, common.binaries(tokens.view(np.uint8), ends)], [id_name, "ids"])
-
-
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
-    """Id and ids of each document; ids as little-endian unsigned 32-bit integers."""
+    tokens, ends = _spelled(pos, np.cumsum(counts), start, length, flat)
+    cols = {id_name: ids, "ids": common.binaries(tokens.view(np.uint8), ends * 4)}
+    if decoded:
+        cols[decoded] = common.binaries(*_spelled(tokens, ends, *token_bytes(path)))
+    return pa.table(cols)
+
+
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, decoded: str = "") -> DataFrame:
+    """Id and ids of each document; ids as little-endian unsigned 32-bit integers.  With a name for
+    them, the bytes that bpe_decode gives too, made by the same worker: a second one beside it takes
+    an executor's memory."""
+    if decoded in (id_col, "ids"):
+        raise ValueError("the decoded bytes need a name of their own")
     kind = docs.schema[id_col].dataType
     schema = T.StructType().add("chunk", "long").add("shard", "integer").add("ids", T.ArrayType(kind)).add("a", "binary").add("b", "binary").add("c", "binary")
     slim = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
@@ -199,8 +220,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     packed = slim.mapInArrow(lambda it: _chunks(it, pattern, shards, chunk_bytes), schema).repartition(shards, "chunk")
     words = packed.mapInArrow(_words, "chunk long, shard int, a binary, b binary")
     coded = words.repartition(shards, "shard").mapInArrow(lambda it: _encode_words(it, ranks_path, pattern), "chunk long, shard int, n binary, flat binary")
-    out = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.BinaryType())])
-    return packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda a, b: _reassemble(a, b, id_col), out)
+    out = T.StructType([T.StructField(id_col, kind), *(T.StructField(c, T.BinaryType()) for c in ("ids", decoded) if c)])
+    return packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda a, b: _reassemble(a, b, id_col, ranks_path, decoded), out)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -217,10 +238,8 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_co
             col = b.column(b.schema.get_field_index(ids_col)).fill_null(b"")
             offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
             raw = np.frombuffer(col.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-            ids = raw.view("<u4")
-            n = lengths[ids]
-            ends = np.concatenate([[0], np.cumsum(n)])[(offsets[1:] - offsets[0]) // 4]
-            yield pa.RecordBatch.from_arrays([*b.columns, common.binaries(data[common.ragged(starts[ids], n)], ends)], [*b.schema.names, out_col])
+            found = common.binaries(*_spelled(raw.view("<u4"), (offsets[1:] - offsets[0]) // 4, starts, lengths, data))
+            yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, out_col])
 
     return encoded.mapInArrow(decode, schema)
 
@@ -230,8 +249,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe_encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe_decode(coded, ranks).select(
+    coded = bpe_encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

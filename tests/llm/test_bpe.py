@@ -68,3 +68,26 @@ def test_words_of_many_shards_come_back_in_place():
     assert got.column("doc_id").to_pylist() == [7, None, 9]
     want = [np.array([t for p in part for t in ids[p]], "<u4").tobytes() for part in (pos[:120_000], pos[:0], pos[120_000:])]
     assert got.column("ids").to_pylist() == want
+
+
+def test_one_worker_encodes_and_decodes(spark, monkeypatch):
+    for df in (bpe.bpe_encode(clashing(frame(spark)), RANKS, P.PATTERN, chunk_bytes=2000, decoded="decoded"), bpe.op8_byte_bpe(spark, SF)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
+    monkeypatch.setattr(bpe, "PIECE", 7)
+    df = bpe.bpe_encode(clashing(frame(spark)), RANKS, P.PATTERN, chunk_bytes=2000, decoded="decoded")
+    enc = library()
+    got = sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in df.collect())
+    assert got == sorted((str(r[0]), np.array(enc.encode_ordinary(r[1] or ""), "<u4").tobytes(), (r[1] or "").encode()) for r in hard_rows())
+
+
+def test_runs_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    data, starts, lengths = np.arange(100, dtype="<u4"), rng.integers(0, 90, 30), rng.integers(0, 5, 30)
+    for n in (0, 1, 6, 7, 8, 40):
+        items, ends = rng.integers(0, 30, n), np.sort(np.r_[0, 0, rng.integers(0, n + 1, 5), n, n])
+        want = [list(data[starts[i] : starts[i] + lengths[i]]) for i in items]
+        for piece in (1, 7, 1000):
+            monkeypatch.setattr(bpe, "PIECE", piece)
+            got, out = bpe._spelled(items, ends, starts, lengths, data)
+            assert got.tolist() == sum(want, []) and out.tolist() == [sum(map(len, want[:e])) for e in ends]
