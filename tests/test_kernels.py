@@ -146,6 +146,42 @@ def test_allocation_is_the_cheapest(spark):
     assert (got.get(("s1", "d1"), 0), got.get(("s1", "d2"), 0), got.get(("s2", "d1"), 0)) == best[2] and got["s9", "d9"] == 1.0
 
 
+def test_large_allocation_is_the_cheapest_in_any_order(spark):
+    """No way is left from a supply with something left to a demand that wants more, and no cycle saves cost."""
+    rng = np.random.default_rng(4)
+    kind, links = "c long, s long, d long, a double, n double, k double", []
+    for c, costs in ((1, lambda n: rng.integers(0, 50, n).astype(float)), (2, lambda n: rng.normal(size=n) * 1e4)):
+        give, need = rng.uniform(-1, 40, 60).round(2), rng.uniform(-1, 8, 700).round(3)
+        pairs = [(s, d) for s in range(60) for d in range(700) if abs(s / 60 - d / 700) < 0.05]
+        links += [(c, s, d, float(give[s]), float(need[d]), float(k)) for (s, d), k in zip(pairs, costs(len(pairs)), strict=True)]
+    got = sorted(map(tuple, wateruse.allocate(spark.createDataFrame(links, kind), "c", "s", "d", "a", "n", "k").collect()))
+    assert got == sorted(map(tuple, wateruse.allocate(spark.createDataFrame(links[::-1], kind).repartition(7), "c", "s", "d", "a", "n", "k").collect()))
+    for c in (1, 2):
+        flow = {(s, d): f for g, s, d, f in got if g == c}
+        own = [x[1:] for x in links if x[0] == c]
+        left, want = {s: max(a, 0) for s, _, a, _, _ in own}, {d: max(n, 0) for _, d, _, n, _ in own}
+        for (s, d), f in flow.items():
+            left[s], want[d] = left[s] - f, want[d] - f
+        assert min(*left.values(), *want.values()) > -1e-9 and min(flow.values()) > 0
+        # nodes 0-59 supplies, 60-759 demands, 760 whatever has something left, 761 whatever lacks something
+        arcs = [(s, 60 + d, k) for s, d, _, _, k in own] + [(60 + d, s, -k) for s, d, _, _, k in own if (s, d) in flow]
+        arcs += [(760, s, 0.0) for s, v in left.items() if v > 1e-9] + [(60 + d, 761, 0.0) for d, v in want.items() if v > 1e-9]
+        used = {d for _, d in flow}
+        arcs += [(s, 760, 0.0) for s in {s for s, _ in flow}] + [(761, 60 + d, 0.0) for d in used]
+        x, y, k = (np.array(v) for v in zip(*arcs, strict=True))
+        dist = np.zeros(762)
+        for _ in range(762):
+            was = dist.copy()
+            np.minimum.at(dist, y, dist[x] + k)
+            if (dist >= was - 1e-6).all():
+                break
+        assert (dist >= was - 1e-6).all()
+        reached = {760}
+        while more := set(y[np.isin(x, list(reached))].tolist()) - reached:
+            reached |= more
+        assert 761 not in reached and any(v > 1e-9 for v in want.values())
+
+
 def test_abstraction_takes_the_well_first(spark):
     df = spark.createDataFrame([(5.0, [1.0, 2.0, 1.5, 4.0], 2), (99.0, [1.0, 2.0, 1.5, 4.0], 1), (0.0, [1.0], 0)], "a double, v array<double>, w int")
     got = [r.x for r in df.select(wateruse.abstract_layers(F.col("a"), F.col("v"), F.col("w")).alias("x")).collect()]
