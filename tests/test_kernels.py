@@ -182,6 +182,37 @@ def test_large_allocation_is_the_cheapest_in_any_order(spark):
         assert 761 not in reached and any(v > 1e-9 for v in want.values())
 
 
+@pytest.mark.parametrize("most", [9.0, 60.0])
+def test_allocation_over_few_links_is_that_over_all(spark, monkeypatch, most):
+    """Prices bring back the links that are missing; all pairs are never stored, so that no task holds them."""
+    rng = np.random.default_rng(6)
+    give, need = rng.uniform(1, 40, 40).round(2), rng.uniform(0.1, most, 300).round(3)
+    supplies = spark.createDataFrame([(1, s, float(give[s])) for s in range(40)] + [(2, 7, 5.0), (3, 7, float("nan"))], "c long, s long, a double")
+    demands = spark.createDataFrame([(1, d, float(need[d])) for d in range(300)] + [(2, 7, 3.0), (3, 7, 3.0), (4, 7, 3.0)], "c long, d long, n double")
+    # dear where supplies are near, so that the cheapest links of a demand often don't have its own
+    cost = F.abs(F.xxhash64("s", "d") % 100_003) / 100.0 + F.when(F.abs(F.col("s") * 7.5 - F.col("d")) < 60, 500.0).otherwise(0.0)
+    reach = lambda s, d: s.join(d, "c").where("abs(s * 7.5 - d) < 110").withColumn("k", cost)
+    names, sizes, plain = ("c", "s", "d", "a", "n", "k"), [], wateruse.stored
+    links = reach(supplies, demands)
+
+    def stored(df):
+        sizes.append((out := plain(df)).count())
+        return out
+
+    costs = {tuple(r[:3]): r.k for r in links.select("c", "s", "d", "k").collect()}
+    monkeypatch.setattr(wateruse, "stored", stored)
+    found = []
+    for few in (2, 64):
+        sizes.clear()
+        found.append({tuple(r[:3]): r.flow for r in wateruse.allocate_between(supplies, demands, reach, *names, few=few).collect()})
+        assert few > 2 or max(sizes) < len(costs) / 4
+    few, every = ((sum(f.values()), sum(f[k] * costs[k] for k in f)) for f in found)
+    assert few == pytest.approx(every, rel=1e-9) and {k[0] for k in found[0]} == {1, 2}
+    monkeypatch.undo()
+    same = {tuple(r[:3]): r.flow for r in wateruse.allocate(links, *names).collect()}
+    assert sum(f * costs[k] for k, f in same.items()) == pytest.approx(every[1], rel=1e-9)
+
+
 def test_abstraction_takes_the_well_first(spark):
     df = spark.createDataFrame([(5.0, [1.0, 2.0, 1.5, 4.0], 2), (99.0, [1.0, 2.0, 1.5, 4.0], 1), (0.0, [1.0], 0)], "a double, v array<double>, w int")
     got = [r.x for r in df.select(wateruse.abstract_layers(F.col("a"), F.col("v"), F.col("w")).alias("x")).collect()]
